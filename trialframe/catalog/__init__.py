@@ -1 +1,6 @@
+"""The registered queries, by area."""
 
+from . import evaluation  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

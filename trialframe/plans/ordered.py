@@ -43,8 +43,23 @@ def order_columns(order: list[str]) -> list[Column]:
     return [F.desc(c) if desc else F.asc(c) for c, desc in _parse(order)]
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the key columns appear once.
+
+    The right keys are renamed first, so tables derived from one another can be joined.
+    """
+    if not keys:
+        left, right, keys = left.withColumn(ALL, F.lit(EMPTY)), right.withColumn(ALL, F.lit(EMPTY)), [ALL]
+        return join_on(left, right, keys, how).drop(ALL)
+    names = {k: f"__k_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    out = left.join(renamed, match, how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    if how in ("full_outer", "right"):
+        out = out.withColumns({k: F.coalesce(k, n) for k, n in names.items()})
+    return out.drop(*names.values())
 
 
 def _numeric_key(df: DataFrame, name: str, desc: bool) -> tuple[Column, bool]:
@@ -55,8 +70,8 @@ def _numeric_key(df: DataFrame, name: str, desc: bool) -> tuple[Column, bool]:
     if isinstance(kind, T.StringType):
         head = F.substring(F.concat(F.hex(F.encode(col, "utf-8")), F.lit("0" * 12)), 1, 12)
         key, exact = F.conv(head, 16, 10).cast("double"), False
-    elif isinstance(kind, T.TimestampType):
-        key = F.unix_micros(col).cast("double")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        key = F.unix_micros(col.cast("timestamp")).cast("double")
     elif isinstance(kind, T.DateType):
         key = F.unix_date(col).cast("double")
     else:
@@ -111,8 +126,8 @@ class Ordered:
         return ranges.select(*self.keys, *window_cols(w))
 
     def _attach(self, df: DataFrame, carry: DataFrame, names: list[str]) -> DataFrame:
-        small = F.broadcast(carry)  # one row per range: at most 2 * rows / cap
-        return df.join(small, null_safe(df, small, self.keys), "left").select(df["*"], *[small[n] for n in names])
+        # one row per range: at most 2 * rows / cap
+        return join_on(df, F.broadcast(carry.select(*self.keys, *names)), self.keys, "left")
 
     def running(self, exclusive: bool = False, **cols: tuple[str, Column]) -> "Ordered":
         """Running ``sum``/``count``/``max``/``min`` in order, with or without the current row."""
@@ -195,9 +210,7 @@ class Ordered:
                 .groupBy(*self.by)
                 .agg(*[fold[fn](c).alias(f"__t_{n}") for n, (fn, c) in cols.items()])
             )
-            out = out.join(whole, null_safe(out, whole, self.by), "left").select(
-                out["*"], *[whole[f"__t_{n}"] for n in cols]
-            )
+            out = join_on(out, whole, self.by, "left")
             out = out.withColumns({n: F.coalesce(f"__t_{n}", n) for n in cols}).drop(*[f"__t_{n}" for n in cols])
         return self._replace(out)
 
@@ -237,7 +250,7 @@ def _cut(df: DataFrame, keys: list[str], name: str, desc: bool, hot: list, limit
     probs = [i / pieces for i in range(1, pieces)]
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
     hot_keys = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema))
-    chosen = df.join(hot_keys, null_safe(df, hot_keys, keys), "left_semi")
+    chosen = join_on(df, hot_keys, keys, "left_semi")
     cuts = (
         chosen.groupBy(*keys)
         .agg(F.percentile_approx(key, probs, max(10_000, 20 * pieces)).alias("__cuts"))
@@ -246,7 +259,7 @@ def _cut(df: DataFrame, keys: list[str], name: str, desc: bool, hot: list, limit
     )
     schema = T.StructType(key_schema.fields + [T.StructField("__cuts", T.ArrayType(T.DoubleType()))])
     table = F.broadcast(spark.createDataFrame([tuple(r) for r in cuts], schema))
-    joined = df.join(table, null_safe(df, table, keys), "left").select(df["*"], table["__cuts"])
+    joined = join_on(df, table, keys, "left")
     steps = max(1, pieces.bit_length())
     at = _position(F.col("__cuts"), key, steps)
     joined = joined.withColumn("__key", key).withColumn("__at", F.when(F.col("__cuts").isNotNull(), at))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import null_safe, order_columns, ordered
+from .ordered import join_on, order_columns, ordered
 
 
 def with_ranks(
@@ -49,10 +49,7 @@ def with_ranks(
 
         distinct = F.count_distinct(F.col(col)) + F.max(F.col(col).isNull().cast("int"))
         carry = o._carry([F.count(F.lit(1)).alias("__n"), distinct.alias("__d")], cols)
-        small = F.broadcast(carry)  # one row per range
-        out = out.join(small, null_safe(out, small, o.keys), "left").select(
-            out["*"], small["__n0"], small["__d0"], small["__n"]
-        )
+        out = join_on(out, F.broadcast(carry), o.keys, "left")  # one row per range
         n0, d0 = F.coalesce("__n0", F.lit(0)), F.coalesce("__d0", F.lit(0))
         out = out.withColumns(
             {
