@@ -1,6 +1,6 @@
 """The registered queries, by area."""
 
-from . import evaluation, curation  # noqa: F401
+from . import curation, evaluation, experiments  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

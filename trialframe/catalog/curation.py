@@ -15,7 +15,7 @@ from ..sources.readers import combine_parts
 from .base import DAY_CURVE, R, day_curve, grid, gridded, query, table
 
 WS = X.SPACES
-TRIM = ", E'" + "".join(f"\\u{ord(ch):04x}" for ch in X.SPACE_CHARS) + "'"
+TRIM = f", '{X.SPACE_CHARS}'"
 HIDE = lambda *cs: {c: F.md5(F.col(c)) for c in cs}  # noqa: E731 - long texts are compared by digest
 
 
@@ -444,7 +444,7 @@ def matched_part_labels(spark, sf):
 
 @query(
     "legend_colour_matches",
-    """WITH lg AS (SELECT p_partkey, p_name, list_filter([{'l': 'small one', 'c': 'small'}, {'l': p_brand, 'c': 'ring'}, {'l': 'w', 'c': 'red widget'}], x -> contains(x.c, p_name) OR contains(p_name, x.c)) AS h FROM part)
+    """WITH lg AS (SELECT p_partkey, p_name, list_filter([{'l': 'small one', 'c': 'small'}, {'l': p_brand, 'c': 'ring'}, {'l': 'w', 'c': 'red widget'}], lambda x: contains(x.c, p_name) OR contains(p_name, x.c)) AS h FROM part)
     SELECT p_partkey, CASE WHEN len(h) > 0 THEN h[1].l ELSE p_partkey::VARCHAR END AS curve_label, CASE WHEN len(h) = 1 THEN 'legend_color_unique' WHEN len(h) > 1 THEN 'legend_color_ambiguous' ELSE 'curve_id_fallback' END AS label_source FROM lg""",
 )
 def legend_colour_matches(spark, sf):
@@ -475,7 +475,7 @@ def orders_with_customers(spark, sf):
 
 
 ENDP = """e AS (SELECT event_id, user_id AS doi, event_type AS curve_id, CASE WHEN value > 100 THEN 'bad' ELSE 'ok' END AS status, CASE WHEN event_id % 10 = 0 THEN 'percent' ELSE 'amount' END AS y_kind FROM events),
-   m AS (SELECT user_id AS doi, event_type AS curve_id, CASE WHEN max(value) < 150 THEN ' ' || event_type || '-' || (user_id % 3) || ' ' END AS mapped_formulation_label FROM events GROUP BY ALL),
+   m AS (SELECT user_id AS doi, event_type AS curve_id, CASE WHEN max(value) < 150 THEN ' ' || event_type || '-' || (user_id % 3) || ' ' END AS mapped_formulation_label FROM events GROUP BY user_id, event_type),
    f AS (SELECT user_id AS doi, event_type || '-' || (user_id % 2) AS formulation_label, count(*) AS dosage FROM events GROUP BY ALL),
    j AS (SELECT e.*, m.mapped_formulation_label, f.formulation_label, f.dosage FROM e LEFT JOIN m USING (doi, curve_id) LEFT JOIN f ON f.doi = e.doi AND f.formulation_label = trim(m.mapped_formulation_label) WHERE status = 'ok' AND y_kind <> 'percent')"""
 
