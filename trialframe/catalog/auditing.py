@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audits as A
+from ..plans.ordered import NO_SPLIT
 from .base import DAY_CURVE, R, day_curve, grid, gridded, query, table
 
 CURVES = f"""cv AS (SELECT l_returnflag, l_partkey, l_linenumber::DOUBLE AS time_h, p_size::DOUBLE AS c1, p_retailprice AS c2, CASE WHEN avg(l_quantity) < 49 THEN {R('avg(l_extendedprice)', 2)} - 5000 END AS q
@@ -20,7 +21,7 @@ def _flags(spark, sf):
     cv = li.join(part, li.l_partkey == part.p_partkey).groupBy(
         "l_returnflag", "l_partkey", F.col("l_linenumber").cast("double").alias("time_h"), F.col("p_size").cast("double").alias("c1"), F.col("p_retailprice").alias("c2")
     ).agg(F.when(F.avg("l_quantity") < 49, grid(F.avg("l_extendedprice"), 2) - 5000).alias("q"))
-    return A.curve_flags(cv, ["l_returnflag"], "l_partkey", "time_h", "q", ["c1", "c2"], 7.0, 80000.0, {"c1": (1, 50), "c2": (900, 2100)})
+    return A.curve_flags(cv, ["l_returnflag"], "l_partkey", "time_h", "q", ["c1", "c2"], 7.0, 80000.0, {"c1": (1, 50), "c2": (900, 2100)}, NO_SPLIT)  # a row per line number
 
 
 @query(
@@ -76,7 +77,7 @@ SENS = f"""g AS (SELECT l_returnflag, l_linenumber::DOUBLE AS c1, l_quantity AS
 )
 def sensitivity_classes(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").cast("double").alias("c1"), F.col("l_quantity").alias("c2")).agg(grid(F.avg("l_extendedprice") / 1000, 5).alias("q"))
-    out = A.sensitivity_class(g, ["l_returnflag"], ["c1", "c2"], "q")
+    out = A.sensitivity_class(g, ["l_returnflag"], ["c1", "c2"], "q", NO_SPLIT)
     return gridded(out, range=5, sd=5, mean_abs_c1=4, max_abs_c1=4, mean_abs_c2=4, max_abs_c2=4)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import ranking as K
-from ..plans.ordered import ordered
+from ..plans.ordered import NO_SPLIT, ordered
 from ..plans.ranks import percentiles, with_ranks
 from .base import DAY_CURVE, PART_SCORES, SALES_PREDS, R, day_curve, grid, gridded, part_scores, query, sales_preds, table
 
@@ -60,7 +60,7 @@ AUC_SQL = """, p AS (SELECT *, lag(time_h) OVER w AS pt, lag(q_obs) OVER w AS po
 
 @query("curve_auc", f"WITH {DAY_CURVE}{AUC_SQL} SELECT user_id, {R('auc_obs', 3)} AS auc_q_obs, {R('auc_pred', 3)} AS auc_q_pred FROM auc")
 def curve_auc(spark, sf):
-    out = M.auc_trapezoid(day_curve(spark, sf), ["user_id"], "time_h", ["q_obs", "q_pred"], tmax=6.0)
+    out = M.auc_trapezoid(day_curve(spark, sf), ["user_id"], "time_h", ["q_obs", "q_pred"], tmax=6.0, cap=NO_SPLIT)  # a row per user and day
     return gridded(out, auc_q_obs=3, auc_q_pred=3)
 
 

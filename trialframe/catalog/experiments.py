@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as N
 from ..operators import series as S
-from ..plans.ordered import join_on
+from ..plans.ordered import NO_SPLIT
 from .base import DAY_CURVE, R, day_curve, grid, gridded, micros, query, table
 
 ORDER = ["ts", "event_id"]
@@ -128,7 +128,7 @@ def confidence_bands(spark, sf):
 )
 def cumulative_bands(spark, sf):
     c = day_curve(spark, sf).withColumn("grp", F.col("user_id") % 3)
-    out = S.cumulative_bands(S.bands(c, ["grp"], "time_h", "q_obs", "sd"), ["grp"], "time_h")
+    out = S.cumulative_bands(S.bands(c, ["grp"], "time_h", "q_obs", "sd"), ["grp"], "time_h", NO_SPLIT)
     return gridded(out.select("grp", "time_h", "cum_mean", "cum_sd"), cum_mean=3, cum_sd=3)
 
 
@@ -142,7 +142,7 @@ ACC = f"{DAY_CURVE}, ac AS (SELECT user_id, time_h, q_obs/1000 AS a, q_pred/1000
 )
 def adaptive_weights(spark, sf):
     c = day_curve(spark, sf).select("user_id", "time_h", (F.col("q_obs") / 1000).alias("a"), (F.col("q_pred") / 1000).alias("b"))
-    out = S.adaptive_weights(c, ["user_id"], ["time_h"], "a", "b", k=6, alpha=0.3)
+    out = S.adaptive_weights(c, ["user_id"], ["time_h"], "a", "b", k=6, alpha=0.3, cap=NO_SPLIT)  # a row per user and day
     return gridded(out, weight_first=6, weight_second=6).drop("a", "b")
 
 
@@ -171,7 +171,7 @@ def _price_grid(spark, sf):
     {R('CASE WHEN p2 IS NULL THEN (nq2-q)/(n2-c2) WHEN n2 IS NULL THEN (q-pq2)/(c2-p2) ELSE ((c2-p2)*(c2-p2)*nq2 + ((n2-c2)*(n2-c2)-(c2-p2)*(c2-p2))*q - (n2-c2)*(n2-c2)*pq2)/((c2-p2)*(n2-c2)*(n2-p2)) END', 3)} AS d_c2 FROM n""",
 )
 def grid_gradients(spark, sf):
-    return gridded(S.grid_gradient(_price_grid(spark, sf), [], ["c1", "c2"], "q"), d_c1=3, d_c2=3).drop("q")
+    return gridded(S.grid_gradient(_price_grid(spark, sf), [], ["c1", "c2"], "q", NO_SPLIT), d_c1=3, d_c2=3).drop("q")
 
 
 @query("price_gaps", f"SELECT p_partkey, {R('p_retailprice - lead(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)', 4)} AS gap FROM part")

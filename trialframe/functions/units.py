@@ -14,29 +14,34 @@ MINUTE_UNITS = ("min", "mins", "minute", "minutes")
 SECOND_UNITS = ("s", "sec", "secs", "second", "seconds")
 # Phrases of a balance ingredient.
 BALANCE = r"(?i)\bqs\b|\bq\.\s?s\.|\bbalance\b|make up to"
+# Endings of per-time units.
+PER_TIME = r"[/·*.](h|hr|hrs|hour|hours|min|mins|s|sec|day|d)$|(h|min|s)-1$"
 NUMBER = r"(\d+(?:\.\d+)?)"
 TARGET_PERCENT = 5.0
+# Spellings of the target concentration.
+STATED_TARGET = r"\b5(\.0)?\s*%\s*(w/w)?\b|\b50(\.0)?\s*mg\s*/\s*g\b|\b50(\.0)?\s*mg\s*g-1\b|\b0\.05\s*\(?\s*w/w\s*\)?"
 
 
 def clean_unit(c) -> Column:
     """Lower case without spaces; micro signs become u, squares become 2."""
-    plain = F.translate(F.replace(norm_key(c), F.lit("^2"), F.lit("2")), "µμ²", "uu2")
-    return F.replace(plain, F.lit(" "), F.lit(""))
+    return F.translate(F.lower(text_or_empty(c)), "µμ²^ \t\n\r\xa0", "uu2")
 
 
 def _number(c: Column, pattern: str) -> Column:
-    hit = F.regexp_extract(c, pattern, 1)
-    return F.when(hit != "", hit).try_cast("double")
+    return F.regexp_extract(c, pattern, 1).try_cast("double")  # no match is empty, and casts to null
 
 
 def parse_concentration(c) -> Column:
-    """Percent by weight from text: '5 % w/w', '50 mg/g', '5 g/100 g' or '5 g per 100 g'."""
+    """Percent by weight from text: '5 % w/w', '50 mg/g', '5 g/100 g' or '5 g per 100 g'.
+
+    A plain substring test in front spares most rows the pattern.
+    """
     text = text_or_empty(c)
+    has = lambda t: F.contains(text, F.lit(t))
     return F.coalesce(
-        _number(text, rf"(?i){NUMBER}\s*(?:%|wt%|w/w%|%w/w)"),
-        _number(text, rf"(?i){NUMBER}\s*mg\s*/\s*g") * 0.1,
-        _number(text, rf"(?i){NUMBER}\s*g\s*/\s*100\s*g"),
-        _number(text, rf"(?i){NUMBER}\s*g\s*per\s*100\s*g"),
+        F.when(has("%"), _number(text, rf"(?i){NUMBER}\s*(?:%|wt%|w/w%|%w/w)")),
+        F.when(has("/"), _number(text, rf"(?i){NUMBER}\s*mg\s*/\s*g") * 0.1),
+        F.when(has("100"), _number(text, rf"(?i){NUMBER}\s*g\s*(?:/|per)\s*100\s*g")),
     )
 
 
@@ -63,10 +68,7 @@ def target_answer(raw, value, unit, basis) -> Column:
     """yes / no / uncertain for '5 % w/w' from the raw text, then from value, unit and basis."""
     text, v = F.lower(text_or_empty(raw)), col(value).cast("double")
     u, b = F.lower(text_or_empty(unit)), F.lower(text_or_empty(basis))
-    stated = (
-        text.rlike(r"\b5(\.0)?\s*%\s*(w/w)?\b") | text.rlike(r"\b50(\.0)?\s*mg\s*/\s*g\b")
-        | text.rlike(r"\b50(\.0)?\s*mg\s*g-1\b") | text.rlike(r"\b0\.05\s*\(?\s*w/w\s*\)?")
-    )
+    stated = F.contains(text, F.lit("5")) & text.rlike(STATED_TARGET)
     by_percent = v.isNotNull() & (b == "w/w") & u.isin("%", "percent", "percentage")
     by_mass = v.isNotNull() & (b == "mg_per_g") & F.contains(u, F.lit("mg/g"))
     return (
@@ -99,7 +101,7 @@ def amount_to_ug_cm2(value, unit, area, kind, mode: str = "strict") -> Column:
     out = F.when(k == "amount_per_area", per_area).when(k == "amount_total", total)
     if mode == "loose":
         return out
-    return F.when(~u.rlike(r"/(h|hr|hrs|hour|hours|min|mins|s|sec|day|d)\b|h-1|min-1|s-1"), out)
+    return F.when(~u.rlike(PER_TIME), out)
 
 
 def is_balance(c) -> Column:

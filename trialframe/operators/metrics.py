@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import finite, is_close
 from ..functions.pvalues import f_tail, fair_coin_tail
 from ..plans.concordance import concordance
-from ..plans.ordered import join_on, ordered
+from ..plans.ordered import join_on, ordered, settle
 from ..plans.ranks import percentiles, with_ranks
+from ..plans.stage import staged
 
 
 def both_finite(df: DataFrame, obs: str, pred: str) -> DataFrame:
@@ -117,7 +118,8 @@ def endpoint_from_curve(
     at_end = is_close(time, t_end)
     ends = df.groupBy(*keys).agg(*[F.max(F.when(at_end, F.col(c))).alias(f"end_{c}") for c in cols])
     areas = auc_trapezoid(df, keys, time, cols, tmax=t_end, cap=cap)
-    out = ends.join(areas, keys)
+    out = staged(ends.join(areas, keys), "endpoints")  # ranked four times
+    cap = settle(out, groups, cap)
     for c in cols:
         for kind in ("end", "auc"):
             name = f"{kind}_{c}"
@@ -133,6 +135,7 @@ def spearman(
 ) -> DataFrame:
     """Pearson correlation of average ranks. ``zero_var`` is the value when one side is constant."""
     rows = both_finite(df.select(*by, x, y), x, y)
+    cap = settle(rows, by, cap)
     ranked = with_ranks(with_ranks(rows, by, x, "__rx", cap=cap), by, y, "__ry", cap=cap)
     a, b = F.col("__rx_avg"), F.col("__ry_avg")
     flat = (F.var_pop(a) == 0) | (F.var_pop(b) == 0)

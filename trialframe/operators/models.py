@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from ..plans.ordered import join_on
+from ..plans.ordered import join_on, settle
 from ..plans.ranks import with_ranks
+from ..plans.stage import staged
 from .metrics import mean_by_key_baseline, pairwise_accuracy, regression_metrics, spearman
 from .ranking import top_hit_sets
 
@@ -134,6 +135,7 @@ def baseline_compare(
     trees: int = 300, depth: int = 10,
 ) -> DataFrame:
     """Predictions of all baselines for all targets, with descending ranks per model and target."""
+    train, test = staged(train, "train"), staged(test, "test")  # read by every fit
     parts = []
     for target in targets:
         keep = [ident, F.lit(target).alias("target"), F.col(target).cast("double").alias("obs"), F.col("pred")]
@@ -144,9 +146,10 @@ def baseline_compare(
             "mean": mean_by_key_baseline(train, test, key, target),
         }
         parts += [p.select(F.lit(m).alias("model"), *keep) for m, p in fitted.items()]
-    preds = reduce(lambda a, b: a.unionByName(b), parts)
+    preds = staged(reduce(lambda a, b: a.unionByName(b), parts), "baselines")  # ranked and scored repeatedly
+    cap = settle(preds, ["model", "target"])
     for c in ("obs", "pred"):
-        preds = with_ranks(preds, ["model", "target"], c, "__r", desc=True).withColumnRenamed("__r_min", f"{c}_rank")
+        preds = with_ranks(preds, ["model", "target"], c, "__r", desc=True, cap=cap).withColumnRenamed("__r_min", f"{c}_rank")
         preds = preds.drop("__r_max", "__r_avg", "__r_dense")
     return preds
 

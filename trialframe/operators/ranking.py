@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import l2
 from ..functions.pvalues import fair_coin_tail
 from ..plans.concordance import concordance
-from ..plans.ordered import join_on, ordered
+from ..plans.ordered import join_on, ordered, settle
 from ..plans.ranks import top_rows, with_ranks
+from ..plans.stage import staged
 from .metrics import both_finite, spearman, tau_from_counts
 
 
@@ -46,6 +47,7 @@ def gains_curve(
 ) -> DataFrame:
     """Recall of the true best ``q`` share among the first k predicted, for every k."""
     rows = both_finite(df.select(*by, ident, true, pred), true, pred)
+    cap = settle(rows, by, cap)
     ranked = ordered(rows, by, [f"-{true}", ident], cap).index("__rt").total(n=("count", F.lit(1))).done()
     good = F.greatest(F.lit(1), F.ceil(q * F.col("n")))
     flagged = ranked.withColumn("m", good).withColumn("__good", (F.col("__rt") <= F.col("m")).cast("long"))
@@ -90,6 +92,7 @@ def rank_metrics(
     zero_var: float | None = 0.0, variant: str = "custom", cap: int | None = None,
 ) -> DataFrame:
     """Spearman, Kendall, pair accuracy with tail probability, and top-k agreement per group."""
+    df = staged(both_finite(df.select(*by, ident, true, pred), true, pred), "predictions")  # read by each metric
     rho = spearman(df, by, true, pred, zero_var, cap).filter(F.col("n") >= min_n)
     pairs = concordance(both_finite(df.select(*by, true, pred), true, pred), by, true, pred)
     m = F.col("concordant") + F.col("discordant")
@@ -136,6 +139,7 @@ def consensus_rank(
     ``axes`` are covariates scaled to [0, 1]. Scores are min-max scaled over the table; a range below
     1e-12 leaves the score out (counted as 0 in the total).
     """
+    cap = settle(df, [], cap)
     out = with_ranks(df, [], first, "__a", desc=True, cap=cap)
     out = with_ranks(out, [], second, "__b", desc=True, cap=cap)
     raw = w[0] * F.col("__a_min") + w[1] * F.col("__b_min")
@@ -147,6 +151,7 @@ def consensus_rank(
     out = out.drop("__c_max", "__c_avg", "__c_dense")
     out = ordered(out, [], [f"-{first}", key], cap).following(__next=F.col(first)).done()
     out = out.withColumn("gap_next", F.col(first) - F.col("__next")).drop("__next")
+    out = staged(out, "consensus")  # its bounds are needed before its rows
     edges = [F.least(F.col(a), 1.0 - F.col(a)) for a in axes]
     out = out.withColumn("edge_score", sum(edges[1:], edges[0]) / float(len(edges)))
     scored = ["gap_next", "edge_score", "rank_gap"]

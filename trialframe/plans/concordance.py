@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import ordered
+from .stage import staged
 
 TASK_POINTS = 2_000_000
 BATCH_POINTS = 200_000
@@ -143,6 +144,7 @@ def concordance(
         .agg(F.count(F.lit(1)).alias("__w"))
         .withColumn("__g", F.to_json(F.struct(*by)))
     )
+    points = staged(points, "points")  # read five times below
 
     def tied(*cols: str) -> DataFrame:
         name = "_".join(("t",) + cols)

@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .stage import staged
+
 CAP_CONF = "trialframe.groupRowCap"
 DEFAULT_CAP = 4_000_000
+# for groups known to be small: the group sizes are not counted
+NO_SPLIT = 2**62
 ALL = "__all"
 EMPTY = 0
 
@@ -98,6 +102,17 @@ def _oversized(df: DataFrame, keys: list[str], cap: int) -> list:
     return counts.filter(F.col("__n") > cap).collect()  # at most rows / cap entries
 
 
+def settle(df: DataFrame, by: list[str], cap: int | None = None) -> int:
+    """The row cap, or ``NO_SPLIT`` where no group exceeds it; lets several steps share one count."""
+    limit = row_cap(df, cap)
+    if limit >= NO_SPLIT:
+        return NO_SPLIT
+    if not by:
+        df, by = df.withColumn(ALL, F.lit(EMPTY)), [ALL]
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return limit if counts.filter(F.col("__n") > limit).limit(1).count() else NO_SPLIT
+
+
 @dataclass
 class Ordered:
     """Rows with the range columns that keep each (group, range) small and the ranges in order."""
@@ -107,6 +122,7 @@ class Ordered:
     order: list[str]
     parts: list[str] = field(default_factory=list)
     shed: list[str] = field(default_factory=list)
+    pinned: bool = False
 
     # ---- windows ------------------------------------------------------------------------------
     @property
@@ -116,6 +132,11 @@ class Ordered:
     def _window(self):
         return Window.partitionBy(*self.keys).orderBy(*order_columns(self.order))
 
+    def _pin(self) -> None:
+        """An oversized group needs its rows twice per step: write them once, so steps do not multiply."""
+        if self.parts and not self.pinned:
+            self.df, self.pinned = staged(self.df, "ordered"), True
+
     def _replace(self, df: DataFrame) -> "Ordered":
         return Ordered(df, self.by, self.order, self.parts, self.shed)
 
@@ -131,6 +152,7 @@ class Ordered:
 
     def running(self, exclusive: bool = False, **cols: tuple[str, Column]) -> "Ordered":
         """Running ``sum``/``count``/``max``/``min`` in order, with or without the current row."""
+        self._pin()
         w = self._window().rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
         fold = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
         out = self.df.withColumns({n: fold[fn](c).over(w) for n, (fn, c) in cols.items()})
@@ -159,6 +181,7 @@ class Ordered:
 
     def index(self, name: str) -> "Ordered":
         """1-based position in the group."""
+        self._pin()
         out = self.df.withColumn(name, F.row_number().over(self._window()).cast("long"))
         if self.parts:
             carry = self._carry(
@@ -170,6 +193,7 @@ class Ordered:
         return self._replace(out)
 
     def _shift(self, cols: dict[str, Column], forward: bool) -> "Ordered":
+        self._pin()
         w = self._window()
         move = F.lead if forward else F.lag
         flag = "__edge"
@@ -201,6 +225,7 @@ class Ordered:
 
     def total(self, **cols: tuple[str, Column]) -> "Ordered":
         """Whole-group ``sum``/``count``/``max``/``min`` on every row."""
+        self._pin()
         fold = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
         w = Window.partitionBy(*self.keys)
         out = self.df.withColumns({n: fold[fn](c).over(w) for n, (fn, c) in cols.items()})
@@ -230,6 +255,8 @@ def ordered(df: DataFrame, by: list[str], order: list[str], cap: int | None = No
         df, by = df.withColumn(ALL, F.lit(EMPTY)), [ALL]
         shed = [ALL]
     parts: list[str] = []
+    if limit >= NO_SPLIT:
+        return Ordered(df, list(by), order, parts, shed)
     for level, (name, desc) in enumerate(_parse(order)):
         scope = df if not parts else df.filter(F.pmod(F.col(parts[-1]), F.lit(2)) == 1)
         keys = by + parts

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import join_on, order_columns, ordered
+from .ordered import NO_SPLIT, join_on, order_columns, ordered, row_cap, settle
 
+# values the built-in percentile may buffer for one group
+SMALL_GROUP = 200_000
 
 def with_ranks(
     df: DataFrame, by: list[str], col: str, prefix: str, desc: bool = False, cap: int | None = None
@@ -22,6 +24,8 @@ def with_ranks(
     keys = list(o.keys)
     work = o.df
     if o.parts:
+        o._pin()
+        work = o.df
         part = F.col(o.parts[0])
         lone = F.coalesce(F.pmod(part, F.lit(2)) == 1, F.lit(False))
         work = work.withColumn("__lone", lone).withColumn(
@@ -74,23 +78,27 @@ def top_rows(df: DataFrame, by: list[str], order: list[str], k: int, name: str =
 
 
 def percentiles(
-    df: DataFrame, by: list[str], col: str, probs: dict[str, float], cap: int | None = None,
-    extra: list[Column] | None = None,
+    df: DataFrame, by: list[str], col: str, probs: dict[str, float], cap: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, named by ``probs``.
 
-    Equal values are counted before the shuffle; the two neighbours of each point are then picked
-    out of the running counts, so no task ever buffers a group as the built-in exact percentile does.
-    ``extra`` aggregates (over ``__v`` and its multiplicity ``__w``) ride on the same pass.
+    Small groups take the built-in exact percentile, which buffers a group's values. Where a group is
+    larger, equal values are counted before the shuffle and the two neighbours of each point are picked
+    out of the running counts, so no task buffers a group.
     """
-    tall = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
+    rows = df.filter(F.col(col).isNotNull())
+    if settle(rows, by, min(row_cap(df, cap), SMALL_GROUP)) == NO_SPLIT:
+        points = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
+        small = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), points.alias("__p"))
+        return small.withColumns({n: F.col("__p")[i] for i, n in enumerate(probs)}).drop("__p")
+    tall = rows.groupBy(*by, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
     o = ordered(tall, by, ["__v"], cap).running(__cum=("sum", F.col("__w"))).total(__n=("sum", F.col("__w")))
     at = {n: (F.col("__n") - 1) * F.lit(float(p)) for n, p in probs.items()}
     picks = []
     for n, pos in at.items():
         picks.append(F.min(F.when(F.col("__cum") > F.floor(pos), F.col("__v"))).alias(f"__lo_{n}"))
         picks.append(F.min(F.when(F.col("__cum") > F.ceil(pos), F.col("__v"))).alias(f"__hi_{n}"))
-    g = o.df.groupBy(*o.by).agg(F.max("__n").alias("__n"), *picks, *(extra or []))
+    g = o.df.groupBy(*o.by).agg(F.max("__n").alias("__n"), *picks)
     for n, p in probs.items():
         pos = (F.col("__n") - 1) * F.lit(float(p))
         lo, hi = F.col(f"__lo_{n}"), F.col(f"__hi_{n}")

@@ -38,14 +38,20 @@ class _FirstStop(StatefulProcessor):
         return tuple(self.progress.get()) if self.progress.exists() else (0, False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sampled, stopped = self._progress()
+        _, stopped = self._progress()
         if not stopped:
+            first = None
             for pdf in rows:
                 self.waiting.appendList([(t.to_pydatetime(), int(s), float(p)) for t, s, p in zip(pdf["ts"], pdf["seq"], pdf["poe"])])
-                for t in set((pdf["ts"].astype("int64") // 1_000 // 1_000) + 1):
-                    self.handle.registerTimer(int(t))
+                first = pdf["ts"].min() if first is None else min(first, pdf["ts"].min())
+            if first is not None:
+                self._wake(first)
         return iter([])
 
+    def _wake(self, ts) -> None:
+        """One timer, for the earliest waiting row; it settles every row the watermark has passed."""
+        self.handle.registerTimer(int(pd.Timestamp(ts).tz_localize(None).timestamp() * 1000) + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         sampled, stopped = self._progress()
         if stopped or not self.waiting.exists():
@@ -66,6 +72,7 @@ class _FirstStop(StatefulProcessor):
             self.waiting.clear()
         else:
             self.waiting.put(later)
+            self._wake(later[0][0])
         return iter(out)
 
     def close(self) -> None:
@@ -155,7 +162,8 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
         query = writer.outputMode(mode).foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.schema(f"{_ddl(stream)}{'' if mode == 'append' else ', batch_id int'}").parquet(path)
+    columns = stream.columns if mode == "append" else [*stream.columns, "batch_id"]
+    return spark.read.schema(f"{_ddl(stream)}{'' if mode == 'append' else ', batch_id int'}").parquet(path).select(*columns)
 
 
 def _ddl(df: DataFrame) -> str:
