@@ -157,10 +157,15 @@ def substrings(c) -> Column:
 def safe_parse(c, schema: str) -> Column:
     """JSON, else a Python literal (single quotes, None/True/False), else null."""
     text = F.when(F.lower(F.trim(col(c))).isin("", "nan"), None).otherwise(F.trim(col(c)))
-    options = {"allowSingleQuotes": "true"}
-    strict = F.from_json(text, schema, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    # inside an array a malformed text parses to null, not to a struct of nulls
+    inner = schema if schema.startswith(("array", "struct", "map")) else f"struct<{schema}>"
+
+    def parse(t: Column, quotes: str) -> Column:
+        wrapped = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"array<{inner}>", {"allowSingleQuotes": quotes})
+        return F.get(wrapped, F.lit(0))
+
     loose = reduce(
         lambda t, pair: F.regexp_replace(t, rf"(?<=[:,\[\{{]\s{{0,8}}){pair[0]}(?=\s*[,\]\}}])", pair[1]),
         (("None", "null"), ("True", "true"), ("False", "false")), text,
     )
-    return F.coalesce(strict, F.from_json(loose, schema, options))
+    return F.coalesce(parse(text, "false"), parse(loose, "true"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,8 @@ def read_extraction_jsonl(spark: SparkSession, path: str, schema: str = EXTRACTI
     """Nested papers, one JSON object per line; malformed lines are left out."""
     bad = "_corrupt_record"
     raw = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").json(path)
-    return raw.filter(F.col(bad).isNull()).drop(bad)
+    read = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in raw.columns if c != bad])
+    return raw.filter(F.col(bad).isNull() & read).drop(bad)
 
 
 def resolve_columns(df: DataFrame, aliases: dict[str, list[str]]) -> dict[str, str]:
