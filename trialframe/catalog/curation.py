@@ -405,14 +405,14 @@ def parsed_event_props(spark, sf):
 
 
 @query(
-    "flattened_conversations",
-    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS record_idx, turn, role, md5(text) AS text FROM conversations",
+    "flattened_document_lines",
+    "SELECT doc_id, lang, i::INT AS record_idx, length(l[i])::INT AS value, md5(l[i]) AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) r(i) WHERE i <= len(l)",
 )
-def flattened_conversations(spark, sf):
-    c = table(spark, sf, "conversations")
-    # turns of one conversation are gathered only to obtain the nested form the operator takes apart
-    papers = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("records"))
-    return D.flatten_records(papers, ["conv_id"]).withColumn("text", F.md5("text"))
+def flattened_document_lines(spark, sf):
+    docs = table(spark, sf, "documents")
+    # the lines of a text are its nested records
+    nested = F.transform(F.split("text", "\n"), lambda t: F.struct(F.length(t).alias("value"), F.md5(t).alias("line")))
+    return D.flatten_records(docs.select("doc_id", "lang", nested.alias("records")), ["doc_id", "lang"])
 
 
 LABEL_BASE = r"""lab AS (SELECT p_brand AS k, lower(p_type) || ' gel' AS label, min(p_partkey) AS ord FROM part GROUP BY ALL UNION ALL SELECT p_brand, 'Vehicle F' || p_size, min(p_partkey) FROM part WHERE p_retailprice < 1500 GROUP BY ALL),
@@ -562,16 +562,17 @@ def replay_differences(spark, sf):
 
 @query(
     "refined_lookups",
-    f"""WITH last AS (SELECT l_orderkey, l_returnflag AS lab, arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) AS v FROM lineitem GROUP BY ALL)
-    SELECT o_orderkey, v AS api_value_refined, CASE WHEN v IS NULL THEN '' ELSE 'mg/g' END AS api_unit_refined, {R('v * 0.1', 3)} AS api_pct_refined FROM orders LEFT JOIN last ON l_orderkey = o_orderkey AND lab = CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'N' END""",
+    f"""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 7)::DOUBLE WHEN o_custkey % 3 = 1 THEN o_totalprice / 1000 END AS api_value_refined, CASE o_custkey % 3 WHEN 0 THEN 'mg/g' WHEN 1 THEN '%' ELSE '' END AS api_unit_refined,
+    {R('CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 7) * 0.1::DOUBLE WHEN o_custkey % 3 = 1 THEN o_totalprice / 1000 END', 5)} AS api_pct_refined FROM orders""",
 )
 def refined_lookups(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, " A ").otherwise("N").alias("formulation_label"))
-    li = table(spark, sf, "lineitem")
-    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", F.col("l_returnflag").alias("formulation_label"), F.col("l_quantity").alias("api_value"), F.lit("mg/g").alias("api_unit"), F.lit("").alias("api_basis"))
-    # the lines of one order form the nested answer the operator takes apart
-    answers = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    return J.lookup_refined(o, answers, ["o_orderkey"], "formulation_label").select("o_orderkey", "api_value_refined", "api_unit_refined", grid("api_pct_refined", 3).alias("api_pct_refined"))
+    o = table(spark, sf, "orders")
+    pick = F.col("o_custkey") % 3
+    asked = o.select("o_orderkey", F.when(pick == 0, " A ").when(pick == 1, "N").otherwise("R").alias("formulation_label"))
+    item = lambda lab, v, u: F.struct(F.lit(lab).alias("formulation_label"), v.alias("api_value"), F.lit(u).alias("api_unit"), F.lit("").alias("api_basis"))
+    price, small = F.col("o_totalprice") / 1000, (F.col("o_custkey") % 7).cast("double")
+    answers = o.select("o_orderkey", F.array(item("A", price, "%"), item("N ", price, "%"), item("A", small, "mg/g")).alias("items"))
+    return J.lookup_refined(asked, answers, ["o_orderkey"], "formulation_label").select("o_orderkey", "api_value_refined", "api_unit_refined", grid("api_pct_refined", 5).alias("api_pct_refined"))
 
 
 @query(

@@ -25,9 +25,12 @@ EXTRACTION_SCHEMA = (
 )
 
 
-def read_search_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Papers of saved search responses; the link is the DOI, the PubMed or the first full-text one."""
-    raw = spark.read.schema(SEARCH_SCHEMA).option("multiLine", True).json(path)
+def read_search_dump(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Papers of saved search responses; the link is the DOI, the PubMed or the first full-text one.
+
+    A multi-line response is one unsplittable file; one response per line splits and scales.
+    """
+    raw = spark.read.schema(SEARCH_SCHEMA).option("multiLine", multi_line).json(path)
     r = raw.select(F.explode_outer("resultList.result").alias("r"), "query").filter("r IS NOT NULL")
     filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
     link = F.coalesce(filled("r.doiUrl"), filled("r.pmidUrl"), F.get(F.col("r.fullTextUrlList.fullTextUrl"), F.lit(0))["url"])

@@ -32,20 +32,30 @@ class _FirstStop(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts timestamp, seq long, poe double")
-        self.progress = handle.getValueState("progress", "sampled long, stopped boolean")
+        self.progress = handle.getValueState("progress", "sampled long, stopped boolean, candidate timestamp")
 
-    def _progress(self) -> tuple[int, bool]:
-        return tuple(self.progress.get()) if self.progress.exists() else (0, False)
+    def _progress(self) -> tuple:
+        """Rows sampled so far, whether stopped, and the earliest waiting row that would stop."""
+        return tuple(self.progress.get()) if self.progress.exists() else (0, False, None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        _, stopped = self._progress()
-        if not stopped:
-            first = None
-            for pdf in rows:
+        sampled, stopped, candidate = self._progress()
+        if stopped:
+            return iter([])
+        first = None
+        for pdf in rows:
+            hits = pdf.loc[pdf["poe"] < self.threshold, "ts"]
+            if len(hits):
+                low = hits.min().to_pydatetime()
+                candidate = low if candidate is None else min(candidate, low)
+                self.progress.update((sampled, stopped, candidate))
+            # rows after the earliest stop cannot matter any more
+            pdf = pdf if candidate is None else pdf[pdf["ts"] <= pd.Timestamp(candidate)]
+            if len(pdf):
                 self.waiting.appendList([(t.to_pydatetime(), int(s), float(p)) for t, s, p in zip(pdf["ts"], pdf["seq"], pdf["poe"])])
                 first = pdf["ts"].min() if first is None else min(first, pdf["ts"].min())
-            if first is not None:
-                self._wake(first)
+        if first is not None:
+            self._wake(first)
         return iter([])
 
     def _wake(self, ts) -> None:
@@ -53,7 +63,7 @@ class _FirstStop(StatefulProcessor):
         self.handle.registerTimer(int(pd.Timestamp(ts).tz_localize(None).timestamp() * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sampled, stopped = self._progress()
+        sampled, stopped, candidate = self._progress()
         if stopped or not self.waiting.exists():
             return iter([])
         limit = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
@@ -67,7 +77,7 @@ class _FirstStop(StatefulProcessor):
                 stopped = True
                 out.append(pd.DataFrame({"key": [str(key[0])], "stopped_at": [ts], "seq": [seq], "position": [sampled - 1], "poe": [poe]}))
                 break
-        self.progress.update((sampled, stopped))
+        self.progress.update((sampled, stopped, candidate))
         if stopped or not later:
             self.waiting.clear()
         else:
