@@ -13,7 +13,7 @@ HOUR_UNITS = ("h", "hr", "hrs", "hour", "hours")
 MINUTE_UNITS = ("min", "mins", "minute", "minutes")
 SECOND_UNITS = ("s", "sec", "secs", "second", "seconds")
 # Phrases of a balance ingredient.
-BALANCE = r"(?i)\bqs\b|\bq\.\s?s\.|\bbalance\b|make up to"
+BALANCE = r"\bqs\b|\bq\.\s?s\.|\bbalance\b|make up to"
 # Endings of per-time units.
 PER_TIME = r"[/·*.](h|hr|hrs|hour|hours|min|mins|s|sec|day|d)$|(h|min|s)-1$"
 NUMBER = r"(\d+(?:\.\d+)?)"
@@ -46,7 +46,11 @@ def parse_concentration(c) -> Column:
 
 
 def to_percent_w_w(value, unit, basis) -> Column:
-    v, u, b = col(value).cast("double"), clean_unit(unit), F.lower(text_or_empty(basis))
+    return percent_of(col(value).cast("double"), clean_unit(unit), F.lower(text_or_empty(basis)))
+
+
+def percent_of(v: Column, u: Column, b: Column) -> Column:
+    """As ``to_percent_w_w`` for a cleaned unit and a lower-case basis."""
     has = lambda text: F.contains(u, F.lit(text))
     return (
         F.when(v.isNull() | F.isnan(v), None)
@@ -80,7 +84,10 @@ def target_answer(raw, value, unit, basis) -> Column:
 
 
 def time_to_hours(value, unit) -> Column:
-    v, u = col(value).cast("double"), norm_key(unit)
+    return hours_of(col(value).cast("double"), norm_key(unit))
+
+
+def hours_of(v: Column, u: Column) -> Column:
     return (
         F.when(u.isin(*HOUR_UNITS), v).when(u.isin(*MINUTE_UNITS), v / 60.0).when(u.isin(*SECOND_UNITS), v / 3600.0)
     )
@@ -92,17 +99,20 @@ def amount_to_ug_cm2(value, unit, area, kind, mode: str = "strict") -> Column:
     ``strict`` rejects per-time units, which are fluxes; ``loose`` accepts any unit text that
     contains the mass (and area) unit.
     """
-    v, u, a, k = col(value).cast("double"), clean_unit(unit), col(area).cast("double"), col(kind)
+    return amount_of(col(value).cast("double"), clean_unit(unit), col(area).cast("double"), col(kind), mode)
+
+
+def amount_of(v: Column, u: Column, a: Column, k: Column, mode: str = "strict") -> Column:
+    """As ``amount_to_ug_cm2`` for a cleaned unit."""
     scale = F.when(F.contains(u, F.lit("ug")), 1.0).when(F.contains(u, F.lit("mg")), 1000.0).when(
         F.contains(u, F.lit("ng")), 0.001
     )
-    per_area = F.when(F.contains(u, F.lit("cm")), v * scale)
-    total = F.when(a > 0, v * scale / a)
-    out = F.when(k == "amount_per_area", per_area).when(k == "amount_total", total)
+    share = F.when((k == "amount_per_area") & F.contains(u, F.lit("cm")), 1.0).when((k == "amount_total") & (a > 0), a)
+    out = v * scale / share
     if mode == "loose":
         return out
     return F.when(~u.rlike(PER_TIME), out)
 
 
 def is_balance(c) -> Column:
-    return text_or_empty(c).rlike(BALANCE)
+    return F.lower(text_or_empty(c)).rlike(BALANCE)

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import minmax_fixed, softcap_objective
-from ..functions.text import anchor_pages, expr_features, id_tokens, norm_label, safe_parse, table_hint
+from ..functions.text import (
+    anchor_pages, expr_features, id_tokens, norm_key, norm_label, safe_parse, table_hint, text_or_empty,
+)
 from ..functions.units import (
-    amount_to_ug_cm2, is_balance, is_target, parse_concentration, target_answer, time_to_hours, to_percent_w_w,
+    amount_of, clean_unit, hours_of, is_balance, is_target, parse_concentration, percent_of, target_answer,
 )
 from .corpus import first_per_key
 
@@ -37,21 +39,29 @@ def standardise_records(df: DataFrame) -> DataFrame:
     df = ensure_columns(
         df, {**{c: null.cast("string") for c in strings}, **{c: null.cast("double") for c in numbers}}
     )
-    balance = is_balance("conc_raw")
-    out = df.withColumns(
+    # cleaned once here: the rules below refer to each of these several times
+    clean = df.withColumns(
+        {
+            "__balance": is_balance("conc_raw"), "__cu": clean_unit("conc_unit"), "__eu": clean_unit("endpoint_unit"),
+            "__basis": F.lower(text_or_empty("conc_basis")), "__tu": norm_key("time_unit"),
+        }
+    )
+    value, amount = F.col("conc_value").cast("double"), F.col("endpoint_value").cast("double")
+    balance = F.col("__balance")
+    out = clean.withColumns(
         {
             "conc_pct_text": F.when(~balance, parse_concentration("conc_raw")),
-            "conc_pct": F.when(~balance, to_percent_w_w("conc_value", "conc_unit", "conc_basis")),
+            "conc_pct": F.when(~balance, percent_of(value, F.col("__cu"), F.col("__basis"))),
             "conc_basis_std": F.when(balance, "balance").otherwise(F.coalesce("conc_basis", F.lit("unknown"))),
             "target_5pct": target_answer("conc_raw", "conc_value", "conc_unit", "conc_basis"),
-            "endpoint_time_h": time_to_hours("time_value", "time_unit"),
-            "endpoint_ug_cm2": amount_to_ug_cm2("endpoint_value", "endpoint_unit", "area_cm2", "endpoint_kind"),
+            "endpoint_time_h": hours_of(F.col("time_value").cast("double"), F.col("__tu")),
+            "endpoint_ug_cm2": amount_of(amount, F.col("__eu"), F.col("area_cm2").cast("double"), F.col("endpoint_kind")),
             "label_key": norm_label("label"),
             "label_ids": id_tokens("label"),
             "pages": anchor_pages("locator"),
             "table_ref": table_hint("locator"),
         }
-    )
+    ).drop("__balance", "__cu", "__eu", "__basis", "__tu")
     return out.withColumns(
         {"target_exact": is_target("conc_pct"), "target_band": is_target(F.coalesce("conc_pct", "conc_pct_text"), "band")}
     )

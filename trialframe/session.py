@@ -15,6 +15,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # The JVM leaves methods above 8000 bytes of bytecode uncompiled. Wide rule projections exceed that as one
+    # generated stage; below this limit Spark splits them into methods the JVM does compile.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
