@@ -22,22 +22,23 @@ def residual_intervals(
     res = train.filter(finite(obs) & finite(pred)).select(F.col(time).alias("__t"), (F.col(obs) - F.col(pred)).alias("__e"))
     later = res.filter(~is_close("__t", 0.0))
 
-    def stats(df: DataFrame, by: list[str]) -> DataFrame:
-        sd = F.when(F.count(F.lit(1)) > 1, F.stddev_samp("__e")).otherwise(0.0)
-        return join_on(df.groupBy(*by).agg(F.avg("__e").alias("__mean"), sd.alias("__sd")), percentiles(df, by, "__e", points, cap).drop("n"), by)
-
-    per = stats(later, ["__t"])
-    names = ["__mean", "__sd", *points]
-    pooled = stats(later, []).agg(F.struct(*[F.first(n).alias(n) for n in names])).scalar()
-    j = join_on(test.withColumn("__t", F.col(time)), per, ["__t"], "left").withColumn("__all", pooled)
+    mean, sd = F.avg("__e"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("__e")).otherwise(0.0)
+    basic = later.groupBy("__t").agg(mean.alias("__mean"), sd.alias("__sd"))
+    per = join_on(basic, percentiles(later, ["__t"], "__e", points, cap).drop("n"), ["__t"])
+    pooled = later.agg(F.struct(mean.alias("__mean"), sd.alias("__sd"))).scalar()
+    spread = percentiles(later, [], "__e", points, cap).agg(F.struct(*[F.first(n).alias(n) for n in points])).scalar()
+    j = join_on(test.withColumn("__t", F.col(time)), per, ["__t"], "left").withColumns({"__all": pooled, "__pts": spread})
     zero = is_close(time, 0.0)
-    value = lambda n: F.when(zero, 0.0).otherwise(F.coalesce(n, f"__all.{n}"))
+
+    def value(n: str) -> Column:
+        return F.when(zero, 0.0).otherwise(F.coalesce(n, f"{'__pts' if n in points else '__all'}.{n}"))
+
     out = j.withColumns(
         {
             "residual_mean": value("__mean"), "residual_sd": value("__sd"), "low": F.col(pred) + value("__lo"),
             "mid": F.col(pred) + value("__mid"), "high": F.col(pred) + value("__hi"),
         }
-    ).drop("__t", "__all", *names)
+    ).drop("__t", "__all", "__pts", "__mean", "__sd", *points)
     return out.withColumn("covered", F.col(obs).between(F.col("low"), F.col("high")))
 
 

@@ -23,9 +23,17 @@ def _top_pair(df: DataFrame, by: list[str], true: str, pred: str, ident: str, k:
     return join_on(t, p, [*by, ident], "full_outer")
 
 
+def _predictions(df: DataFrame, by: list[str], true: str, pred: str, ident: str) -> DataFrame:
+    """The usable rows with the columns the rankings need, written once: each ranking sorts them anew."""
+    return staged(both_finite(df.select(*by, ident, true, pred), true, pred), "predictions")
+
+
 def topk_quality(df: DataFrame, by: list[str], true: str, pred: str, ident: str, kmax: int = 6) -> DataFrame:
     """Precision, recall, top-1 hit and random baseline for k = 1..min(kmax, n). Ties go by ``ident``."""
-    rows = both_finite(df, true, pred)
+    return _topk(_predictions(df, by, true, pred, ident), by, true, pred, ident, kmax)
+
+
+def _topk(rows: DataFrame, by: list[str], true: str, pred: str, ident: str, kmax: int) -> DataFrame:
     size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     top = _top_pair(rows, by, true, pred, ident, kmax)
     both = (F.col("__rt") <= F.col("k")) & (F.col("__rp") <= F.col("k"))
@@ -46,7 +54,7 @@ def gains_curve(
     df: DataFrame, by: list[str], true: str, pred: str, ident: str, q: float = 0.25, cap: int | None = None
 ) -> DataFrame:
     """Recall of the true best ``q`` share among the first k predicted, for every k."""
-    rows = both_finite(df.select(*by, ident, true, pred), true, pred)
+    rows = _predictions(df, by, true, pred, ident)
     cap = settle(rows, by, cap)
     ranked = ordered(rows, by, [f"-{true}", ident], cap).index("__rt").total(n=("count", F.lit(1))).done()
     good = F.greatest(F.lit(1), F.ceil(q * F.col("n")))
@@ -68,7 +76,7 @@ def gains_points(curve: DataFrame, by: list[str], thresholds=(2.0 / 3.0, 1.0)) -
 
 def top_hit_sets(df: DataFrame, by: list[str], true: str, pred: str, label: str) -> DataFrame:
     """Whether the best one agrees and the best two overlap, with the label lists."""
-    top = _top_pair(both_finite(df, true, pred), by, true, pred, label, 2)
+    top = _top_pair(_predictions(df, by, true, pred, label), by, true, pred, label, 2)
 
     def labels(rank: str, k: int) -> Column:
         # two rows at most per group
@@ -92,7 +100,7 @@ def rank_metrics(
     zero_var: float | None = 0.0, variant: str = "custom", cap: int | None = None,
 ) -> DataFrame:
     """Spearman, Kendall, pair accuracy with tail probability, and top-k agreement per group."""
-    df = staged(both_finite(df.select(*by, ident, true, pred), true, pred), "predictions")  # read by each metric
+    df = _predictions(df, by, true, pred, ident)
     rho = spearman(df, by, true, pred, zero_var, cap).filter(F.col("n") >= min_n)
     pairs = concordance(both_finite(df.select(*by, true, pred), true, pred), by, true, pred)
     m = F.col("concordant") + F.col("discordant")
@@ -100,7 +108,7 @@ def rank_metrics(
         *by, tau_from_counts(variant).alias("kendall_tau"), m.alias("untied_pairs"),
         F.col("concordant").alias("correct_pairs"), F.when(m > 0, F.col("concordant") / m).alias("pair_accuracy"),
     )
-    top = topk_quality(df, by, true, pred, ident, k).filter(F.col("k") == F.least(F.lit(k), F.col("n")))
+    top = _topk(df, by, true, pred, ident, k).filter(F.col("k") == F.least(F.lit(k), F.col("n")))
     top = top.select(*by, F.col("precision").alias("precision_at_k"), F.col("hit").alias("hit_at_k"))
     out = join_on(join_on(rho, pairs, by), top, by)
     return out.withColumn(
