@@ -1,6 +1,6 @@
 """Run registered queries in Spark and their SQL in DuckDB and compare all values.
 
-    python tests/compare.py [sf_dir] [name ...]
+    [GROUP_ROW_CAP=50] python tests/compare.py [sf_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -73,6 +73,8 @@ def main() -> None:
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:]
     spark, con = local_session(8, "compare"), connect(sf_dir)
+    if os.environ.get("GROUP_ROW_CAP"):  # exercise the plans for oversized groups
+        spark.conf.set("trialframe.groupRowCap", os.environ["GROUP_ROW_CAP"])
     sql, bad = oracle_sql(), []
     for name, fn in queries().items():
         if names and not any(n in name for n in names):
