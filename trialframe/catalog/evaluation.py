@@ -66,7 +66,7 @@ def curve_auc(spark, sf):
 
 @query(
     "endpoints_from_curves",
-    f"""WITH {DAY_CURVE}{AUC_SQL}, e AS (SELECT user_id, max(CASE WHEN time_h = 6 THEN q_obs END) AS eo, max(CASE WHEN time_h = 6 THEN q_pred END) AS ep
+    f"""WITH {DAY_CURVE.replace('curve AS', 'fine AS', 1)}, curve AS (SELECT user_id, time_h, floor(q_obs) AS q_obs, q_pred FROM fine){AUC_SQL}, e AS (SELECT user_id, max(CASE WHEN time_h = 6 THEN q_obs END) AS eo, max(CASE WHEN time_h = 6 THEN q_pred END) AS ep
       FROM curve GROUP BY user_id),
     j AS (SELECT user_id % 3 AS dataset, user_id, eo AS end_q_obs, ep AS end_q_pred, {R('auc_obs', 3)} AS auc_q_obs, {R('auc_pred', 3)} AS auc_q_pred FROM e JOIN auc USING (user_id))
     SELECT *, CASE WHEN end_q_obs IS NOT NULL THEN rank() OVER (PARTITION BY dataset ORDER BY end_q_obs DESC NULLS LAST) END AS end_q_obs_rank,
@@ -74,7 +74,8 @@ def curve_auc(spark, sf):
     rank() OVER (PARTITION BY dataset ORDER BY auc_q_obs DESC) AS auc_q_obs_rank, rank() OVER (PARTITION BY dataset ORDER BY auc_q_pred DESC) AS auc_q_pred_rank FROM j""",
 )
 def endpoints_from_curves(spark, sf):
-    curve = day_curve(spark, sf).withColumn("dataset", F.col("user_id") % 3)
+    # whole values on whole days keep the areas exact, so equal ones tie in any engine
+    curve = day_curve(spark, sf).withColumns({"dataset": F.col("user_id") % 3, "q_obs": F.floor("q_obs").cast("double")})
     out = M.endpoint_from_curve(curve, ["user_id"], ["dataset"], "time_h", ["q_obs", "q_pred"], 6.0)
     return gridded(out, auc_q_obs=3, auc_q_pred=3)
 
