@@ -65,6 +65,19 @@ def test_ranks(skewed, cap, desc):
     _same(got, want, want.columns)
 
 
+def test_ranks_of_whole_numbers_beyond_double_precision(spark):
+    big = 2**60
+    rows = [("g", i, big + i % 3 if i % 2 else 7) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, id long, v long")
+    w = Window.partitionBy("g").orderBy("v")
+    want = df.select("id", F.rank().over(w).alias("r_min"), F.dense_rank().over(w).alias("r_dense"))
+    _same(with_ranks(df, ["g"], "v", "r", cap=20), want, want.columns)
+    o = ordered(df, ["g"], ["v", "id"], 20)
+    assert len(o.parts) == 2  # the lone value 7 is cut on the identifier
+    first = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).cast("long").alias("i"))
+    _same(o.index("i").done(), first, ["id", "i"])
+
+
 def test_global_ranks_and_percentiles(skewed):
     got = with_ranks(skewed, [], "y", "r", cap=50).agg(F.sum("r_avg")).first()[0]
     assert got == 600 * 601 / 2

@@ -80,7 +80,7 @@ def _numeric_key(df: DataFrame, name: str, desc: bool) -> tuple[Column, bool]:
         key = F.unix_date(col).cast("double")
     else:
         key = F.nanvl(col.cast("double"), F.lit(float("inf")))
-        exact = not isinstance(kind, (T.LongType, T.DecimalType))
+        exact = not isinstance(kind, T.DecimalType)
     return (-key if desc else key), exact
 
 
@@ -290,7 +290,8 @@ def _cut(df: DataFrame, keys: list[str], name: str, desc: bool, hot: list, limit
     steps = max(1, pieces.bit_length())
     at = _position(F.col("__cuts"), key, steps)
     joined = joined.withColumn("__key", key).withColumn("__at", F.when(F.col("__cuts").isNotNull(), at))
-    on_cut = F.try_element_at(F.col("__cuts"), F.col("__at") + 1) == F.col("__key")
+    # beyond 2**53 different whole numbers share a double, so such a cut does not stand for one value
+    on_cut = (F.try_element_at(F.col("__cuts"), F.col("__at") + 1) == F.col("__key")) & (F.abs("__key") < 2.0**53)
     # even: the open range between two cuts; odd: exactly one cut value; nulls where the sort puts them
     nulls = F.lit(2 * pieces + 2 if desc else -2)
     place = (
