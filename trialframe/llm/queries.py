@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality, secret_scan
+from . import chat, exact_dedup, licenses, line_dedup, mixing, packing, quality, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 BARE = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
 
+@query("op1_source_mix")
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_line_dedup",
     """WITH lines AS (
@@ -90,3 +95,69 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = quality.train_lines(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, field)
+
+
+@query(
+    "op6_perspective_chat",
+    f"""WITH t AS (SELECT conv_id, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, turn, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, text) - 1 AS pos FROM t),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM n WHERE speaker <> 'system'),
+r AS (SELECT n.conv_id, perspective, pos, pos // {chat.BLOCK_TURNS} AS block, speaker = perspective AS learn,
+  '{chat.OPEN}' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
+    ELSE 'user name=' || replace(speaker, '<|im_', '< |im_') END || chr(10) AS head,
+  replace(text, '<|im_', '< |im_') || '{chat.CLOSE}' || chr(10) AS body FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block ORDER BY pos
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)
+SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || body, '' ORDER BY pos) AS text,
+  coalesce(string_agg((start + length(head)) || ':' || (start + length(head) + length(body) - 1), ',' ORDER BY pos) FILTER (learn), '') AS mask
+FROM o GROUP BY conv_id, perspective, block""",
+)
+def op6_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.render(chat.rotate(table(spark, sf_dir, "conversations")))
+    spans = F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return out.withColumn("mask", F.array_join(spans, ","))
+
+
+def filed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/hundreds of ids/tens of ids/name. One that opens with a licence statement is its directory's licence file."""
+    docs = table(spark, sf_dir, "documents")
+    opening = F.lower(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1))
+    name = F.when(opening.contains("licen"), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    return docs.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000), part(100), name).alias("path"), "text")
+
+
+TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+SQL_TERMS = "list_filter(string_split_regex(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9.-]+', ' ', 'g'), '[.-]+( |$)', ' ', 'g'), ' +'), lambda w: w <> '')"
+SQL_CUE = "(" + " OR ".join(f"contains(lower({{0}}), '{cue}')" for cue in licenses.CUES) + ")"
+
+
+@query(
+    "op10_license_scan",
+    f"""WITH f AS (SELECT doc_id, coalesce(source, 'none') || '/' || doc_id // 1000 || '/' || doc_id // 100 || '/' ||
+  CASE WHEN contains(lower(string_split(coalesce(text, ''), chr(10))[1]), 'licen') THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS path, text FROM documents),
+h AS (SELECT DISTINCT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f) WHERE {SQL_CUE.format('line')}),
+lines AS (SELECT line, count(*) AS n FROM h GROUP BY line),
+tpl AS (SELECT * FROM (VALUES {TEMPLATE_ROWS}) AS v(template, license, line)),
+words AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest({SQL_TERMS.format('line')}) AS term FROM lines) GROUP BY ALL),
+model AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({SQL_TERMS.format('line')}) AS term FROM tpl) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT coalesce(sum(n), 0) FROM lines) + {len(licenses.TEMPLATES)}) / (1.0::DOUBLE + sum(df))) + 1 AS idf FROM (
+  SELECT term, n AS df FROM words UNION ALL SELECT term, 1 FROM model) GROUP BY term),
+own AS (SELECT line, term, tf * idf AS w FROM words JOIN idf USING (term)),
+side AS (SELECT template, license, term, v / sqrt(sum(v * v) OVER (PARTITION BY template)) AS v FROM (SELECT template, license, term, tf * idf AS v FROM model JOIN idf USING (term))),
+scored AS (SELECT line, license, cosine FROM (SELECT line, template, license, round(sum(w * v) / any_value(norm), 4) AS cosine
+    FROM own JOIN side USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS norm FROM own GROUP BY line) USING (line) GROUP BY ALL)
+  WHERE cosine >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, template) = 1),
+best AS (SELECT doc_id, arg_max(license, (cosine, license)) AS own_license, max(cosine) AS cosine FROM h JOIN scored USING (line) GROUP BY doc_id),
+known AS (SELECT f.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own_license, cosine FROM f LEFT JOIN best USING (doc_id)),
+givers AS (SELECT dir AS up, arg_min(own_license, (-cosine, path)) AS dir_license FROM known
+  WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '[^/]*$'), '^(licen[cs]e|copying|copyright|notice)', 'i') GROUP BY dir),
+near AS (SELECT dir, arg_max(up, length(up)) AS up, arg_max(dir_license, length(up)) AS dir_license FROM (SELECT DISTINCT dir FROM known) JOIN givers
+  ON dir = up OR starts_with(dir, up || '/') GROUP BY dir)
+SELECT doc_id, path, own_license, cosine, coalesce(own_license, dir_license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+  CASE WHEN own_license IS NOT NULL THEN dir ELSE up END AS from_dir
+FROM known LEFT JOIN near USING (dir)""",
+)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(filed_documents(spark, sf_dir), passed=("doc_id",))
