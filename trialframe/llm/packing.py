@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +27,93 @@ PIECES = (
 )
 
 
+# characters whose treatment by the tokenizer is settled: ASCII, the letters of Latin-1, and common typographic marks
+SETTLED = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ\\u2013\\u2014\\u2018\\u2019\\u201c\\u201d\\u2026]")
+# fixed value: the tokenizer's own split of lower-case text, written for those characters
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+class Table(dict):
+    """Numbers strings as they come; ``new`` holds those whose ids aren't known yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+class Ids:
+    """The ids of the strings of a table, one after another."""
+
+    def __init__(self):
+        self.table = Table()
+        self.flat = np.zeros(1 << 16, dtype="<u4")
+        self.first, self.count = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.used = self.known = 0
+
+    def learn(self, lists: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        total, n = int(counts.sum()), self.known + len(lists)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n > len(self.first):
+            self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), dtype="<u4", count=total)
+        self.first[self.known : n] = self.used + np.cumsum(counts) - counts
+        self.count[self.known : n] = counts
+        self.used, self.known = self.used + total, n
+        self.table.new.clear()
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        first, count = self.first[codes], self.count[codes]
+        total = int(count.sum())
+        return self.flat[np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)]
+
+
 class Tokenizer:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, part by part.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. Words are
-    encoded once per task and looked up afterwards. The split is at spaces, tabs and line ends only; whatever else the
-    tokenizer treats as white space stays inside a word, for the tokenizer to split.
+    The tokenizer normalises, splits into parts and encodes each part by itself; parts never cross white space. Texts of
+    settled characters are split here and only new parts are encoded. Any other text is cut at white space and each new
+    piece goes through the whole tokenizer. Parts and pieces are remembered within a task.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Model
+        from tokenizers import pre_tokenizers
 
         self.model = Model.from_file(path)
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype="<u4")
-        self.first, self.count = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        for word, got in zip(words, self.model.encode_batch(words, add_special_tokens=False), strict=True):
-            ids = np.asarray(got.ids, dtype="<u4")
-            n, k = len(ids), len(self.known)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k >= len(self.first):
-                self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count))
-            self.flat[self.used : self.used + n] = ids
-            self.first[k], self.count[k] = self.used, n
-            self.known[word] = k
-            self.used += n
+        self.bpe = self.model.model
+        # how the byte level writes each byte that is no printable ASCII character
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {chr(c): level.pre_tokenize_str(chr(c))[0][0] for c in [*range(0xC0, 0x100), *map(ord, "–—‘’“”…")]}
+        self.written = str.maketrans(self.written)
+        self.parts, self.pieces = Ids(), Ids()
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self.known) > WORD_CACHE:  # emptied between texts only
-            self.known, self.used = {}, 0
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            self._learn(sorted(new))
-        codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        first, count = self.first[codes], self.count[codes]
-        total = int(count.sum())
-        place = np.arange(total) + np.repeat(first - (np.cumsum(count) - count), count)
-        return self.flat[place]
+        if "<|" in text or SETTLED.search(text):
+            return self._whole(text)
+        if self.parts.known > WORD_CACHE:  # emptied between texts only
+            self.parts = Ids()
+        found, table = PARTS.findall(text.lower()), self.parts.table
+        codes = np.fromiter(map(table.__getitem__, found), dtype=np.int64, count=len(found))
+        if table.new:
+            encode, written = self.bpe.tokenize, self.written
+            self.parts.learn([[t.id for t in encode(w if w.isascii() else w.translate(written))] for w in table.new])
+        return self.parts.of(codes)
+
+    def _whole(self, text: str) -> np.ndarray:
+        if self.pieces.known > WORD_CACHE:
+            self.pieces = Ids()
+        found, table = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "), self.pieces.table
+        codes = np.fromiter(map(table.__getitem__, found), dtype=np.int64, count=len(found))
+        if table.new:
+            self.pieces.learn([e.ids for e in self.model.encode_batch(table.new, add_special_tokens=False)])
+        return self.pieces.of(codes)
 
 
 @dataclass
