@@ -193,10 +193,10 @@ class LineIndex:
             fresh_keys = [k for k, m in zip(add["key"], maybe.tolist(), strict=True) if not m or k not in table]
             if known is None or not known.insert(hashes(fresh_keys)):
                 known = build_filter(hashes([*dict.fromkeys([*held["key"], *rows])]))
-            kept = held[~held["key"].isin(rows.keys())] if rows else held
-            out = pd.concat([kept[["key", "refs", "lo", "hi"]], pd.DataFrame([(k, *v) for k, v in rows.items()], columns=["key", "refs", "lo", "hi"])])
-            out["shard"], out["slots"] = key[0], None
-            return pd.concat([out, pd.DataFrame({"shard": [key[0]], "slots": [known.dump()]})])[["key", "refs", "lo", "hi", "shard", "slots"]]
+            kept = zip(held["key"], held["refs"], held["lo"], held["hi"], strict=True)
+            out = [(k, *v, key[0], None) for k, v in rows.items()] + [(*r, key[0], None) for r in kept if r[0] not in rows]
+            out.append((None, 0, 0, 0, key[0], known.dump()))
+            return pd.DataFrame(out, columns=["key", "refs", "lo", "hi", "shard", "slots"])
 
         # one shard's keys, at most SHARD_KEYS or so, are a task's group; a filter travels to its shard as one row
         rows = self.refs.select(F.lit(0).alias("what"), "key", "refs", "lo", "hi", self._shard().alias("shard"), F.lit(None).cast("binary").alias("slots"))

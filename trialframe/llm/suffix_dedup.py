@@ -435,12 +435,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(key, part: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
         gone = unpacked(blobs["payload"], SPAN)
         gone = gone[np.argsort(gone["doc"], kind="stable")]
-        at = dict(zip(*(x.tolist() for x in np.unique(gone["doc"], return_index=True)), strict=True))
-        ends = dict(zip(at, [*list(at.values())[1:], len(gone)], strict=True))
+        names_, first = (x.tolist() for x in np.unique(gone["doc"], return_index=True))
+        where = {d: gone[s:e] for d, s, e in zip(names_, first, [*first[1:], len(gone)][: len(first)], strict=True)}
         rows = []
         for doc, text in zip(part["doc"].tolist(), part["text"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            runs = covered(gone[at[doc] : ends[doc]]) if doc in at else []
+            runs = covered(where[doc]) if doc in where else []
             last, kept = 0, []
             for start, stop in runs:
                 kept.append(data[last:start])
