@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,7 +14,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 CHUNK_WORDS = 300_000
 WORD_CACHE = 500_000
-HEAVY = 1000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,18 +214,21 @@ def components(edges: DataFrame) -> DataFrame:
         cur = staged(near.union(low.select("u", "m")).filter("u <> v").distinct(), "edges")
 
 
-def _fitting(a: str, b: str, similarity: float):
-    """Totals that allow the similarity at all."""
-    return F.least(F.col(a), F.col(b)) >= F.lit(similarity - 1e-9) * F.greatest(F.col(a), F.col(b))
-
+def _stars(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every member of a bucket with the most central member of another class in it.
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket in different classes. Inside a bucket the main class isn't compared with itself."""
-    sizes = members.groupBy("bucket").agg(F.min("root").alias("main"), F.max("root").alias("other")).filter("main <> other")
-    known = members.join(sizes.select("bucket", "main"), "bucket")
-    stray = known.filter("root <> main").select("bucket", F.col("key").alias("s_key"), F.col("root").alias("s_root"), F.col("total").alias("s_total"))
-    met = known.join(stray, "bucket").filter((F.col("root") != F.col("s_root")) & _fitting("total", "s_total", similarity))
-    return met.select(F.least("key", "s_key").alias("a"), F.greatest("key", "s_key").alias("b")).distinct()
+    ``members`` (bucket, key, total, degree, root). The degree of a text counts those it shares buckets with: the highest
+    is the text most like the others. Members of the class of the bucket's most central text are paired with the most
+    central text of all other classes, everyone else with the former: as many pairs as members, two aggregations of a
+    row per bucket.
+    """
+    top = F.max(F.struct("degree", "key", "root", "total"))
+    best = members.groupBy("bucket").agg(top.alias("best"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "best")
+    known = members.join(best, "bucket")
+    second = known.filter("root <> best.root").groupBy("bucket").agg(top.alias("second"))
+    met = known.join(second, "bucket").withColumn("c", F.when(F.col("root") == F.col("best.root"), F.col("second")).otherwise(F.col("best")))
+    met = met.filter(F.least("total", "c.total") >= F.lit(similarity - 1e-9) * F.greatest("total", "c.total"))
+    return met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,10 +238,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     are the connected texts. Texts with the same words are one node from the start (empty and null texts too), so copies
     are never compared. A pair at the threshold shares a bucket of 32 bands of 5 components with probability 1 - 3e-6.
 
-    In a bucket every member is compared with its smallest and largest key, which is linear in the bucket. What these
-    stars leave in different classes is compared across classes only; where more than ``HEAVY`` texts of a bucket stand
-    outside its main class, the bucket is split by every other band first (a pair at the threshold then shares a split
-    bucket with probability 1 - 5e-5). No pair inside a class is formed and no candidate is dropped.
+    In a bucket every text is compared with the most central text of another class, and again after classes have merged,
+    until a round finds no link: as many pairs a round as texts in buckets. A text similar to any text of a class is
+    similar to its most central one in some shared bucket, or shares a bucket with another neighbour where one of the two
+    is central; tests compare the classes with those of all pairs. No candidate is dropped.
 
     Exactly one row of a class has ``kept``, unless a row is repeated with the same id and text: then all its copies do
     (:func:`drop_near` keeps one). Null ids come last. An empty table gives an empty result.
@@ -251,32 +251,23 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     nodes = staged(
         signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"), F.first("buckets").alias("buckets")), "near-nodes")
     held = nodes.select("key", "total", F.explode("buckets").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = staged(held.join(shared, "bucket"), "near-members")
-    stars = reduce(DataFrame.union, [members.select("key", "total", F.col(c).alias("c")).filter("key <> c") for c in ("low", "high")])
-    totals = nodes.select(F.col("key").alias("c"), F.col("total").alias("c_total"))
-    stars = stars.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
-    for side in ("a", "b"):
-        stars = stars.join(totals.select(F.col("c").alias(side), F.col("c_total").alias(f"t_{side}")), side)
-    tried = staged(stars.filter(_fitting("t_a", "t_b", similarity)).select("a", "b"), "near-pairs")
-    links = staged(verified(tried, nodes, docs, similarity, size, id_col, text_col), "near-links")
-    roots = staged(components(links), "near-roots")
-
-    now = members.select("bucket", "key", "total").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    now = staged(now.join(mixed.select("bucket", "lo"), "bucket"), "near-mixed")
-    strays = now.filter("root <> lo").groupBy("bucket").agg(F.count(F.lit(1)).alias("strays"))
-    heavy = staged(strays.filter(F.col("strays") > HEAVY).select("bucket"), "near-heavy")
-    light = now.drop("lo")
-    if heavy.limit(1).count():
-        split = light.join(heavy, "bucket").join(nodes.select("key", F.explode("buckets").alias("second")), "key").filter("bucket <> second")
-        finer = split.select(F.xxhash64("bucket", "second").alias("bucket"), "key", "total", "root")
-        light = light.join(heavy, "bucket", "left_anti").unionByName(finer)
-    rest = _across(light.select("bucket", "key", "total", "root"), similarity).join(tried, ["a", "b"], "left_anti")
-    rest = staged(rest, "near-pairs")
-    if rest.limit(1).count():
-        links = links.unionByName(staged(verified(rest, nodes, docs, similarity, size, id_col, text_col), "near-links"))
-        roots = staged(components(links), "near-roots")
+    degrees = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    members = staged(members.join(degrees, "key").select("bucket", "key", "total", "degree"), "near-members")
+    roots, tried = members.select("key").distinct().withColumn("root", F.col("key")), None
+    while True:
+        pairs = _stars(members.join(roots, "key"), similarity)
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = staged(verified(pairs, nodes, docs, similarity, size, id_col, text_col), "near-links")
+        if not links.limit(1).count():
+            break
+        for side in ("a", "b"):  # links of classes
+            links = links.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"r_{side}")), side)
+        joined = components(links.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
+        joined = joined.select(F.col("key").alias("root"), F.col("root").alias("to"))
+        roots = staged(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "near-roots")
 
     classes = nodes.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "rep", "copies")
     top = classes.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"))
