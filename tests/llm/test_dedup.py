@@ -171,16 +171,21 @@ def _drifting(rng, n, length=60):
     return out
 
 
-def test_near_classes_of_chains_and_split_buckets(spark, monkeypatch):
+def test_near_classes_of_chains_and_shared_passages(spark):
     rng = random.Random(4)
     texts = _drifting(rng, 40) + _drifting(rng, 10, 30) + [H.sentence(rng, 40) for _ in range(10)]
     common = " ".join(f"c{i}" for i in range(30))
     texts += [f"{common} {H.sentence(rng, 22)}" for _ in range(30)]
+    # edited copies of one text, most of which are too far from each other
+    base = H.sentence(rng, 80).split(" ")
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = list(enumerate(H.near_groups(texts)))
-    for heavy in (1000, 0):  # 0: every bucket with strays is split by the other bands
-        monkeypatch.setattr(near_dedup, "HEAVY", heavy)
-        assert sorted((r.id, r.class_id) for r in near_dedup.near_classes(docs).collect()) == want
+    assert sorted((r.id, r.class_id) for r in near_dedup.near_classes(docs).collect()) == want
 
 
 def test_components(spark):
