@@ -13,20 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import ordered
+from .ordered import join_on, ordered
 from .stage import staged
 
 TASK_POINTS = 2_000_000
-BATCH_POINTS = 200_000
+PAIRS = "decimal(38,0)"  # pair counts exceed 64 bits for groups of some billion rows
 
 
 def rising_weights(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Per point, its weight times the weight of points of its group strictly below in x and y."""
     n = len(x)
-    out = np.zeros(n)
+    out = np.zeros(n, dtype=np.int64)
     if n < 2:
         return out
     # later groups rank below earlier ones in y, so points of different groups never count
@@ -36,17 +36,17 @@ def rising_weights(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarra
     fresh = np.r_[True, (y_sorted[1:] != y_sorted[:-1]) | (g_sorted[1:] != g_sorted[:-1])]
     y_rank[by_y] = np.cumsum(fresh)
     start = np.lexsort((-y_rank, x, group))
-    rank, weight = y_rank[start], w[start].astype(float)
+    rank, weight = y_rank[start], w[start].astype(np.int64)
     place = np.arange(n)
-    below = np.zeros(n)
+    below = np.zeros(n, dtype=np.int64)
     span = 1
     while span < n:
         block, right = place // (2 * span), (place // span) & 1
         by_block = np.lexsort((1 - right, rank, block))
-        left_mass = np.where(right[by_block] == 0, weight[by_block], 0.0)
+        left_mass = np.where(right[by_block] == 0, weight[by_block], 0)
         seen = np.cumsum(left_mass)
         first = np.r_[True, block[by_block][1:] != block[by_block][:-1]]
-        base = np.maximum.accumulate(np.where(first, seen - left_mass, 0.0))
+        base = np.maximum.accumulate(np.where(first, seen - left_mass, 0))
         take = right[by_block] == 1
         below[by_block[take]] += (seen - base)[take]
         span *= 2
@@ -55,31 +55,28 @@ def rising_weights(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarra
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Consume rows sorted by group key; emit one partial count per group, batching whole groups."""
+    """Consume rows sorted by group key; emit one partial count per group. Only the last, open group is held."""
     held: list[pd.DataFrame] = []
-    size = 0
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(parts, ignore_index=True)
         codes = pdf["key"].ne(pdf["key"].shift()).cumsum().to_numpy() - 1
         hits = rising_weights(codes, pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
-        firsts = np.r_[True, codes[1:] != codes[:-1]]
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[firsts], "rising": np.bincount(codes, weights=hits)})
+        firsts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        return pd.DataFrame({"key": pdf["key"].to_numpy()[firsts], "rising": np.add.reduceat(hits, firsts)})
 
     for pdf in batches:
         if pdf.empty:
             continue
-        held.append(pdf)
-        size += len(pdf)
-        if size >= BATCH_POINTS:
-            whole = pd.concat(held, ignore_index=True)
-            last = whole["key"].iloc[-1]
-            closed = whole["key"].ne(last)
-            if closed.any():
-                yield settle(whole[closed].reset_index(drop=True))
-                whole = whole[~closed].reset_index(drop=True)
-            held, size = [whole], len(whole)
+        open_group = pdf["key"].eq(pdf["key"].iloc[-1]).to_numpy()
+        if not held or held[-1]["key"].iloc[-1] == pdf["key"].iloc[-1] and open_group.all():
+            held.append(pdf)
+            continue
+        closed = pdf[~open_group]
+        yield settle([*held, closed] if len(closed) else held)
+        held = [pdf[open_group]]
     if held:
-        yield settle(pd.concat(held, ignore_index=True))
+        yield settle(held)
 
 
 def _rising_in_tasks(points: DataFrame, part: str | None, x: str, y: str) -> DataFrame:
@@ -89,41 +86,55 @@ def _rising_in_tasks(points: DataFrame, part: str | None, x: str, y: str) -> Dat
         F.concat(lead, F.lit("|"), F.col("__g")).alias("key"),
         F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"),
-        F.col("__w").cast("double").alias("w"),
+        F.col("__w").cast("long").alias("w"),
     )
     counted = slim.repartition(F.col("key")).sortWithinPartitions("key").mapInPandas(
-        _count_batches, "key string, rising double"
+        _count_batches, "key string, rising long"
     )
     return counted.select(F.expr("substring(key, instr(key, '|') + 1)").alias("__g"), "rising")
 
 
+def _binned(points: DataFrame, axis: str, name: str, cap: int) -> DataFrame:
+    """``name``: the range of each point on ``axis``, in order.
+
+    Even ranges hold at most two caps of points; an odd one is a single value above the cap.
+    """
+    values = points.groupBy("__g", axis).agg(F.count(F.lit(1)).alias("__n"))
+    o = ordered(values, ["__g"], [axis], cap).running(__c=("sum", F.col("__n")))
+    at = 2 * F.floor((F.col("__c") - F.col("__n")) / cap) + (F.col("__n") > cap).cast("long")
+    return join_on(points, o.done().select("__g", axis, at.alias(name)), ["__g", axis])
+
+
 def _rising(points: DataFrame, cap: int) -> DataFrame:
     """``points(g, x, y, w)``, distinct (x, y) per g -> ``(g, rising)``."""
-    largest = points.groupBy("__g").count().agg(F.max("count")).first()[0] or 0
-    if largest <= cap:
+    sizes = points.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    large = sizes.filter(F.col("__n") > cap)
+    largest = large.agg(F.max("__n")).first()[0]
+    if largest is None:
         return _rising_in_tasks(points, None, "__x", "__y")
     # at most sqrt(n) / 2 ranges per axis, so the grid below has at most n / 4 cells
     cap = max(cap, math.ceil(4 * math.sqrt(largest)))
-    ox = ordered(points, ["__g"], ["__x"], cap)
-    if not ox.parts:
-        return _rising_in_tasks(points, None, "__x", "__y")
-    in_x = ox.df.withColumnRenamed(ox.parts[0], "bx")
-    oy = ordered(in_x, ["__g"], ["__y"], cap)
-    both = oy.df.withColumnRenamed(oy.parts[0], "by") if oy.parts else in_x.withColumn("by", F.lit(None).cast("long"))
+    small = join_on(points, large, ["__g"], "left_anti")
+    both = join_on(points, large.select("__g"), ["__g"], "left_semi")
+    both = staged(_binned(_binned(both, "__x", "bx", cap), "__y", "by", cap), "binned")
     # a range of one single value holds no pair that rises in that coordinate
-    inside_x = both.filter(F.col("bx").isNull() | (F.pmod("bx", F.lit(2)) == 0))
-    inside_y = both.filter(F.col("bx").isNotNull() & (F.pmod("by", F.lit(2)) == 0))
-    cells = (
-        both.filter(F.col("bx").isNotNull())
-        .groupBy("__g", F.col("bx").cast("double").alias("__x"), F.col("by").cast("double").alias("__y"))
-        .agg(F.sum("__w").alias("__w"))
-    )
+    inside_x = both.filter(F.pmod("bx", F.lit(2)) == 0)
+    inside_y = both.filter(F.pmod("by", F.lit(2)) == 0)
+    cells = both.groupBy("__g", F.col("bx").cast("double").alias("__x"), F.col("by").cast("double").alias("__y")).agg(F.sum("__w").alias("__w"))
     pieces = (
-        _rising_in_tasks(inside_x, "bx", "__x", "__y")
+        _rising_in_tasks(small, None, "__x", "__y")
+        .unionByName(_rising_in_tasks(inside_x, "bx", "__x", "__y"))
         .unionByName(_rising_in_tasks(inside_y, "by", "bx", "__y"))
         .unionByName(_rising(cells, cap))
     )
-    return pieces.groupBy("__g").agg(F.sum("rising").alias("rising"))
+    return pieces.groupBy("__g").agg(F.sum(F.col("rising").cast(PAIRS)).alias("rising"))
+
+
+def _pairs(n: Column) -> Column:
+    """n (n - 1) / 2 of a whole number, exactly: one of the two factors is even."""
+    even = F.pmod(n, F.lit(2)) == 0
+    a, b = F.when(even, F.shiftright(n, 1)).otherwise(n).cast("decimal(19,0)"), F.when(even, n - 1).otherwise(F.shiftright(n - 1, 1)).cast("decimal(19,0)")
+    return (a * b).cast(PAIRS)
 
 
 def concordance(
@@ -149,16 +160,15 @@ def concordance(
     def tied(*cols: str) -> DataFrame:
         name = "_".join(("t",) + cols)
         c = points.groupBy("__g", *cols).agg(F.sum("__w").alias("__w"))
-        return c.groupBy("__g").agg(F.sum(F.col("__w") * (F.col("__w") - 1) / 2).alias(name))
+        return c.groupBy("__g").agg(F.sum(_pairs(F.col("__w"))).alias(name))
 
     base = points.groupBy(*by, "__g").agg(
-        F.sum("__w").alias("n_rows"), F.sum(F.col("__w") * (F.col("__w") - 1) / 2).alias("t_both")
+        F.sum("__w").alias("n_rows"), F.sum(_pairs(F.col("__w"))).alias("t_both")
     )
     rising = _rising(points.select("__g", F.col("__x").cast("double"), F.col("__y").cast("double"), "__w"), cap)
     out = base.join(tied("__x"), "__g").join(tied("__y"), "__g").join(rising, "__g", "left")
-    n = F.col("n_rows").cast("double")
-    pairs = n * (n - 1) / 2
-    up = F.coalesce("rising", F.lit(0.0))
+    pairs = _pairs(F.col("n_rows"))
+    up = F.coalesce(F.col("rising").cast(PAIRS), F.lit(0).cast(PAIRS))
     out = out.select(
         *by,
         "n_rows",

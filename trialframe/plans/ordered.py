@@ -2,13 +2,13 @@
 
 A Spark window keeps a whole group in one task. That is right for the usual case of many small
 groups, and wrong when one group holds a large share of all rows. ``ordered`` counts the groups
-first (one map-side-combined aggregation that reads the key columns only). Groups above the row cap
-are cut into key ranges; windows then run inside a range, and each range receives what the ranges
-before it contribute. Groups below the cap take the plain window plan with a single shuffle.
+first (one map-side-combined aggregation that reads the key columns only). Rows of groups above the
+row cap are range-partitioned by group and order, with Spark's own comparison of every type, nulls
+and direction; windows then run inside a range, and each range receives what the ranges before it
+contribute. Groups below the cap take the plain window plan with a single shuffle.
 
-Everything that reaches the driver or is broadcast is one entry per oversized group or range. There
-are at most ``rows / cap`` of the former and ``2 * rows / cap`` of the latter, whatever the data
-looks like, so its size is proven by the cap.
+The driver holds one entry per oversized group, at most ``rows / cap``. What is broadcast is one
+entry per oversized group and range, at most ``3 * rows / cap``, whatever the data looks like.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ DEFAULT_CAP = 4_000_000
 # for groups known to be small: the group sizes are not counted
 NO_SPLIT = 2**62
 ALL = "__all"
+PART = "__part"
 EMPTY = 0
 
 
@@ -66,37 +67,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out.drop(*names.values())
 
 
-def _numeric_key(df: DataFrame, name: str, desc: bool) -> tuple[Column, bool]:
-    """A double that is monotone in the column, and whether equal doubles mean equal values."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    exact = True
-    if isinstance(kind, T.StringType):
-        head = F.substring(F.concat(F.hex(F.encode(col, "utf-8")), F.lit("0" * 12)), 1, 12)
-        key, exact = F.conv(head, 16, 10).cast("double"), False
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        key = F.unix_micros(col.cast("timestamp")).cast("double")
-    elif isinstance(kind, T.DateType):
-        key = F.unix_date(col).cast("double")
-    else:
-        key = F.nanvl(col.cast("double"), F.lit(float("inf")))
-        exact = not isinstance(kind, T.DecimalType)
-    return (-key if desc else key), exact
-
-
-def _position(cuts: Column, key: Column, steps: int) -> Column:
-    """Number of cut points below the key, by bisection over the sorted array."""
-
-    def step(lo: Column, stride: Column) -> Column:
-        reach = lo + stride
-        inside = reach <= F.size(cuts)
-        below = F.try_element_at(cuts, F.when(inside, reach).otherwise(1)) < key
-        return F.when(inside & below, reach).otherwise(lo)
-
-    strides = F.array(*[F.lit(1 << k) for k in range(steps - 1, -1, -1)])
-    return F.aggregate(strides, F.lit(0), step)
-
-
 def _oversized(df: DataFrame, keys: list[str], cap: int) -> list:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return counts.filter(F.col("__n") > cap).collect()  # at most rows / cap entries
@@ -138,7 +108,7 @@ class Ordered:
             self.df, self.pinned = staged(self.df, "ordered"), True
 
     def _replace(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.by, self.order, self.parts, self.shed)
+        return Ordered(df, self.by, self.order, self.parts, self.shed, False)
 
     def _carry(self, aggs: list[Column], window_cols) -> DataFrame:
         """One row per range of an oversized group, extended by ``window_cols(window)``."""
@@ -147,7 +117,7 @@ class Ordered:
         return ranges.select(*self.keys, *window_cols(w))
 
     def _attach(self, df: DataFrame, carry: DataFrame, names: list[str]) -> DataFrame:
-        # one row per range: at most 2 * rows / cap
+        # one row per oversized group and range: at most 3 * rows / cap
         return join_on(df, F.broadcast(carry.select(*self.keys, *names)), self.keys, "left")
 
     def running(self, exclusive: bool = False, **cols: tuple[str, Column]) -> "Ordered":
@@ -195,27 +165,19 @@ class Ordered:
     def _shift(self, cols: dict[str, Column], forward: bool) -> "Ordered":
         self._pin()
         w = self._window()
-        move = F.lead if forward else F.lag
-        flag = "__edge"
+        move, back = (F.lead, F.lag) if forward else (F.lag, F.lead)
         wanted = {n: move(c).over(w) for n, c in cols.items()}
         if not self.parts:
             return self._replace(self.df.withColumns(wanted))
-        out = self.df.withColumns({**wanted, flag: move(F.lit(1)).over(w).isNull()})
-        names = list(cols)
+        out = self.df.withColumns({**wanted, "__edge": move(F.lit(1)).over(w).isNull()})
+        # what a range shows its neighbour: its first row when looking ahead, its last when looking back
         held = F.struct(*[c.alias(n) for n, c in cols.items()])
-        # the range's outermost row: its first row when looking ahead, its last when looking back
-        position = F.struct(*[self._ordinal(c, d) for c, d in _parse(self.order)])
-        outer = F.min_by(held, position) if forward else F.max_by(held, position)
-        carry = self._carry([outer.alias("__r")], lambda v: [move("__r").over(v).alias("__c")])
+        outer = self.df.filter(F.col(self.parts[0]).isNotNull()).select(*self.keys, held.alias("__r"), back(F.lit(1)).over(w).isNull().alias("__outer"))
+        ranges = Window.partitionBy(*self.by).orderBy(*[F.asc(p) for p in self.parts])
+        carry = outer.filter("__outer").select(*self.keys, move("__r").over(ranges).alias("__c"))
         out = self._attach(out, carry, ["__c"])
-        out = out.withColumns({n: F.when(F.col(flag), F.col(f"__c.{n}")).otherwise(F.col(n)) for n in names})
-        return self._replace(out.drop(flag, "__c"))
-
-    def _ordinal(self, name: str, desc: bool) -> Column:
-        if not desc:
-            return F.col(name)
-        key, _ = _numeric_key(self.df, name, True)
-        return key
+        out = out.withColumns({n: F.when(F.col("__edge"), F.col(f"__c.{n}")).otherwise(F.col(n)) for n in cols})
+        return self._replace(out.drop("__edge", "__c"))
 
     def previous(self, **cols: Column) -> "Ordered":
         return self._shift(cols, forward=False)
@@ -246,57 +208,32 @@ class Ordered:
 def ordered(df: DataFrame, by: list[str], order: list[str], cap: int | None = None) -> Ordered:
     """Prepare ``df`` for ordered computation inside the groups ``by``.
 
-    ``order`` must be total (end with an identifier) where ties matter. Oversized groups are cut on
-    the first order column; a single value that is itself oversized is cut on the next one.
+    ``order`` must be total (end with an identifier) where ties matter; rows equal in all of it stay
+    in one range.
     """
     limit = row_cap(df, cap)
     shed: list[str] = []
     if not by:
         df, by = df.withColumn(ALL, F.lit(EMPTY)), [ALL]
         shed = [ALL]
-    parts: list[str] = []
     if limit >= NO_SPLIT:
-        return Ordered(df, list(by), order, parts, shed)
-    for level, (name, desc) in enumerate(_parse(order)):
-        scope = df if not parts else df.filter(F.pmod(F.col(parts[-1]), F.lit(2)) == 1)
-        keys = by + parts
-        hot = _oversized(scope, keys, limit)
-        if not hot:
-            break
-        df, exact = _cut(df, keys, name, desc, hot, limit, f"__part{level}")
-        parts.append(f"__part{level}")
-        if not exact:
-            break
-    return Ordered(df, list(by), order, parts, shed)
-
-
-def _cut(df: DataFrame, keys: list[str], name: str, desc: bool, hot: list, limit: int, part: str):
-    spark = df.sparkSession
-    key, exact = _numeric_key(df, name, desc)
-    pieces = max(2, math.ceil(max(r["__n"] for r in hot) / limit))
-    probs = [i / pieces for i in range(1, pieces)]
-    key_schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
-    hot_keys = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], key_schema))
-    chosen = join_on(df, hot_keys, keys, "left_semi")
-    cuts = (
-        chosen.groupBy(*keys)
-        .agg(F.percentile_approx(key, probs, max(10_000, 20 * pieces)).alias("__cuts"))
-        .select(*keys, F.array_sort(F.array_distinct(F.col("__cuts"))).alias("__cuts"))
-        .collect()  # at most rows / cap numbers per oversized group
-    )
-    schema = T.StructType(key_schema.fields + [T.StructField("__cuts", T.ArrayType(T.DoubleType()))])
-    table = F.broadcast(spark.createDataFrame([tuple(r) for r in cuts], schema))
-    joined = join_on(df, table, keys, "left")
-    steps = max(1, pieces.bit_length())
-    at = _position(F.col("__cuts"), key, steps)
-    joined = joined.withColumn("__key", key).withColumn("__at", F.when(F.col("__cuts").isNotNull(), at))
-    # beyond 2**53 different whole numbers share a double, so such a cut does not stand for one value
-    on_cut = (F.try_element_at(F.col("__cuts"), F.col("__at") + 1) == F.col("__key")) & (F.abs("__key") < 2.0**53)
-    # even: the open range between two cuts; odd: exactly one cut value; nulls where the sort puts them
-    nulls = F.lit(2 * pieces + 2 if desc else -2)
-    place = (
-        F.when(F.col("__cuts").isNull(), F.lit(None))
-        .when(F.col("__key").isNull(), nulls)
-        .otherwise(2 * F.col("__at") + F.when(on_cut & F.lit(exact), 1).otherwise(0))
-    )
-    return joined.withColumn(part, place.cast("long")).drop("__cuts", "__key", "__at"), exact
+        return Ordered(df, list(by), order, [], shed)
+    hot = _oversized(df, by, limit)
+    if not hot:
+        return Ordered(df, list(by), order, [], shed)
+    return Ordered(_ranged(df, by, order, hot, limit), list(by), order, [PART], shed, True)
+
+
+def _ranged(df: DataFrame, by: list[str], order: list[str], hot: list, limit: int) -> DataFrame:
+    """``df`` with the range of each row of an oversized group; null for all others.
+
+    Ranges are written, so a recomputed task can't meet other borders.
+    """
+    schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in by])
+    keys = df.sparkSession.createDataFrame([tuple(r[k] for k in by) for r in hot], schema)
+    pieces = max(2, math.ceil(2 * sum(r["__n"] for r in hot) / limit))
+    # at most rows / cap keys
+    large = join_on(df, F.broadcast(keys), by, "left_semi").repartitionByRange(pieces, *by, *order_columns(order))
+    large = large.withColumn(PART, F.spark_partition_id().cast("long"))
+    small = join_on(df, F.broadcast(keys), by, "left_anti").withColumn(PART, F.lit(None).cast("long"))
+    return staged(small.unionByName(large), "ordered")

@@ -16,54 +16,22 @@ def with_ranks(
     """Add ``<prefix>_min``, ``_max``, ``_avg`` and ``_dense`` ranks of ``col`` within ``by``.
 
     One sort serves all four: the maximum rank is the count over the value range up to the current
-    row. In an oversized group only range sizes are carried over; a value that fills a range by
-    itself needs no window at all, so its rows are spread over tasks by hash.
+    row. Where a group is oversized, distinct values are ranked with their counts as weights and
+    joined back, so a value that fills half a group is one row before the sort.
     """
     spec = f"-{col}" if desc else col
-    o = ordered(df, by, [spec], cap)
-    keys = list(o.keys)
-    work = o.df
-    if o.parts:
-        o._pin()
-        work = o.df
-        part = F.col(o.parts[0])
-        lone = F.coalesce(F.pmod(part, F.lit(2)) == 1, F.lit(False))
-        work = work.withColumn("__lone", lone).withColumn(
-            "__salt", F.when(F.col("__lone"), F.pmod(F.xxhash64(*df.columns), F.lit(1024))).otherwise(0)
-        )
-        keys = keys + ["__salt"]
-    w = Window.partitionBy(*keys).orderBy(*order_columns([spec]))
     low, high, dense = f"{prefix}_min", f"{prefix}_max", f"{prefix}_dense"
-    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = work.withColumns(
-        {
-            low: F.rank().over(w).cast("long"),
-            high: F.count(F.lit(1)).over(upto),
-            dense: F.dense_rank().over(w).cast("long"),
-        }
-    )
-    if o.parts:
-        def cols(v):
-            before = v.rowsBetween(Window.unboundedPreceding, -1)
-            return [
-                F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"),
-                F.coalesce(F.sum("__d").over(before), F.lit(0)).alias("__d0"),
-                F.col("__n"),
-            ]
-
-        distinct = F.count_distinct(F.col(col)) + F.max(F.col(col).isNull().cast("int"))
-        carry = o._carry([F.count(F.lit(1)).alias("__n"), distinct.alias("__d")], cols)
-        out = join_on(out, F.broadcast(carry), o.keys, "left")  # one row per range
-        n0, d0 = F.coalesce("__n0", F.lit(0)), F.coalesce("__d0", F.lit(0))
-        out = out.withColumns(
-            {
-                low: n0 + F.when(F.col("__lone"), F.lit(1)).otherwise(F.col(low)),
-                high: n0 + F.when(F.col("__lone"), F.col("__n")).otherwise(F.col(high)),
-                dense: d0 + F.when(F.col("__lone"), F.lit(1)).otherwise(F.col(dense)),
-            }
-        ).drop("__n0", "__d0", "__n", "__salt", "__lone")
-    out = out.withColumn(f"{prefix}_avg", (F.col(low) + F.col(high)) / 2.0)
-    return out.drop(*o.parts, *o.shed)
+    limit = settle(df, by, cap)
+    if limit == NO_SPLIT:
+        w = Window.partitionBy(*by).orderBy(*order_columns([spec]))
+        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.withColumns({low: F.rank().over(w).cast("long"), high: F.count(F.lit(1)).over(upto), dense: F.dense_rank().over(w).cast("long")})
+    else:
+        values = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__w"))
+        o = ordered(values, by, [spec], limit).running(__cum=("sum", F.col("__w")), __d=("count", F.lit(1)))
+        ranks = o.done().select(*by, col, (F.col("__cum") - F.col("__w") + 1).alias(low), F.col("__cum").alias(high), F.col("__d").alias(dense))
+        out = join_on(df, ranks, [*by, col])
+    return out.withColumn(f"{prefix}_avg", (F.col(low) + F.col(high)) / 2.0)
 
 
 def top_rows(df: DataFrame, by: list[str], order: list[str], k: int, name: str = "rank") -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -39,10 +40,14 @@ def local_session(cpus: int | str = 8, app: str = "trialframe", memory: str = "8
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, a single machine) a fresh local folder is set once.
+    On a single machine without one (tests) a fresh local folder is set once. On a cluster its absence is an error: no
+    executor would see what another has written to its own disk.
     """
     found = spark.conf.get(CHECKPOINT_CONF, None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="trialframe-")
         spark.conf.set(CHECKPOINT_CONF, found)
     return found
@@ -50,4 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder; tables read from there become unusable."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
