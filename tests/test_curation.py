@@ -36,6 +36,9 @@ def test_parse_concentration(spark, text, want):
     [
         (2.0, "µg/cm²", None, "amount_per_area", "strict", 2.0), (2.0, "μg / cm^2", None, "amount_per_area", "strict", 2.0),
         (2.0, "mg/cm2", None, "amount_per_area", "strict", 2000.0), (2.0, "ng/cm2", None, "amount_per_area", "strict", 0.002),
+        (1.0, "µg·cm⁻²·h⁻¹", None, "amount_per_area", "strict", None), (1.0, "mg/cm2 per h", None, "amount_per_area", "strict", None),
+        (1.0, "ug/cm2h", None, "amount_per_area", "strict", None), (1.0, "ug/cm2/hr-1", None, "amount_per_area", "strict", None),
+        (1.0, "µg·cm⁻²", None, "amount_per_area", "strict", 1.0), (1.0, "mg per cm2", None, "amount_per_area", "strict", 1000.0),
         (2.0, "mg/cm2/h", None, "amount_per_area", "strict", None), (2.0, "mg/cm2/h", None, "amount_per_area", "loose", 2000.0),
         (6.0, "mg", 3.0, "amount_total", "strict", 2000.0), (6.0, "mg", None, "amount_total", "strict", None),
         (6.0, "mg", 0.0, "amount_total", "strict", None), (6.0, "%", 3.0, "percent", "strict", None),

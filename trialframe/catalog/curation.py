@@ -339,9 +339,9 @@ def order_violation_rates(spark, sf):
     return gridded(U.violation_rates(table(spark, sf, "orders"), {n: f() for n, f in ORDER_RULES.items()}), rate=6)
 
 
-VOCAB_WORDS = {"small_part": "small ring; small widget; small bolt", "red_part": "red ring; red widget", "ring": "ring; blue ring", "widget": "widget; green widget"}
+VOCAB_WORDS = {"small_part": ("small ring", "small widget", "small bolt"), "red_part": ("red ring", "red widget"), "ring": ("ring", "blue ring"), "widget": ("widget", "green widget")}
 VOCAB_SQL = "vocab AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{k}', '{s.strip()}')" for k, v in VOCAB_WORDS.items() for s in v.split(";")
+    f"('{k}', '{s}')" for k, v in VOCAB_WORDS.items() for s in v
 ) + ") t(canonical, synonym))"
 
 

@@ -13,7 +13,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def _events(spark, sf):
     J.use_rocksdb(spark)
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return spark.readStream.schema(EVENTS).parquet(f"{sf}/events.parquet")
 
 
 @query(

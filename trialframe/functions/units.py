@@ -14,8 +14,8 @@ MINUTE_UNITS = ("min", "mins", "minute", "minutes")
 SECOND_UNITS = ("s", "sec", "secs", "second", "seconds")
 # Phrases of a balance ingredient.
 BALANCE = r"\bqs\b|\bq\.\s?s\.|\bbalance\b|make up to"
-# Endings of per-time units.
-PER_TIME = r"[/·*.](h|hr|hrs|hour|hours|min|mins|s|sec|day|d)$|(h|min|s)-1$"
+# The amounts that are no flux, as a whole text without spaces: a mass, alone or over an area.
+AMOUNT = r"^(ug|mg|ng)(([/.*]|per)?(cm2|cm\^?2|sqcm|squarecm)|[.*]?cm\^?-2)?$"
 NUMBER = r"(\d+(?:\.\d+)?)"
 TARGET_PERCENT = 5.0
 # Spellings of the target concentration.
@@ -23,8 +23,8 @@ STATED_TARGET = r"\b5(\.0)?\s*%\s*(w/w)?\b|\b50(\.0)?\s*mg\s*/\s*g\b|\b50(\.0)?\
 
 
 def clean_unit(c) -> Column:
-    """Lower case without spaces; micro signs become u, squares become 2."""
-    return F.translate(F.lower(text_or_empty(c)), "µμ²^ \t\n\r\xa0", "uu2")
+    """Lower case without spaces; micro signs become u, raised digits and minus signs plain ones, dots one dot."""
+    return F.translate(F.lower(text_or_empty(c)), "µμ¹²³⁻−–·⋅^ \t\n\r\xa0", "uu123---..")
 
 
 def _number(c: Column, pattern: str) -> Column:
@@ -96,8 +96,8 @@ def hours_of(v: Column, u: Column) -> Column:
 def amount_to_ug_cm2(value, unit, area, kind, mode: str = "strict") -> Column:
     """Micrograms per square centimetre. Totals need an area; percentages give null.
 
-    ``strict`` rejects per-time units, which are fluxes; ``loose`` accepts any unit text that
-    contains the mass (and area) unit.
+    ``strict`` accepts a mass, or a mass over square centimetres, and nothing else, so no flux; ``loose``
+    accepts any unit text that contains the mass (and area) unit.
     """
     return amount_of(col(value).cast("double"), clean_unit(unit), col(area).cast("double"), col(kind), mode)
 
@@ -111,7 +111,7 @@ def amount_of(v: Column, u: Column, a: Column, k: Column, mode: str = "strict")
     out = v * scale / share
     if mode == "loose":
         return out
-    return F.when(~u.rlike(PER_TIME), out)
+    return F.when(u.rlike(AMOUNT), out)
 
 
 def is_balance(c) -> Column:

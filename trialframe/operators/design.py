@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -9,31 +10,54 @@ from pyspark.sql import functions as F
 
 from ..plans.ordered import join_on, ordered
 from ..plans.ranks import top_rows
+from ..plans.stage import staged
 from .candidates import hash_number, hash_text
 from .corpus import pending
 
+MAX_ATTEMPTS = 1024
+
 
 def constrained_splits(
     df: DataFrame, ident: str, value: str, n_splits: int, n_train: int, n_side: int, seed: int = 0
 ) -> DataFrame:
     """Random train/test splits whose test part has ``n_side`` rows below and at or above the train maximum.
 
-    All splits are drawn at once by hash order; splits that cannot satisfy the condition are dropped.
-    Only ``n_train`` and ``2 n_side`` rows per split pass the pruned top-k steps.
+    Draws are hash orders, numbered by attempt; each split keeps its first attempt that satisfies the condition. Attempts
+    are made in doubling batches for the splits still open, ``MAX_ATTEMPTS`` at most; a condition that none of them meets
+    is an error. Only ``n_train`` and ``2 n_side`` rows per attempt pass the pruned top-k steps.
     """
-    split = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    rows = df.select(ident, value).withColumn("split", split)
-    rows = rows.withColumn("__h", hash_text(seed, F.col("split"), F.col(ident)))
-    train = top_rows(rows, ["split"], ["__h", ident], n_train, "__r").drop("__r")
-    cuts = train.groupBy("split").agg(F.max(value).alias("__top"), F.max(F.struct("__h", ident)).alias("__last"))
-    test = join_on(rows, cuts, ["split"]).filter(F.struct("__h", ident) > F.col("__last"))
+    spark, slim = df.sparkSession, staged(df.select(ident, value), "split-rows")
+    open_splits, first, batch, found = list(range(n_splits)), 0, 1, []
+    while open_splits:
+        if first >= MAX_ATTEMPTS:
+            raise ValueError(f"no valid draw in {first} attempts for {len(open_splits)} of {n_splits} splits")
+        tries = spark.createDataFrame([(s, a) for s in open_splits for a in range(first, first + batch)], "split int, attempt int")
+        drawn = staged(_drawn_splits(slim, tries, ident, value, n_train, n_side, seed), "splits")
+        firsts = {r["split"]: r["attempt"] for r in drawn.groupBy("split").agg(F.min("attempt").alias("attempt")).collect()}  # a row per split
+        kept = F.broadcast(spark.createDataFrame(list(firsts.items()), "split int, attempt int"))
+        found.append(drawn.join(kept, ["split", "attempt"], "left_semi"))
+        open_splits = [s for s in open_splits if s not in firsts]
+        first, batch = first + batch, min(2 * batch, MAX_ATTEMPTS - first - batch)
+    return reduce(DataFrame.unionByName, found).drop("attempt")
+
+
+def _drawn_splits(rows: DataFrame, tries: DataFrame, ident: str, value: str, n_train: int, n_side: int, seed: int) -> DataFrame:
+    """The valid ones of ``tries`` (split, attempt): split, attempt, id, value and part."""
+    key = ["split", "attempt"]
+    pairs = tries.agg(F.collect_list(F.struct(*key)).alias("t"))
+    rows = rows.withColumn("__t", pairs.scalar()).withColumn("__t", F.explode("__t")).select(ident, value, "__t.split", "__t.attempt")
+    name = F.when(F.col("attempt") == 0, F.col("split").cast("string")).otherwise(F.concat_ws("/", "split", "attempt"))
+    rows = rows.withColumn("__h", hash_text(seed, name, F.col(ident)))
+    train = top_rows(rows, key, ["__h", ident], n_train, "__r").drop("__r")
+    cuts = train.groupBy(*key).agg(F.max(value).alias("__top"), F.max(F.struct("__h", ident)).alias("__last"))
+    test = rows.join(F.broadcast(cuts), key).filter(F.struct("__h", ident) > F.col("__last"))  # a row per attempt
     side = F.when(F.col(value) < F.col("__top"), "below").otherwise("above")
-    picked = top_rows(test.withColumn("side", side), ["split", "side"], ["__h", ident], n_side, "__r")
-    full = picked.groupBy("split").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == 2 * n_side).select("split")
-    kept = train.select("split", ident, value, F.lit("train").alias("part")).unionByName(
-        picked.select("split", ident, value, F.concat(F.lit("test_"), "side").alias("part"))
+    picked = top_rows(test.withColumn("side", side), [*key, "side"], ["__h", ident], n_side, "__r")
+    full = picked.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == 2 * n_side).select(*key)
+    kept = train.select(*key, ident, value, F.lit("train").alias("part")).unionByName(
+        picked.select(*key, ident, value, F.concat(F.lit("test_"), "side").alias("part"))
     )
-    return join_on(kept, full, ["split"], "left_semi")
+    return kept.join(full, key, "left_semi")
 
 
 def latin_hypercube(
@@ -162,9 +186,11 @@ def sobol_indices(df: DataFrame, y_a: str, y_b: str, y_ab: list[str], y_ba: list
 
 def main_effects(df: DataFrame, axes: list[str], y: str, n_bins: int = 20) -> DataFrame:
     """Mean outcome per equal-width bin of each axis; the axis maximum falls past the last bin."""
-    tall = df.select(*[F.col(a).cast("double").alias(a) for a in axes], y).unpivot([y], axes, "axis", "x")
-    bounds = tall.groupBy("axis").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = join_on(tall, bounds, ["axis"])
+    wide = df.select(*[F.col(a).cast("double").alias(a) for a in axes], y)
+    bounds = wide.agg(F.array(*[F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")) for a in axes]).alias("b")).scalar()
+    each = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("x"), F.lit(i).alias("i")) for i, a in enumerate(axes)])
+    j = wide.withColumn("__b", bounds).select(y, F.inline(each), "__b").select(y, "axis", "x", F.get("__b", F.col("i")).alias("__b"))
+    j = j.select(y, "axis", "x", "__b.lo", "__b.hi")
     width = (F.col("hi") - F.col("lo")) / float(n_bins)
     at = F.floor((F.col("x") - F.col("lo")) / width)
     rows = j.filter((F.col("hi") > F.col("lo")) & (F.col("x") < F.col("hi"))).withColumns({"bin": at, "center": F.col("lo") + (at + 0.5) * width})
@@ -186,8 +212,11 @@ def bootstrap_metrics(
     hash of (seed, replicate, i), so a lost executor recomputes the same draws.
     """
     y, e = F.col(obs), F.col(obs) - F.col(pred)
-    stats = df.filter(y.isNotNull() & F.col(pred).isNotNull()).groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(e * e).alias("s2"), F.sum(F.abs(e)).alias("s1"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")
+    known = df.filter(y.isNotNull() & F.col(pred).isNotNull())
+    centred = known.withColumn("__mid", known.agg(F.avg(y).alias("m")).scalar())
+    d = y - F.col("__mid")  # sums about the overall mean keep their digits
+    stats = centred.groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("c"), F.sum(e * e).alias("s2"), F.sum(F.abs(e)).alias("s1"), F.sum(d).alias("sy"), F.sum(d * d).alias("syy")
     )
     units = join_on(stats, dense_units(stats, unit, cap), unit).select("__u", "c", "s2", "s1", "sy", "syy")
     n = stats.agg(F.count(F.lit(1)).alias("n")).scalar()

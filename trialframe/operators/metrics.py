@@ -74,12 +74,11 @@ def curve_metrics(df: DataFrame, by: list[str], time: str, obs: str, pred: str,
     )
     tall = per_time.withColumn("scope", F.explode(scopes))
     n = F.sum("c")
-    # pooled variance of the scope: weighted within-time variance plus variance of the time means
-    mean = F.sum(F.col("c") * F.col("m")) / n
-    ss_tot = F.sum(F.col("c") * F.col("v")) + F.sum(F.col("c") * F.col("m") * F.col("m")) - n * mean * mean
-    out = tall.groupBy(*by, "scope").agg(
-        n.alias("n"), F.sum("s2").alias("ss_res"), F.sum("s1").alias("s1"),
-        F.greatest(ss_tot, F.lit(0.0)).alias("ss_tot"),
+    # variance of the scope: within the times, plus the squared distances of the time means from the scope's mean
+    means = tall.groupBy(*by, "scope").agg((F.sum(F.col("c") * F.col("m")) / n).alias("__grand"))
+    off = F.col("m") - F.col("__grand")
+    out = join_on(tall, means, [*by, "scope"]).groupBy(*by, "scope").agg(
+        n.alias("n"), F.sum("s2").alias("ss_res"), F.sum("s1").alias("s1"), F.sum(F.col("c") * (F.col("v") + off * off)).alias("ss_tot"),
     )
     mse = F.col("ss_res") / F.col("n")
     r2 = F.when(
@@ -205,11 +204,13 @@ def anova_levene(df: DataFrame, by: list[str], group: str, mu: str, sigma: str,
         F.avg("__z").alias("zm"), F.var_pop("__z").alias("zv"), F.avg("__s").alias("s"),
     ).withColumn("cv", F.col("s") / F.col("m"))
 
+    grand = per.groupBy(*by).agg(*[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"__grand_{c}") for c in ("m", "zm")])
+    per = join_on(per, grand, by)
+
     def f_ratio(mean: str, var: str) -> Column:
         n, k = F.sum("n"), F.count(F.lit(1))
-        grand = F.sum(F.col("n") * F.col(mean)) / n
-        between = F.sum(F.col("n") * F.col(mean) * F.col(mean)) - n * grand * grand
-        within = F.sum(F.col("n") * F.col(var))
+        off = F.col(mean) - F.col(f"__grand_{mean}")
+        between, within = F.sum(F.col("n") * off * off), F.sum(F.col("n") * F.col(var))
         return F.try_divide(between / (k - 1), within / (n - k))
 
     out = per.groupBy(*by).agg(
