@@ -210,3 +210,32 @@ def test_ensure_columns_and_combined_order(spark):
     assert [tuple(r) for r in df.collect()] == [(0, "d")]
     a, b = spark.createDataFrame([("z", 1)], "m string, i int"), spark.createDataFrame([("y", 2), ("other", 0)], "m string, i int")
     assert [r.m for r in S.combine_parts([a, b], {"m": ["z", "y"]}, ["m", "i"]).collect()] == ["z", "y", "other"]
+
+
+def test_curves_match_one_to_one_with_repeated_points(spark):
+    from trialframe.operators import joins as J
+
+    curve = lambda name, values: [(name, i, v) for i, v in enumerate(values)]
+    canon = spark.createDataFrame(curve("c1", [1.0, 2.0]) + curve("c2", [1.0, 2.0]) + curve("c3", [5.0, 6.0]) + curve("c3", [5.0, 6.0]), "k string, i int, v double")
+    pred = curve("p1", [1.0, 2.0]) + curve("p2", [1.0, 2.0]) + curve("p3", [1.0, 2.0]) + curve("p4", [5.000001, 6.0]) + curve("p5", [5.1, 6.0]) + curve("p4", [5.000001, 6.0])
+    got = {r.pred_curve: r.canon_curve for r in J.match_curve_sets(spark.createDataFrame(pred, "k string, i int, v double"), canon, "k", "i", "v").collect()}
+    assert got == {"p1": "c1", "p2": "c2", "p3": None, "p4": "c3", "p5": None}
+    a = spark.createDataFrame([("x", 0), ("y", 1)], "id string, pos int")
+    b = spark.createDataFrame([("y", 0), ("x", 1)], "id string, pos int")
+    same = lambda p, q: spark.range(1).select(J.same_order(p, q, "id", "pos").alias("s")).first().s
+    assert same(a, a) and not same(a, b) and not same(a, a.limit(1))
+
+
+def test_written_tables_can_be_released(spark):
+    import os
+
+    from trialframe.plans.stage import staged
+    from trialframe.session import _written, release, shared_dir
+
+    kept = list(_written)
+    _written.clear()
+    staged(spark.range(3), "released")
+    path = _written[0]
+    assert path.startswith(shared_dir(spark)) and os.path.isdir(path)
+    assert release(spark) == 1 and not os.path.exists(path)
+    _written.extend(kept)

@@ -130,3 +130,30 @@ def test_anova_levene_against_direct_formulas(spark):
     assert math.isclose(r.anova_f, f_stat(list(groups.values())), rel_tol=1e-9)
     assert math.isclose(r.levene_w, f_stat([[abs(v - med(g)) for v in g] for g in groups.values()]), rel_tol=1e-9)
     assert 0 < r.anova_p < 1 and r.method == "method1"
+
+
+def test_curve_r2_keeps_its_digits_far_from_zero(spark):
+    rng = random.Random(2)
+    rows = [(float(t), 1e8 + rng.random() * 1e-2, 1e8 + rng.random() * 1e-2) for t in range(1, 4) for _ in range(40)]
+    df = spark.createDataFrame(rows, "t double, y double, p double").withColumn("g", F.lit(1))
+    got = {r.scope: r.r2 for r in M.curve_metrics(df, ["g"], "t", "y", "p").collect()}
+    want = M.regression_metrics(df, ["g"], "y", "p").first().r2
+    assert got["including_t0"] == pytest.approx(want, rel=1e-4)
+
+
+def test_ks_statistic_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), float(rng.randint(0, 20)), None if rng.random() < 0.2 else float(rng.randint(3, 25))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    for cap in (20, 10**6):
+        for r in M.ks_statistic(df, ["g"], "a", "b", cap).collect():
+            a, b = [x for g, x, _ in rows if g == r.g], [y for g, _, y in rows if g == r.g and y is not None]
+            share = lambda s, v: sum(x <= v for x in s) / len(s)
+            assert (r.n_a, r.n_b) == (len(a), len(b)) and r.ks == pytest.approx(max(abs(share(a, v) - share(b, v)) for v in range(30)))
+
+
+def test_tail_that_does_not_settle_is_not_a_number(monkeypatch):
+    from trialframe.functions import pvalues
+
+    monkeypatch.setattr(pvalues, "STEPS", 3)
+    assert math.isnan(pvalues.beta_cdf(5000.0, 5000.0, 0.5))

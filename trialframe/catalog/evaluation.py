@@ -340,3 +340,14 @@ def diverse_subset_of_leaders(spark, sf):
 def exact_percentiles_by_brand(spark, sf):
     out = percentiles(sales_preds(spark, sf), ["p_brand"], "obs", {"p2_5": 0.025, "p50": 0.5, "p97_5": 0.975})
     return gridded(out, p2_5=3, p50=3, p97_5=3)
+
+
+@query(
+    "ks_distance_by_brand",
+    f"""WITH {SALES_PREDS}, v AS (SELECT p_brand, obs AS v, 1 AS a, 0 AS b FROM preds UNION ALL SELECT p_brand, pred, 0, 1 FROM preds),
+    m AS (SELECT p_brand, v, sum(a) AS a, sum(b) AS b FROM v GROUP BY ALL),
+    c AS (SELECT p_brand, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER g AS na, sum(b) OVER g AS nb FROM m WINDOW w AS (PARTITION BY p_brand ORDER BY v), g AS (PARTITION BY p_brand))
+    SELECT p_brand, max(na)::BIGINT AS n_a, max(nb)::BIGINT AS n_b, {R('max(abs(ca::DOUBLE / na - cb::DOUBLE / nb))')} AS ks FROM c GROUP BY p_brand""",
+)
+def ks_distance_by_brand(spark, sf):
+    return gridded(M.ks_statistic(sales_preds(spark, sf), ["p_brand"], "obs", "pred"), ks=6)

@@ -31,17 +31,33 @@ def response_surface_predictions(spark, sf):
     return M.linear_predict(rows, M.rsm2_fit(rows, ["p_size", "p_retailprice", "qty"], "price")).select("p_partkey", "price", "pred")
 
 
+@query(
+    "pls_predictions",
+    f"""WITH m AS (SELECT avg(p_size) AS m1, stddev_samp(p_size) AS s1, avg(p_retailprice) AS m2, stddev_samp(p_retailprice) AS s2, avg(l_quantity) AS my FROM part JOIN lineitem ON p_partkey = l_partkey),
+    z AS (SELECT p_partkey, (p_size - m1) / s1 AS a, (p_retailprice - m2) / s2 AS b, my FROM part, m),
+    k AS (SELECT sum(a * (l_quantity - my)) AS ca, sum(b * (l_quantity - my)) AS cb, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM z JOIN lineitem ON p_partkey = l_partkey),
+    w AS (SELECT ca, cb, ca / sqrt(ca * ca + cb * cb) AS wa, cb / sqrt(ca * ca + cb * cb) AS wb, aa, ab, bb FROM k),
+    q AS (SELECT wa, wb, (wa * ca + wb * cb) / (wa * wa * aa + 2 * wa * wb * ab + wb * wb * bb) AS g FROM w)
+    SELECT p_partkey, {R('my + g * (wa * a + wb * b)', 4)} AS pred FROM z, q""",
+)
+def pls_predictions(spark, sf):
+    li, part = table(spark, sf, "lineitem").select("l_partkey", "l_quantity"), table(spark, sf, "part")
+    sold = part.select("p_partkey", "p_size", "p_retailprice").join(li, F.col("p_partkey") == F.col("l_partkey"))
+    out = M.linear_predict(part, M.pls_fit(sold, ["p_size", "p_retailprice"], "l_quantity", components=1))
+    return out.select("p_partkey", grid("pred", 4).alias("pred"))
+
+
 @query("forest_predictions")
 def forest_predictions(spark, sf):
     rows = _part_targets(spark, sf)
-    return M.forest_fit_predict(rows, rows, ["p_size", "p_retailprice", "qty"], "price", trees=20, depth=5).select("p_partkey", "price", "pred")
+    return M.forest_fit_predict(rows, rows, ["p_size", "p_retailprice", "qty"], "price").select("p_partkey", "price", "pred")
 
 
 @query("baseline_report")
 def baseline_report(spark, sf):
     rows = _part_targets(spark, sf)
     train, test = rows.filter("p_size <= 35"), rows.filter("p_size > 35")
-    preds = M.baseline_compare(train, test, ["p_size", "p_retailprice"], ["price", "qty"], "p_partkey", ["p_type"], trees=10, depth=4)
+    preds = M.baseline_compare(train, test, ["p_size", "p_retailprice"], ["price", "qty"], "p_partkey", ["p_type"])
     return M.baseline_report(preds, "p_partkey")
 
 

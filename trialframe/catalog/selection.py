@@ -216,13 +216,13 @@ def candidate_shortlist(spark, sf):
     "constrained_splits",
     """WITH r AS (SELECT split, a, s_suppkey, s_acctbal, md5('7|' || CASE a WHEN 0 THEN split::VARCHAR ELSE split || '/' || a END || '|' || s_suppkey) AS h FROM supplier, range(0, 10) t(split), range(0, 64) u(a)),
     n AS (SELECT *, row_number() OVER (PARTITION BY split, a ORDER BY h, s_suppkey) AS rn FROM r),
-    tp AS (SELECT split, a, max(s_acctbal) AS top FROM n WHERE rn <= 12 GROUP BY ALL), te AS (SELECT n.*, CASE WHEN s_acctbal < top THEN 'below' ELSE 'above' END AS side FROM n JOIN tp USING (split, a) WHERE rn > 12),
-    pk AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY split, a, side ORDER BY h, s_suppkey) <= 4),
-    ok AS (SELECT split, min(a) AS a FROM (SELECT split, a FROM pk GROUP BY ALL HAVING count(*) = 8) GROUP BY 1)
-    SELECT split::INT AS split, s_suppkey, s_acctbal, part FROM (SELECT split, a, s_suppkey, s_acctbal, 'train' AS part FROM n WHERE rn <= 12 UNION ALL SELECT split, a, s_suppkey, s_acctbal, 'test_' || side FROM pk) JOIN ok USING (split, a)""",
+    tp AS (SELECT split, a, max(s_acctbal) AS top FROM n WHERE rn <= 4 GROUP BY ALL), te AS (SELECT n.*, CASE WHEN s_acctbal < top THEN 'below' ELSE 'above' END AS side FROM n JOIN tp USING (split, a) WHERE rn > 4),
+    pk AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY split, a, side ORDER BY h, s_suppkey) <= 2),
+    ok AS (SELECT split, min(a) AS a FROM (SELECT split, a FROM pk GROUP BY ALL HAVING count(*) = 4) GROUP BY 1)
+    SELECT split::INT AS split, s_suppkey, s_acctbal, part FROM (SELECT split, a, s_suppkey, s_acctbal, 'train' AS part FROM n WHERE rn <= 4 UNION ALL SELECT split, a, s_suppkey, s_acctbal, 'test_' || side FROM pk) JOIN ok USING (split, a)""",
 )
 def constrained_splits(spark, sf):
-    return D.constrained_splits(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", 10, 12, 4, seed=7)
+    return D.constrained_splits(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", 10, 4, 2, seed=7)
 
 
 def _lhs_axis(i: int, lo: float, hi: float) -> str:

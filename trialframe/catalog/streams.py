@@ -13,7 +13,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def _events(spark, sf):
     J.use_rocksdb(spark)
-    return spark.readStream.schema(EVENTS).parquet(f"{sf}/events.parquet")
+    # as a pattern the path may be a folder of part files or a single file
+    return spark.readStream.schema(EVENTS).parquet(f"{sf}/events.parque[t]")
 
 
 @query(

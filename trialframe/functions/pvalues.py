@@ -10,58 +10,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+STEPS = 200_000
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta function (modified Lentz), NaN where it has not settled."""
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 20_000):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+    whole = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    out, live = np.full(len(a), np.nan), np.arange(len(a))
+    c, d = np.ones(len(a)), 1.0 / whole(1.0 - (a + b) * x / (a + 1.0))
+    h = d.copy()
+    for m in range(1, STEPS):
+        if not len(live):
             break
-    return h
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / whole(1.0 + num * d)
+            c = whole(1.0 + num / c)
+            h = h * d * c
+        done = np.abs(d * c - 1.0) < 1e-15
+        if done.any():
+            out[live[done]] = h[done]
+            live, a, b, x, c, d, h = (v[~done] for v in (live, a, b, x, c, d, h))
+    return out
+
+
+def beta_cdfs(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of whole arrays."""
+    a, b, x = (np.asarray(v, dtype=float) for v in (a, b, x))
+    out = np.where(x <= 0.0, 0.0, 1.0)
+    out[~((a > 0) & (b > 0)) | np.isnan(x)] = np.nan
+    at = np.flatnonzero((a > 0) & (b > 0) & (x > 0.0) & (x < 1.0))
+    if len(at):
+        a, b, x = a[at], b[at], x[at]
+        front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x))
+        low = x < (a + 1.0) / (a + b + 2.0)
+        first, second, part = np.where(low, a, b), np.where(low, b, a), np.where(low, x, 1.0 - x)
+        tail = front * _beta_fraction(first, second, part) / first
+        out[at] = np.where(low, tail, 1.0 - tail)
+    return out
 
 
 def beta_cdf(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if not (a > 0 and b > 0) or math.isnan(x):
-        return math.nan
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _beta_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _beta_fraction(b, a, 1.0 - x) / b
+    return float(beta_cdfs(np.array([a]), np.array([b]), np.array([x]))[0])
 
 
 @F.pandas_udf(DoubleType())
 def fair_coin_tail(correct: pd.Series, pairs: pd.Series) -> pd.Series:
     """P(X >= correct) for X ~ Binomial(pairs, 1/2)."""
-
-    def tail(c, m):
-        if c is None or m is None or np.isnan(c) or np.isnan(m) or m <= 0:
-            return np.nan
-        return 1.0 if c <= 0 else beta_cdf(float(c), float(m - c + 1), 0.5)
-
-    return pd.Series([tail(c, m) for c, m in zip(correct, pairs)])
+    c, m = correct.to_numpy(dtype=float), pairs.to_numpy(dtype=float)
+    known = ~(np.isnan(c) | np.isnan(m)) & (m > 0)
+    out = np.where(known, 1.0, np.nan)
+    some = known & (c > 0)
+    out[some] = beta_cdfs(c[some], m[some] - c[some] + 1, np.full(some.sum(), 0.5))
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Upper tail of the F distribution."""
-
-    def tail(v, a, b):
-        if v is None or np.isnan(v) or not (a > 0 and b > 0):
-            return np.nan
-        return beta_cdf(b / 2.0, a / 2.0, b / (b + a * v))
-
-    return pd.Series([tail(v, a, b) for v, a, b in zip(f, df1, df2)])
+    v, a, b = (s.to_numpy(dtype=float) for s in (f, df1, df2))
+    known = ~np.isnan(v) & (a > 0) & (b > 0)
+    out = np.full(len(v), np.nan)
+    out[known] = beta_cdfs(b[known] / 2.0, a[known] / 2.0, b[known] / (b[known] + a[known] * v[known]))
+    return pd.Series(out)

@@ -37,6 +37,11 @@ TABLE_SIGNALS = (
     (("table",), 6), (("formulation", "composition"), 6), (("ingredient",), 3), (("ibuprofen",), 3),
     (("w/w", "wt%", "%"), 2), (("mg", " g ", "ml", "v/v"), 1),
 )
+# General keywords of such tables, a point each.
+TABLE_KEYWORDS = (
+    "table", "formulation", "formulations", "composition", "ingredient", "vehicle", "w/w", "wt%", "weight", "%", "mg", "g", "ml", "v/v",
+    "propylene glycol", "ethanol", "poloxamer", "carbomer", "gel", "cream", "ibuprofen",
+)
 
 
 def text_or_empty(c) -> Column:
@@ -88,6 +93,11 @@ def keyword_score(c, keywords, strong=(), weight: int = 1, strong_weight: int =
     return signal_score(c, [((k,), strong_weight if k in strong else weight) for k in keywords])
 
 
+def table_page_score(c) -> Column:
+    """How much a page looks like one with a formulation table."""
+    return signal_score(c, [*TABLE_SIGNALS, *[((k,), 1) for k in TABLE_KEYWORDS]])
+
+
 def signal_score(c, signals) -> Column:
     """Points for each signal of which any word occurs."""
     padded = F.concat(F.lit(" "), F.lower(text_or_empty(c)), F.lit(" "))

@@ -100,3 +100,24 @@ def select_pages(
     )
     joined = norm_ws(F.array_join(F.transform("__parts", lambda s: s["t"]), " "))
     return gathered.select(*doc, "pages", F.substring(joined, 1, max_chars).alias("text"))
+
+
+def select_table_pages(
+    pages: DataFrame, doc: list[str], page: str, n_pages: str, score: str, image: str, drawn: str, limit: int = 5, k: int = 1
+) -> DataFrame:
+    """Pages of each document to read for tables: ``doc, page, weak``.
+
+    A page counts by its text score, 5 for an image and 4 for drawings on 2 % of it or more. The best ``limit`` pages
+    come with their neighbours and are cut to ``limit`` again by rank; neighbours without a score come last. ``weak``
+    pages look like a table but have little text. Ties go to the earlier page.
+    """
+    graphic = F.col(image) | (F.col(drawn) >= 0.02)
+    total = F.col(score) + F.when(F.col(image), 5).otherwise(0) + F.when(F.col(drawn) >= 0.02, 4).otherwise(0)
+    w = Window.partitionBy(*doc).orderBy(F.desc("__total"), F.asc(page))
+    scored = pages.withColumn("__total", total).filter(F.col("__total") > 0).withColumn("__rank", F.row_number().over(w))
+    top = scored.filter(F.col("__rank") <= limit)
+    near = expand_neighbours(top, doc, page, n_pages, k)
+    ranks = scored.select(*doc, page, "__rank", ((F.col("__rank") <= limit) & (F.col(score) <= 3) & graphic).alias("weak"))
+    both = join_on(near, ranks, [*doc, page], "left").withColumn("__last", F.col("__rank").isNull())
+    best = Window.partitionBy(*doc).orderBy("__last", "__rank", page)
+    return both.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= limit).select(*doc, page, F.coalesce("weak", F.lit(False)).alias("weak"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import id_tokens, norm_label, substrings
 from ..functions.units import to_percent_w_w, is_target
-from ..plans.ordered import join_on
+from ..plans.ordered import join_on, ordered
 from .corpus import first_per_key
 
 
@@ -105,21 +105,25 @@ def legend_match(df: DataFrame, legend: str, color: str, curve_id: str) -> DataF
 def match_curve_sets(
     pred: DataFrame, canon: DataFrame, curve: str, position: str, value: str, tol: float = 1e-5
 ) -> DataFrame:
-    """Which reference curve each predicted curve is, by largest absolute difference within ``tol``.
+    """Which reference curve each predicted curve is, by largest absolute difference within ``tol``, one to one.
 
-    Curves are first merged by content, so copies count once. Candidates come from an equality join on
-    quantised first and mean values (with neighbouring cells); only those are compared point by point.
+    Points repeated at a position are averaged first. Curves are then merged by content, so copies are compared once and
+    afterwards assigned to the copies of the reference in order of their names; surplus copies stay unmatched.
+    Candidates come from an equality join on quantised first and mean values (with neighbouring cells); only those are
+    compared point by point.
     """
 
-    def digest(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        per = df.groupBy(F.col(curve).alias(name)).agg(
-            F.count(F.lit(1)).alias("n"), F.min_by(value, position).alias("v0"), F.avg(value).alias("m"),
-            F.bit_xor(F.xxhash64(position, value)).alias("h"),
+    def digest(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        points = df.groupBy(F.col(curve).alias(name), F.col(position).alias("__p")).agg(F.avg(value).alias("__v"))
+        # sums of two hashes don't cancel, whatever the order of the points
+        per = points.groupBy(name).agg(
+            F.count(F.lit(1)).alias("n"), F.min_by("__v", "__p").alias("v0"), F.avg("__v").alias("m"),
+            *[F.sum(F.xxhash64(F.lit(seed), "__p", "__v").cast("decimal(38,0)")).alias(h) for seed, h in enumerate(("h1", "h2"))],
         )
-        heads = per.groupBy("h", "n").agg(F.min(name).alias(name), F.min("v0").alias("v0"), F.min("m").alias("m"))
-        return per, heads
+        heads = per.groupBy("h1", "h2", "n").agg(F.min(name).alias(name), F.min("v0").alias("v0"), F.min("m").alias("m"))
+        return points, per, heads
 
-    (a, heads_a), (_, heads_b) = digest(pred, "pred_curve"), digest(canon, "canon_curve")
+    (pts_a, a, heads_a), (pts_b, b, heads_b) = digest(pred, "pred_curve"), digest(canon, "canon_curve")
     cell = lambda c: F.floor(F.col(c) / (2 * tol)).cast("long")
     near = lambda c: F.sequence(cell(c) - 1, cell(c) + 1)
     cells = heads_b.select("canon_curve", "n", cell("v0").alias("c0"), cell("m").alias("c1"))
@@ -127,20 +131,30 @@ def match_curve_sets(
         "pred_curve", "n", "c0", F.explode(near("m")).alias("c1")
     )
     cand = wide.join(cells, ["n", "c0", "c1"]).select("pred_curve", "canon_curve", "n")
-    pts_a = pred.select(F.col(curve).alias("pred_curve"), F.col(position).alias("__p"), F.col(value).alias("__va"))
-    pts_b = canon.select(F.col(curve).alias("canon_curve"), F.col(position).alias("__p"), F.col(value).alias("__vb"))
     diff = (
-        cand.join(pts_a, "pred_curve").join(pts_b, ["canon_curve", "__p"])
+        cand.join(pts_a.withColumnRenamed("__v", "__va"), "pred_curve").join(pts_b.withColumnRenamed("__v", "__vb"), ["canon_curve", "__p"])
         .groupBy("pred_curve", "canon_curve", "n")
         .agg(F.max(F.abs(F.col("__va") - F.col("__vb"))).alias("max_abs_diff"), F.count(F.lit(1)).alias("__c"))
         .filter((F.col("max_abs_diff") <= tol) & (F.col("__c") == F.col("n")))
     )
     best = first_per_key(diff, ["pred_curve"], [F.asc("max_abs_diff"), F.asc("canon_curve")])
     best = first_per_key(best, ["canon_curve"], [F.asc("max_abs_diff"), F.asc("pred_curve")])
-    matched = heads_a.select("h", "n", "pred_curve").join(best.drop("n"), "pred_curve").drop("pred_curve")
-    return join_on(a.select("pred_curve", "h", "n"), matched, ["h", "n"], "left").select(
-        "pred_curve", "canon_curve", "max_abs_diff"
-    )
+
+    def copies(per: DataFrame, heads: DataFrame, name: str, head: str) -> DataFrame:
+        """Every curve with its content's head and its place among the copies."""
+        named = heads.select("h1", "h2", "n", F.col(name).alias(head))
+        return ordered(join_on(per.select(name, "h1", "h2", "n"), named, ["h1", "h2", "n"]), [head], [name]).index("__nth").done().select(name, head, "__nth")
+
+    mine = join_on(copies(a, heads_a, "pred_curve", "__a"), best.select(F.col("pred_curve").alias("__a"), F.col("canon_curve").alias("__b"), "max_abs_diff"), ["__a"], "left")
+    out = join_on(mine, copies(b, heads_b, "canon_curve", "__b"), ["__b", "__nth"], "left")
+    return out.select("pred_curve", "canon_curve", F.when(F.col("canon_curve").isNotNull(), F.col("max_abs_diff")).alias("max_abs_diff"))
+
+
+def same_order(a: DataFrame, b: DataFrame, ident: str, position: str) -> Column:
+    """Whether two lists hold the same identifiers at the same positions, as a single value."""
+    both = a.select(F.col(ident).alias("__x"), F.col(position).alias("__p")).join(
+        b.select(F.col(ident).alias("__y"), F.col(position).alias("__q")), F.col("__p") == F.col("__q"), "full_outer")
+    return both.agg(F.coalesce(F.bool_and(F.col("__x").eqNullSafe(F.col("__y"))), F.lit(True)).alias("same")).scalar()
 
 
 def leakage_check(

@@ -222,3 +222,16 @@ def anova_levene(df: DataFrame, by: list[str], group: str, mu: str, sigma: str,
     out = out.withColumns({"anova_p": f_tail("anova_f", d1, d2), "levene_p": f_tail("levene_w", d1, d2)})
     unequal = F.col("__cv_wide") | (F.col("anova_p") < 0.05) | (F.col("levene_p") < 0.05)
     return out.withColumn("method", F.when(unequal, "method1").otherwise("method2")).drop("__cv_wide")
+
+
+def ks_statistic(df: DataFrame, by: list[str], a: str, b: str, cap: int | None = None) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance between the distributions of ``a`` and ``b``.
+
+    Equal values are merged into counts first; the largest gap between the running shares is the distance.
+    """
+    side = lambda c, x, y: df.filter(finite(c)).select(*by, F.col(c).cast("double").alias("__v"), F.lit(x).alias("__a"), F.lit(y).alias("__b"))
+    merged = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*by, "__v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    o = ordered(merged, by, ["__v"], cap).running(__ca=("sum", F.col("__a")), __cb=("sum", F.col("__b")))
+    o = o.total(n_a=("sum", F.col("__a")), n_b=("sum", F.col("__b")))
+    gap = F.abs(F.try_divide(F.col("__ca"), F.col("n_a")) - F.try_divide(F.col("__cb"), F.col("n_b")))
+    return o.done().groupBy(*by).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max(gap).alias("ks"))

@@ -60,6 +60,40 @@ def ridge_fit(df: DataFrame, features: list[str], target: str, alpha: float = 1.
     return _fit_linear(df, {f: F.col(f).cast("double") for f in features}, target, alpha)
 
 
+def pls_fit(df: DataFrame, features: list[str], target: str, components: int = 2) -> LinearModel:
+    """Partial least squares for one target, on features standardised by the sample deviation.
+
+    The components follow from the moments X'X and X'y alone, which one aggregation gives; what is left is
+    arithmetic on matrices of the number of features.
+    """
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("__y"))
+    rows = rows.filter(reduce(lambda a, b: a & b, [finite(c) for c in rows.columns]))
+    first = rows.agg(F.avg("__y").alias("my"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_samp(f).alias(f"s_{f}") for f in features]).first()
+    means, scales = [first[f"m_{f}"] for f in features], [first[f"s_{f}"] or 1.0 for f in features]
+    z = [(F.col(f) - m) / s for f, m, s in zip(features, means, scales)]
+    p = len(features)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = rows.agg(*[F.sum(z[i] * z[j]).alias(f"x{i}_{j}") for i, j in pairs], *[F.sum(z[i] * (F.col("__y") - first["my"])).alias(f"y{i}") for i in range(p)]).first()
+    xx = np.zeros((p, p))
+    for i, j in pairs:
+        xx[i, j] = xx[j, i] = sums[f"x{i}_{j}"]
+    xy, total, weights, loads = np.array([sums[f"y{i}"] for i in range(p)]), np.zeros(p), [], []
+    for _ in range(min(components, p)):
+        w = xy / (np.linalg.norm(xy) or 1.0)
+        r = w.copy()  # the direction in the original features
+        for seen, load in zip(weights, loads):
+            r -= (load @ w) * seen
+        size = r @ xx @ r
+        if size <= 1e-12 * max(1.0, np.trace(xx)):
+            break
+        load, gain = xx @ r / size, (r @ xy) / size
+        total += gain * r
+        xy = xy - size * gain * load
+        weights.append(r)
+        loads.append(load)
+    return LinearModel({f: F.col(f).cast("double") for f in features}, means, scales, [float(b) for b in total], float(first["my"]))
+
+
 def rsm2_fit(df: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> LinearModel:
     """Ridge on the standardised terms of a quadratic response surface."""
     cols = {f: F.col(f).cast("double") for f in features}
@@ -142,6 +176,7 @@ def baseline_compare(
         fitted = {
             "ridge": linear_predict(test, ridge_fit(train, features, target)),
             "rsm2": linear_predict(test, rsm2_fit(train, features, target)),
+            "pls": linear_predict(test, pls_fit(train, features, target)),
             "forest": forest_fit_predict(train, test, features, target, trees, depth),
             "mean": mean_by_key_baseline(train, test, key, target),
         }

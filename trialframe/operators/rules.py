@@ -144,6 +144,53 @@ def typed(c: str, kind: str) -> Column:
     return F.col(c).isNull() | F.col(c).cast("string").try_cast(kind).isNotNull()
 
 
+# Required keys of the published record, by the object that holds them ("" is the record).
+RECORD_KEYS = {
+    "": ("record_id", "paper", "device", "study_type", "barrier", "api", "formulation", "endpoints", "evidence", "formulation_completeness_class"),
+    "paper": ("doi_or_pmid", "year", "title"),
+    "device": ("name", "franz_confirmed"),
+    "barrier": ("category", "name"),
+    "api": ("name", "conc"),
+    "api.conc": ("raw", "basis", "is_target_5pct"),
+    "formulation": ("dosage_form", "ingredients"),
+    "endpoints": ("Q_final",),
+    "endpoints.Q_final": ("value", "unit", "time_h"),
+    "evidence": ("source_type", "locator", "snippet"),
+}
+# Enumerations of the published record.
+RECORD_VALUES = {
+    "device.name": ("Franz diffusion cell",),
+    "device.franz_confirmed": ("yes", "uncertain"),
+    "study_type": ("IVPT", "IVRT"),
+    "barrier.category": ("skin", "synthetic_membrane"),
+    "api.name": ("ibuprofen",),
+    "api.conc.basis": ("w/w", "w/v", "v/v", "mg/mL", "unknown"),
+    "api.conc.is_target_5pct": ("yes", "no", "uncertain"),
+    "evidence.source_type": ("Table", "Text", "Supplement"),
+    "formulation_completeness_class": ("A", "B"),
+}
+INGREDIENT_BASES = ("w/w", "w/v", "v/v", "mg/mL", "balance", "unknown")
+
+
+def record_rules() -> dict[str, Column]:
+    """Rules of a nested record: required keys of objects that are there, enumerations, and the ingredients' own.
+
+    Types are those of the struct; what does not parse into it is null and counts as missing.
+    """
+    rules = {}
+    for owner, keys in RECORD_KEYS.items():
+        for key in keys:
+            path = f"{owner}.{key}" if owner else key
+            here = F.col(path).isNotNull()
+            rules[f"required {path}"] = F.col(owner).isNull() | here if owner else here
+    for path, values in RECORD_VALUES.items():
+        rules[f"value of {path}"] = one_of(path, list(values))
+    items = F.col("formulation.ingredients")
+    rules["required formulation.ingredients.name_raw"] = F.coalesce(F.forall(items, lambda x: x["name_raw"].isNotNull()), F.lit(True))
+    rules["value of formulation.ingredients.conc_basis"] = F.coalesce(F.forall(items, lambda x: x["conc_basis"].isNull() | x["conc_basis"].isin(*INGREDIENT_BASES)), F.lit(True))
+    return rules
+
+
 def violation_rates(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rate per rule in one pass over the records."""
     one = df.agg(
