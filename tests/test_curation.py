@@ -239,3 +239,25 @@ def test_written_tables_can_be_released(spark):
     assert path.startswith(shared_dir(spark)) and os.path.isdir(path)
     assert release(spark) == 1 and not os.path.exists(path)
     _written.extend(kept)
+
+
+def test_labels_inside_each_other_against_all_pairs(spark):
+    import random
+
+    from trialframe.functions.text import norm_label
+    from trialframe.operators import joins as J
+
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    labels = [("k", text(rng.randint(1, 14)), i) for i in range(25)]
+    curves = [("k", text(rng.randint(1, 18))) for _ in range(120)] + [("other", "abc"), ("k", "")]
+    lab = spark.createDataFrame(labels, "k string, label string, o int")
+    cur = spark.createDataFrame(curves, "k string, curve string").distinct()
+    forms = {r.label: r.n for r in lab.select("label", norm_label("label").alias("n")).collect()}
+    got = {(r.k, r.curve): (r.status, r.mapped_label) for r in J.match_labels(cur, lab, ["k"], "curve", "label", "o").collect()}
+    for (k, c), (status, mapped) in got.items():
+        if status in ("exact_norm_match", "token_match", "no_formulations"):
+            continue
+        inside = [(o, name) for _, name, o in labels if k == "k" and c and forms[name] and (c in forms[name] or forms[name] in c)]
+        assert (status, mapped) == (("substring_norm_match", min(inside)[1]) if inside else ("unmapped", None)), c
+    assert {s for s, _ in got.values()} >= {"substring_norm_match", "unmapped", "no_formulations"}

@@ -155,15 +155,6 @@ def expr_features(c) -> dict[str, Column]:
     }
 
 
-def substrings(c) -> Column:
-    """All distinct non-empty substrings of a short string."""
-    n = F.length(c)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(c, i, k))))
-    )
-
-
 def safe_parse(c, schema: str) -> Column:
     """JSON, else a Python literal (single quotes, None/True/False), else null."""
     text = F.when(F.lower(F.trim(col(c))).isin("", "nan"), None).otherwise(F.trim(col(c)))

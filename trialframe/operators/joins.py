@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import id_tokens, norm_label, substrings
+from ..functions.text import id_tokens, norm_label
 from ..functions.units import to_percent_w_w, is_target
 from ..plans.ordered import join_on, ordered
+from ..plans.stage import staged
 from .corpus import first_per_key
 
 
@@ -41,13 +44,38 @@ def split_mapped(df: DataFrame, label: str = "mapped_formulation_label") -> tupl
     return df.filter(F.col(label).isNotNull()), df.filter(F.col(label).isNull())
 
 
+GRAM = 4
+
+
+def _grams(text: Column, low: int, high: int) -> Column:
+    """The distinct substrings of ``low`` to ``high`` characters: at most ``high`` per character."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(low, high + 1)])))
+
+
+def _containing(short: DataFrame, long: DataFrame, key: list[str], s: str, t: str) -> DataFrame:
+    """(key, s, t) for every ``s`` of more than ``GRAM`` characters inside a ``t``.
+
+    An ``s`` is looked up by the one of its grams that the fewest ``t`` have, then compared whole.
+    """
+    held = long.select(*key, t, F.explode(_grams(F.col(t), GRAM, GRAM)).alias("__g"))
+    rare = held.groupBy(*key, "__g").agg(F.count(F.lit(1)).alias("__df"))
+    asked = short.filter(F.length(s) > GRAM).select(*key, s, F.explode(_grams(F.col(s), GRAM, GRAM)).alias("__g"))
+    probe = join_on(asked, rare, [*key, "__g"], "left").groupBy(*key, s).agg(
+        F.min(F.struct("__df", "__g")).alias("__p"), F.bool_or(F.col("__df").isNull()).alias("__none"))
+    probe = probe.filter(~F.col("__none")).select(*key, s, F.col("__p")["__g"].alias("__g"))
+    return join_on(probe, held, [*key, "__g"]).filter(F.contains(F.col(t), F.col(s))).select(*key, s, t)
+
+
 def match_labels(
     curves: DataFrame, labels: DataFrame, key: list[str], curve_label: str, label: str, order: str
 ) -> DataFrame:
     """Map each curve label to a formulation label of its key: exact, shared identifier, then substring.
 
-    Every rule is an equality join on a table holding one first label per (key, normal form, token or
-    substring), so a curve meets at most one row per form and no label pairs are formed.
+    Every rule is an equality join on a table holding one first label per (key, normal form, token or short text).
+    Labels that neither rule settles are searched for containment: texts up to ``GRAM`` characters by all short parts of
+    the other side, longer ones by their rarest gram, then compared whole. Rows grow in proportion to the labels' length.
     """
     cur = curves.withColumn("__c", norm_label(curve_label))
     tagged = F.struct(F.col(order).alias("o"), F.col(label).alias("l"))
@@ -56,27 +84,32 @@ def match_labels(
     def first_by(df: DataFrame, form: str) -> DataFrame:
         return df.groupBy(*key, form).agg(F.min("__tag").alias("__first"))
 
-    named = base.filter(F.col("__n") != "")
-    exact = first_by(named, "__n").withColumnRenamed("__first", "__exact")
+    first = first_by(base.filter(F.col("__n") != ""), "__n")
     token = first_by(base.withColumn("__t", F.explode(id_tokens(label))), "__t")
-    # the curve's form inside a label: all parts of the labels; a label inside the curve's form: all parts of it
-    inner = first_by(named.withColumn("__s", F.explode(substrings(F.col("__n")))), "__s").withColumnRenamed("__first", "__in")
     ids = [*key, curve_label]
     distinct = cur.select(*ids, "__c").distinct()
-    by_exact = join_on(distinct, exact.withColumnRenamed("__n", "__c"), [*key, "__c"], "left")
-    by_inner = join_on(by_exact, inner.withColumnRenamed("__s", "__c"), [*key, "__c"], "left")
+    by_exact = join_on(distinct, first.select(*key, F.col("__n").alias("__c"), F.col("__first").alias("__exact")), [*key, "__c"], "left")
     tokens = distinct.withColumn("__t", F.explode(id_tokens(curve_label)))
     hit = join_on(tokens, token, [*key, "__t"]).groupBy(*ids).agg(F.min("__first").alias("__token"))
-    parts = distinct.filter(F.col("__c") != "").withColumn("__n", F.explode(substrings(F.col("__c"))))
-    outer = join_on(parts, first_by(named, "__n"), [*key, "__n"]).groupBy(*ids).agg(F.min("__first").alias("__out"))
+    settled = staged(join_on(by_exact, hit, ids, "left"), "labels")
+    forms = settled.filter(F.col("__exact").isNull() & F.col("__token").isNull() & (F.col("__c") != "")).select(*key, "__c").distinct()
+    short_labels = first.withColumn("__g", F.explode(_grams(F.col("__n"), 1, GRAM))).groupBy(*key, "__g").agg(F.min("__first").alias("__first"))
+    short_forms = forms.withColumn("__g", F.explode(_grams(F.col("__c"), 1, GRAM)))
+    found = [
+        join_on(forms.withColumn("__g", F.col("__c")), short_labels, [*key, "__g"]),
+        join_on(short_forms, first.withColumnRenamed("__n", "__g"), [*key, "__g"]),
+        join_on(_containing(forms, first, key, "__c", "__n"), first, [*key, "__n"]),
+        join_on(_containing(first, forms, key, "__n", "__c"), first, [*key, "__n"]),
+    ]
+    inside = reduce(DataFrame.unionByName, [f.select(*key, "__c", "__first") for f in found]).groupBy(*key, "__c").agg(F.min("__first").alias("__sub"))
     has = labels.select(*key).distinct().withColumn("__has", F.lit(True))
-    found = join_on(join_on(join_on(by_inner, hit, ids, "left"), outer, ids, "left"), has, key, "left")
-    sub = F.least("__in", "__out")
+    found = join_on(join_on(settled, inside, [*key, "__c"], "left"), has, key, "left")
+    open_ = F.col("__exact").isNull() & F.col("__token").isNull()
     found = found.select(
         *ids,
-        F.coalesce(F.col("__exact"), F.col("__token"), sub)["l"].alias("mapped_label"),
+        F.coalesce(F.col("__exact"), F.col("__token"), F.col("__sub"))["l"].alias("mapped_label"),
         F.when(F.col("__has").isNull(), "no_formulations").when(F.col("__exact").isNotNull(), "exact_norm_match")
-        .when(F.col("__token").isNotNull(), "token_match").when(sub.isNotNull(), "substring_norm_match")
+        .when(F.col("__token").isNotNull(), "token_match").when(open_ & F.col("__sub").isNotNull(), "substring_norm_match")
         .otherwise("unmapped").alias("status"),
     )
     return join_on(curves, found, ids, "left")
