@@ -118,10 +118,15 @@ def pairwise_accuracy_by_type(spark, sf):
     return gridded(out, pair_accuracy=6).drop("binomial_tail")
 
 
-@query("pairwise_binomial_tail")
+@query(
+    "pairwise_binomial_tail",
+    f"""WITH {DAY_CURVE}, cv AS (SELECT time_h, user_id, q_obs AS obs, q_pred AS pred FROM curve){PAIRS.format(by='time_h', src='cv', id='user_id')},
+    t AS (SELECT time_h, c, c + d AS m, unnest(range(c::BIGINT, (c + d + 1)::BIGINT)) AS k FROM pc)
+    SELECT time_h, m AS untied_pairs, c AS correct_pairs, {R('least(1, sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) - m * ln(2))))')} AS binomial_tail FROM t GROUP BY ALL""",
+)
 def pairwise_binomial_tail(spark, sf):
     out = M.pairwise_accuracy(day_curve(spark, sf), ["time_h"], "q_obs", "q_pred")
-    return out.select("time_h", "untied_pairs", "correct_pairs", "binomial_tail")
+    return gridded(out.select("time_h", "untied_pairs", "correct_pairs", "binomial_tail"), binomial_tail=6)
 
 
 @query(

@@ -25,6 +25,19 @@ def _part_targets(spark, sf):
     return part.join(li, li.l_partkey == part.p_partkey).drop("l_partkey")
 
 
+@query(
+    "response_surface_of_size",
+    f"""WITH s AS (SELECT count(*) AS n, avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_size * p_size) AS m2, stddev_pop(p_size * p_size) AS s2, avg(p_retailprice) AS my FROM part),
+    z AS (SELECT p_partkey, (p_size - m1) / s1 AS a, (p_size * p_size - m2) / s2 AS b, p_retailprice - my AS y, my FROM part, s),
+    k AS (SELECT sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * y) AS ay, sum(b * y) AS by_ FROM z)
+    SELECT p_partkey, {R('my + a * (bb * ay - ab * by_) / (aa * bb - ab * ab) + b * (aa * by_ - ab * ay) / (aa * bb - ab * ab)', 4)} AS pred FROM z, k""",
+)
+def response_surface_of_size(spark, sf):
+    part = table(spark, sf, "part")
+    out = M.linear_predict(part, M.rsm2_fit(part, ["p_size"], "p_retailprice", alpha=1.0))
+    return out.select("p_partkey", grid("pred", 4).alias("pred"))
+
+
 @query("response_surface_predictions")
 def response_surface_predictions(spark, sf):
     rows = _part_targets(spark, sf)
