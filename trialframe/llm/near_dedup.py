@@ -215,18 +215,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every member of a bucket with the most central member of another class in it.
+    """(a, b): every member of a bucket with the two most central members that stand for two classes, if not its own.
 
     ``members`` (bucket, key, total, degree, root). The degree of a text counts those it shares buckets with: the highest
-    is the text most like the others. Members of the class of the bucket's most central text are paired with the most
-    central text of all other classes, everyone else with the former: as many pairs as members, two aggregations of a
-    row per bucket.
+    is the text most like the others. The first centre is the most central text of the bucket, the second the most central
+    one of another class. Two pairs a member at most; two aggregations to a row per bucket.
     """
     top = F.max(F.struct("degree", "key", "root", "total"))
     best = members.groupBy("bucket").agg(top.alias("best"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "best")
     known = members.join(best, "bucket")
     second = known.filter("root <> best.root").groupBy("bucket").agg(top.alias("second"))
-    met = known.join(second, "bucket").withColumn("c", F.when(F.col("root") == F.col("best.root"), F.col("second")).otherwise(F.col("best")))
+    met = known.join(second, "bucket").withColumn("c", F.explode(F.array("best", "second"))).filter("root <> c.root")
     met = met.filter(F.least("total", "c.total") >= F.lit(similarity - 1e-9) * F.greatest("total", "c.total"))
     return met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
@@ -238,10 +237,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     are the connected texts. Texts with the same words are one node from the start (empty and null texts too), so copies
     are never compared. A pair at the threshold shares a bucket of 32 bands of 5 components with probability 1 - 3e-6.
 
-    In a bucket every text is compared with the most central text of another class, and again after classes have merged,
-    until a round finds no link: as many pairs a round as texts in buckets. A text similar to any text of a class is
-    similar to its most central one in some shared bucket, or shares a bucket with another neighbour where one of the two
-    is central; tests compare the classes with those of all pairs. No candidate is dropped.
+    In a bucket every text is compared with the most central texts of two classes, and again after classes have merged,
+    until a round finds no link: as many pairs a round as texts in buckets, times two. No candidate is dropped. What this
+    can miss is a text whose only links lead to texts that are central in none of their shared buckets; README has figures.
 
     Exactly one row of a class has ``kept``, unless a row is repeated with the same id and text: then all its copies do
     (:func:`drop_near` keeps one). Null ids come last. An empty table gives an empty result.
