@@ -335,12 +335,12 @@ def main_effects(spark, sf):
 
 
 BOOT = f"""{DAY_CURVE}, st AS (SELECT user_id, count(*) AS c, sum((q_obs-q_pred)*(q_obs-q_pred)) AS s2, sum(abs(q_obs-q_pred)) AS s1, sum(q_obs) AS sy, sum(q_obs*q_obs) AS syy, row_number() OVER (ORDER BY user_id) - 1 AS u FROM curve GROUP BY 1),
-  dr AS (SELECT r AS replicate, ('0x' || substring(md5('11|' || r || '|' || u), 1, 13))::BIGINT % (SELECT count(*) FROM st) AS u FROM st, range(0, 40) t(r)),
+  dr AS (SELECT r AS replicate, ('0x' || substring(md5('11|' || r || '|' || u), 1, 13))::BIGINT % (SELECT count(*) FROM st) AS u FROM st, range(0, 500) t(r)),
   rp AS (SELECT replicate::INT AS replicate, count(DISTINCT u) AS unique_units, sum(c) AS c, sum(s2) AS s2, sum(s1) AS s1, sum(sy) AS sy, sum(syy) AS syy FROM dr JOIN st USING (u) GROUP BY 1)"""
 
 
 def _boot(spark, sf):
-    return D.bootstrap_metrics(day_curve(spark, sf), ["user_id"], "q_obs", "q_pred", 40, seed=11)
+    return D.bootstrap_metrics(day_curve(spark, sf), ["user_id"], "q_obs", "q_pred", 500, seed=11)
 
 
 @query("bootstrap_replicates", f"WITH {BOOT} SELECT replicate, unique_units, {R('sqrt(s2/c)', 4)} AS rmse, {R('s1/c', 4)} AS mae, {R('1 - s2/(syy - sy*sy/c)')} AS r2 FROM rp")
