@@ -152,3 +152,9 @@ def test_pair_counts_beyond_double_precision(spark):
 
     row = spark.createDataFrame([(big,), (big + 1,), (1,), (0,)], "n long").select("n", _pairs(F.col("n")).alias("p")).collect()
     assert [int(r.p) for r in row] == [r.n * (r.n - 1) // 2 for r in row]
+
+
+def test_percentiles_and_moments_take_one_exchange(skewed):
+    out = percentiles(skewed, ["g"], "y", {"mid": 0.5}, also=(F.avg("y").alias("m"),))
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1

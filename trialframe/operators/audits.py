@@ -23,8 +23,7 @@ def residual_intervals(
     later = res.filter(~is_close("__t", 0.0))
 
     mean, sd = F.avg("__e"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("__e")).otherwise(0.0)
-    basic = later.groupBy("__t").agg(mean.alias("__mean"), sd.alias("__sd"))
-    per = join_on(basic, percentiles(later, ["__t"], "__e", points, cap).drop("n"), ["__t"])
+    per = percentiles(later, ["__t"], "__e", points, cap, also=(mean.alias("__mean"), sd.alias("__sd"))).drop("n")
     pooled = later.agg(F.struct(mean.alias("__mean"), sd.alias("__sd"))).scalar()
     spread = percentiles(later, [], "__e", points, cap).agg(F.struct(*[F.first(n).alias(n) for n in points])).scalar()
     j = join_on(test.withColumn("__t", F.col(time)), per, ["__t"], "left").withColumns({"__all": pooled, "__pts": spread})

@@ -241,5 +241,5 @@ def bootstrap_summary(reps: DataFrame, metrics: list[str]) -> DataFrame:
     from ..plans.ranks import percentiles
 
     tall = reps.unpivot([], metrics, "metric", "value")
-    basic = tall.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    return join_on(basic, percentiles(tall, ["metric"], "value", {"p2_5": 0.025, "p50": 0.5, "p97_5": 0.975}), ["metric"])
+    basic = (F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return percentiles(tall, ["metric"], "value", {"p2_5": 0.025, "p50": 0.5, "p97_5": 0.975}, also=basic)

@@ -22,12 +22,11 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 def describe_cols(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles, one row per column."""
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    basic = tall.groupBy("column").agg(
+    basic = (
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    parts = percentiles(tall, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
-    return join_on(basic, parts, ["column"])
+    return percentiles(tall, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, also=basic).drop("n")
 
 
 def level_summary(
@@ -41,10 +40,8 @@ def level_summary(
     tall = typed.unpivot(metrics, params, "param", "level").unpivot(["param", "level"], metrics, "metric", "value")
     tall = tall.filter(finite("value"))
     keys = ["param", "level", "metric"]
-    basic = tall.groupBy(*keys).agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count(F.lit(1)).alias("count")
-    )
-    out = join_on(basic, percentiles(tall, keys, "value", {"median": 0.5}, cap).drop("n"), keys)
+    basic = (F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    out = percentiles(tall, keys, "value", {"median": 0.5}, cap, also=basic).withColumnRenamed("n", "count")
     if baseline is None:
         return out
     base = join_on(out.select(*keys, F.col("median").alias("__base")), baseline.select("param", "level"), ["param", "level"], "left_semi")

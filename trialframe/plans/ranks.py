@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import NO_SPLIT, join_on, order_columns, ordered, row_cap, settle
@@ -46,9 +46,9 @@ def top_rows(df: DataFrame, by: list[str], order: list[str], k: int, name: str =
 
 
 def percentiles(
-    df: DataFrame, by: list[str], col: str, probs: dict[str, float], cap: int | None = None
+    df: DataFrame, by: list[str], col: str, probs: dict[str, float], cap: int | None = None, also: tuple[Column, ...] = ()
 ) -> DataFrame:
-    """Exact linear-interpolation percentiles per group, named by ``probs``.
+    """Exact linear-interpolation percentiles per group, named by ``probs``, and the aggregates ``also`` of the same rows.
 
     Small groups take the built-in exact percentile, which buffers a group's values. Where a group is
     larger, equal values are counted before the shuffle and the two neighbours of each point are picked
@@ -57,7 +57,7 @@ def percentiles(
     rows = df.filter(F.col(col).isNotNull())
     if settle(rows, by, min(row_cap(df, cap), SMALL_GROUP)) == NO_SPLIT:
         points = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()]))
-        small = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), points.alias("__p"))
+        small = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), points.alias("__p"), *also)
         return small.withColumns({n: F.col("__p")[i] for i, n in enumerate(probs)}).drop("__p")
     tall = rows.groupBy(*by, F.col(col).alias("__v")).agg(F.count(F.lit(1)).alias("__w"))
     o = ordered(tall, by, ["__v"], cap).running(__cum=("sum", F.col("__w"))).total(__n=("sum", F.col("__w")))
@@ -72,4 +72,5 @@ def percentiles(
         lo, hi = F.col(f"__lo_{n}"), F.col(f"__hi_{n}")
         g = g.withColumn(n, (lo + (hi - lo) * (pos - F.floor(pos))).cast("double"))
     helpers = [f"__{side}_{n}" for n in probs for side in ("lo", "hi")]
-    return g.drop(*helpers, *o.shed).withColumnRenamed("__n", "n")
+    out = g.drop(*helpers, *o.shed).withColumnRenamed("__n", "n")
+    return join_on(out, rows.groupBy(*by).agg(*also), by) if also else out
