@@ -188,6 +188,19 @@ def test_near_classes_of_chains_and_shared_passages(spark):
     assert sorted((r.id, r.class_id) for r in near_dedup.near_classes(docs).collect()) == want
 
 
+def test_near_classes_link_texts_that_are_central_nowhere(spark):
+    """Two near texts whose one bucket holds more central texts (by key, as all share that bucket), near to none."""
+    rng = random.Random(0)
+    base = H.sentence(rng, 62).split(" ")
+    texts = [" ".join(base + [f"e{rng.randint(0, 10**6)}" for _ in range(7 if i < 2 else 20)]) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = list(enumerate(H.near_groups(texts)))
+    assert want == [(0, 0), (1, 0), *((i, i) for i in range(2, 12))]
+    for block in (150, near_dedup.BLOCK):
+        got = near_dedup.near_classes(docs, bands=1, rows=1, block=block).collect()
+        assert sorted((r.id, r.class_id) for r in got) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 CHUNK_WORDS = 300_000
 WORD_CACHE = 500_000
+BLOCK = 50_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,13 +155,17 @@ def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, id_col:
     return map_batches(rows_in, start, "id long, mark long, key binary, total long, buckets array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose multisets overlap enough. Only texts in a pair are carried on."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = wanted.join(nodes.select("key", F.col("rep.id").alias("r_id"), F.col("rep.mark").alias("r_mark")), "key")
+def _texts(keys: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text) of the ``keys``: the text that stands for each."""
+    wanted = keys.join(nodes.select("key", F.col("rep.id").alias("r_id"), F.col("rep.mark").alias("r_mark")), "key")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     texts = texts.join(wanted.hint("shuffle_hash"), (F.col("mark") == F.col("r_mark")) & F.col("id").eqNullSafe(F.col("r_id")))
-    texts = staged(texts.groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+    return staged(texts.groupBy("key").agg(F.first("text").alias("text")), "near-texts")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose multisets overlap enough. Only texts in a pair are carried on."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, docs, id_col, text_col)
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -214,6 +220,15 @@ def components(edges: DataFrame) -> DataFrame:
         cur = staged(near.union(low.select("u", "m")).filter("u <> v").distinct(), "edges")
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (key, root) after the classes of the linked keys (a, b) have become one."""
+    for side in ("a", "b"):
+        links = links.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"r_{side}")), side)
+    joined = components(links.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
+    joined = joined.select(F.col("key").alias("root"), F.col("root").alias("to"))
+    return staged(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "near-roots")
+
+
 def _stars(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every member of a bucket with the two most central members that stand for two classes, if not its own.
 
@@ -230,7 +245,57 @@ def _stars(members: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _meeting(members: DataFrame, block: int) -> DataFrame:
+    """Rows of the blocks in which every two members of a bucket that stand in different classes meet.
+
+    ``members`` (bucket, key, total, root). The class with most members of a bucket is its main one, all other members are
+    strays, so one of two members in different classes is a stray. Strays and members are cut into blocks of about ``block``
+    shingles each and every block of strays meets every block of members: rows are members times blocks, not pairs, and
+    no task gets more than two blocks at once.
+    """
+    held = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"))
+    held = held.groupBy("bucket").agg(F.max(F.struct("n", "t", "root")).alias("main"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    cuts = lambda t: F.ceil(t / F.lit(float(block))).cast("int")
+    held = held.select("bucket", F.col("main.root").alias("main"), cuts(F.col("t") - F.col("main.t")).alias("n_strays"), cuts(F.col("t")).alias("n_others"))
+    known = members.join(held, "bucket")
+    at = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = known.filter("root <> main").select("bucket", at("n_strays").alias("s"), every("n_others").alias("o"), F.lit(True).alias("stray"), "key", "root")
+    others = known.select("bucket", every("n_strays").alias("s"), at("n_others").alias("o"), F.lit(False).alias("stray"), "key", "root")
+    return strays.unionByName(others)
+
+
+def _met(similarity: float, size: int):
+    """The links of one block of strays with one block of members: one for a stray and another class, the first found."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shingler, bags, out = Shingler(size), {}, []
+        for key, text in zip(rows["key"], rows["text"], strict=True):
+            if key not in bags:
+                bags[key] = shingler.bag(shingler.words(text))
+        code = dict(zip(rows["key"], pd.factorize(rows["root"])[0], strict=True))
+        others, strays = list(rows["key"][~rows["stray"]]), list(rows["key"][rows["stray"]])
+        if others and strays:
+            lengths = [len(bags[k][0]) for k in others]
+            hashes, counts = (np.concatenate([bags[k][i] for k in others]) for i in (0, 1))
+            owner, order = np.repeat(np.arange(len(others)), lengths), np.argsort(hashes, kind="stable")
+            hashes, counts, owner = hashes[order], counts[order], owner[order]
+            totals = np.asarray([bags[k][1].sum() for k in others])
+            classes = np.asarray([code[k] for k in others])
+        for a in strays if others else []:
+            mine, many = bags[a]
+            lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+            n = hi - lo
+            place = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            shared = np.bincount(owner[place], np.minimum(counts[place], np.repeat(many, n)), len(others))
+            near = np.flatnonzero((shared >= similarity * (totals + many.sum() - shared) - 1e-9) & (classes != code[a]))
+            out += [(a, others[i]) for i in near[np.unique(classes[near], return_index=True)[1]]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: ``id, mark, class_id, class_size, kept``; ``class_id`` is the smallest id of the class.
 
     Two texts are linked if the weighted Jaccard similarity of their shingle multisets is ``similarity`` or more; classes
@@ -238,8 +303,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     are never compared. A pair at the threshold shares a bucket of 32 bands of 5 components with probability 1 - 3e-6.
 
     In a bucket every text is compared with the most central texts of two classes, and again after classes have merged,
-    until a round finds no link: as many pairs a round as texts in buckets, times two. No candidate is dropped. What this
-    can miss is a text whose only links lead to texts that are central in none of their shared buckets; README has figures.
+    until a round finds no link: as many pairs a round as texts in buckets, times two. Then every two texts of a bucket
+    that still stand in different classes are compared, block by block (:func:`_meeting`), so no candidate is dropped.
 
     Exactly one row of a class has ``kept``, unless a row is repeated with the same id and text: then all its copies do
     (:func:`drop_near` keeps one). Null ids come last. An empty table gives an empty result.
@@ -261,11 +326,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
         links = staged(verified(pairs, nodes, docs, similarity, size, id_col, text_col), "near-links")
         if not links.limit(1).count():
             break
-        for side in ("a", "b"):  # links of classes
-            links = links.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"r_{side}")), side)
-        joined = components(links.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
-        joined = joined.select(F.col("key").alias("root"), F.col("root").alias("to"))
-        roots = staged(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "near-roots")
+        roots = _merged(roots, links)
+    meeting = staged(_meeting(members.join(roots, "key"), block), "near-meeting")
+    texts = _texts(meeting.select("key").distinct(), nodes, docs, id_col, text_col)
+    blocks = meeting.join(texts, "key").groupBy("bucket", "s", "o")
+    links = staged(blocks.applyInPandas(_met(similarity, size), "a binary, b binary"), "near-links")
+    if links.limit(1).count():
+        roots = _merged(roots, links)
 
     classes = nodes.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "rep", "copies")
     top = classes.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"))
