@@ -1,11 +1,14 @@
 import base64
+import bz2
 import gzip
+import lzma
 import math
 import random
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -219,6 +222,27 @@ def test_cycles_and_large_streams_end():
     secret_scan.scan(nested)
 
 
+def test_wrapped_joined_and_escaped_streams_are_unwrapped():
+    rng = random.Random(3)
+    noise = " ".join(str(rng.random()) for _ in range(12))
+    secret = "token=Q1w2E3r4T5y6U7i8"
+    long = f"{noise} {secret} {noise}".encode()
+    wrap = lambda b, n, end: end.join(re.findall(f".{{1,{n}}}", base64.b64encode(b).decode()))
+    found = lambda text: [(a, b) for a, k, b, d in secret_scan.scan(text)[0] if k == "assign" and d > 0]
+    for n, end in ((76, "\n"), (64, "\r\n"), (60, "\n    ")):
+        for data in (long, gzip.compress(long), bz2.compress(long)):
+            assert found(f"see\n{wrap(data, n, end)}\nand more"), (n, data[:4])
+        a, b = found(wrap(b"x" * 50 + secret.encode() + b" " + b"x" * 50, n, end))[0]
+        assert b - a < 40
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        both = pack(noise.encode()) + pack(long)
+        assert found(base64.b64encode(both).decode()), pack
+        assert found("".join(f"%{x:02X}" for x in both)) and found(repr(both)) and found("".join(f"\\u00{x:02x}" for x in both)), pack
+        assert found(quote(both)) and found("".join(f"&#{x};" for x in both)), pack
+    for before in ("a", "ab", "abc", "abcd", "data/x/", "https://host/path/of/"):
+        assert found(before + base64.b64encode(f"some {secret} here".encode()).decode()), before
+
+
 def test_scan_of_awkward_rows(rows, empty):
     got = secret_scan.scan_secrets(rows).collect()
     assert Counter(r.id for r in got) == Counter(r[0] for r in H.awkward_rows())

@@ -26,8 +26,28 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+PART = re.compile(r"[A-Za-z0-9+/_-]+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")  # the shortest secret has 12 characters
 MAX_LAYER_BYTES = 1 << 26
 
+
+def _escape_style(mark: str, byte, token: str) -> tuple[str, re.Pattern, re.Pattern]:
+    """An escape style: its mark, a pattern of the first bytes of compressed streams and one of a single byte."""
+    one = lambda b: f"(?:{byte(b)}" + (f"|{re.escape(chr(b))}" if b > 32 else "") + ")"
+    word = lambda bs: "".join(map(one, bs))
+    starts = [word(b"\x1f\x8b\x08"), word(b"x") + "(?:" + "|".join(map(one, b"\x01\x5e\x9c\xda")) + ")", word(b"BZh") + "(?:" + "|".join(map(one, b"123456789")) + ")", word(b"\xfd7zXZ\x00")]
+    return mark, re.compile("|".join(starts)), re.compile(f"{token}|[\\x20-\\xff]")
+
+
+STYLES = (
+    _escape_style("%", lambda b: f"(?i:%{b:02x})", r"%([0-9A-Fa-f]{2})"),
+    _escape_style("\\", lambda b: rf"(?i:\\x{b:02x}|\\u00{b:02x})", r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\[abfnrtv0\\'\"/]"),
+    _escape_style("&#", lambda b: rf"(?i:&#0*{b};|&#x0*{b:x};)", r"&#[xX]0*([0-9A-Fa-f]{1,2});|&#[0-9]{1,7};|&(?:amp|lt|gt|quot);"),
+)
+SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
+
 SCHEMA = "id long, kinds array<string>, starts array<long>, ends array<long>, layers array<int>, n_oversized long"
 
 
@@ -95,21 +115,29 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join([*parts, text[at:]]), layer.depth + 1, lo, hi)
 
 
+def _engine(data: bytes):
+    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
 def _inflated(data: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """The decompressed bytes, if ``data`` is a compressed stream, and whether it is larger than ``limit``."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-            engine = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            engine = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            engine = lzma.LZMADecompressor()
-        else:
-            return None, False
-        out = engine.decompress(data, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None, False
-    return (None, True) if len(out) > limit else (out, False)
+    """The decompressed bytes of all members, if ``data`` is a compressed stream, and whether they are more than ``limit``."""
+    out, size = [], 0
+    while engine := _engine(data):
+        try:
+            out.append(engine.decompress(data, limit + 1 - size))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        size += len(out[-1])
+        if size > limit:
+            return None, True
+        if not engine.eof:
+            break
+        data = engine.unused_data.lstrip(b"\0")  # padding between members
+    return (b"".join(out) if out else None), False
 
 
 def _text(data: bytes) -> str | None:
@@ -120,41 +148,119 @@ def _text(data: bytes) -> str | None:
     return None if any(ord(c) < 32 and c not in "\t\n\r\x0b\x0c" for c in text) else text
 
 
+def _unpacked(data: bytes, limit: int) -> tuple[bytes, bool, int]:
+    """``data`` without its compression, whether it had one, and the streams left packed."""
+    passed: list[bytes] = []
+    while True:  # compressed streams may hold compressed streams, or themselves
+        inner, large = _inflated(data, limit)
+        if inner is None or inner in passed:
+            return data, bool(passed), int(large)
+        passed.append(data)
+        data = inner
+
+
+def _blobs(text: str):
+    """(body, the place of each of its characters): base64 in one line, and over line breaks.
+
+    Wrapped lines are of one length but for the last: such a stretch is a body with and without the line after it, since
+    that may be prose. All lines together are one too.
+    """
+    for m in BLOB.finditer(text):
+        body = m[0].rstrip("=")
+        yield body, range(m.start(), m.start() + len(body))
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in PART.finditer(text, m.start(), m.end())]
+        cuts, at = {(0, len(lines))}, 0
+        while at < len(lines):
+            width, end = lines[at][1] - lines[at][0], at + 1
+            while end < len(lines) and lines[end][1] - lines[end][0] == width:
+                end += 1
+            cuts |= {(at, end)} | ({(at, end + 1)} if end < len(lines) and lines[end][1] - lines[end][0] < width else set())
+            at = end
+        for i, j in sorted(cuts):
+            if j - i > 1:
+                yield "".join(text[a:b] for a, b in lines[i:j]), [p for a, b in lines[i:j] for p in range(a, b)]
+
+
+def _decoded(body: str) -> bytes | None:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    try:
+        return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
 def _unblobbed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
     out, oversized = [], 0
-    for m in BLOB.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        span = layer.origin(m.start(), m.end())
-        passed: list[bytes] = []
-        while True:  # compressed streams may hold compressed streams, or themselves
-            inner, large = _inflated(data, limit)
-            oversized += large
-            if inner is None or inner in passed:
-                break
-            passed.append(data)
-            data = inner
-        packed = bool(passed)
-        text = _text(data)
-        if not text:
-            continue
-        if packed or layer.whole:
-            out.append(Layer(text, layer.depth + 1, whole=span))
-            continue
-        lo, hi, byte = [], [], 0
+
+    def add(text: str, skip: int, byte: int) -> None:
+        """A text that starts at a byte of what is decoded from the body's character ``skip`` on."""
+        lo, hi = [], []
         for c in text:
             size = len(c.encode())
-            first, last = m.start() + byte * 4 // 3, m.start() + -(-(byte + size) * 4 // 3)
-            a, b = layer.origin(first, min(last, m.end()))
-            lo.append(a)
-            hi.append(b)
+            first, last = skip + byte * 4 // 3, min(skip - (-(byte + size) * 4 // 3), len(places)) - 1
+            lo.append(layer.origin(places[first], places[first] + 1)[0])
+            hi.append(layer.origin(places[last], places[last] + 1)[1])
             byte += size
-        out.append(Layer(text, layer.depth + 1, lo, hi))
+        out.append(Layer(text, layer.depth + 1, whole=span) if layer.whole else Layer(text, layer.depth + 1, lo, hi))
+
+    for body, places in _blobs(layer.text):
+        span = layer.origin(places[0], places[-1] + 1)
+        data = _decoded(body)
+        if data is None:
+            continue
+        if len(body) % 4 != 1:
+            plain, packed, large = _unpacked(data, limit)
+            oversized += large
+            if large:
+                continue
+            if text := _text(plain):
+                if packed:
+                    out.append(Layer(text, layer.depth + 1, whole=span))
+                else:
+                    add(text, 0, 0)
+                continue
+        for skip in range(4):  # something else stands before or behind the encoded part
+            data = _decoded(body[skip:]) or b""
+            for m in READABLE.finditer(data):
+                add(m[0].decode(), skip, m.start())
+            for m in MAGIC.finditer(data):
+                plain, packed, large = _unpacked(data[m.start() :], limit)
+                oversized += large
+                if packed and (text := _text(plain)):
+                    out.append(Layer(text, layer.depth + 1, whole=span))
+    return out, oversized
+
+
+def _unescaped_streams(layer: Layer, limit: int) -> tuple[list[Layer], int]:
+    """Compressed streams whose bytes are written as escapes, with printable bytes as they are."""
+    out, oversized, text = [], 0, layer.text
+    for mark, start, token in STYLES:
+        if mark not in text:
+            continue
+        for m in start.finditer(text):
+            data, at = bytearray(), m.start()
+            while t := token.match(text, at):
+                found = t[0]
+                if t[1]:
+                    data.append(int(t[1], 16))
+                elif len(found) == 1:
+                    data.append(ord(found))
+                elif found[0] == "\\":
+                    data.append(SHORT.get(found[1], ord(found[1])))
+                elif found[1] == "#":
+                    if int(found[2:-1]) > 255:
+                        break
+                    data.append(int(found[2:-1]))
+                else:
+                    data += html.unescape(found).encode()
+                at = t.end()
+                if len(data) == 64 and _inflated(bytes(data), limit)[0] is None:
+                    break
+            plain, packed, large = _unpacked(bytes(data), limit)
+            oversized += large
+            if packed and (inner := _text(plain)):
+                out.append(Layer(inner, layer.depth + 1, whole=layer.origin(m.start(), at)))
     return out, oversized
 
 
@@ -175,9 +281,10 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, str,
             work.append(new)
         if ("\\" in layer.text or "&#" in layer.text) and (new := _rewritten(layer, ESCAPED, _unescape)):
             work.append(new)
-        new, large = _unblobbed(layer, limit)
-        work += new
-        oversized += large
+        for unwrap in (_unblobbed, _unescaped_streams):
+            new, large = unwrap(layer, limit)
+            work += new
+            oversized += large
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((a, k, b, d) for (a, k, b), d in found.items()), key=lambda x: (x[0], order[x[1]], x[2])), oversized
 
@@ -185,8 +292,9 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, str,
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LAYER_BYTES) -> DataFrame:
     """Per row: ``id`` and the arrays ``kinds``, ``starts``, ``ends``, ``layers`` of its secrets, in code points.
 
-    Layer 0 is the text itself. URL escapes, Unicode and HTML escapes, base64 and compressed streams inside base64 are
-    unwrapped until no new layer appears; a layer seen before at the same place ends its branch. Spans of inner layers
+    Layer 0 is the text itself. URL escapes, Unicode and HTML escapes, base64 (also over line breaks, or with something
+    else before it) and compressed streams of any number of members inside base64 or escapes are unwrapped until no new
+    layer appears; a layer seen before at the same place ends its branch. Spans of inner layers
     are those of the encoded characters in the document. Null counts as empty; repeated rows are scanned each; other
     columns are not read. A compressed stream of more than ``limit`` bytes stays packed and is counted in
     ``n_oversized``. Map-only: no shuffle, no state between rows.
