@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, secret_scan, suffix_dedup
+from . import chat, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, secret_scan, spelling, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,34 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# crc32 by bytes: the register after a byte is its upper part against the table entry of its lower byte
+SQL_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex({0})) // 2), lambda i: ('0x' || substr(hex({0}), 2 * i::BIGINT + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))"""
+SQL_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+
+
+@query(
+    "op11_spelling_variants",
+    f"""WITH RECURSIVE steps AS (SELECT i AS b, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i) UNION ALL SELECT b, {SQL_CRC_STEP.format('c')}, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS tagged, run, count(*) AS c FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, c, xor({SQL_CRC.format('tagged')}, 4294967295) AS h FROM runs, crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.k = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.k = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n FROM near GROUP BY word),
+known AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.MIN_RATIO} * words.n THEN form END AS form,
+  CASE WHEN form_n >= {spelling.MIN_RATIO} * words.n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS k FROM known UNION ALL SELECT walk.word, known.form, k + 1 FROM walk JOIN known ON walk.here = known.word WHERE known.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)""",
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
