@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality, secret_scan, spelling, suffix_dedup
+from . import chat, exact_dedup, lexical, licenses, line_dedup, mixing, near_dedup, packing, quality, secret_scan, spelling, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,23 @@ SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)""",
 )
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL_SEARCH_TERMS = "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+
+@query(
+    "op12_lexical_search",
+    f"""WITH i AS (SELECT DISTINCT item_id, {SQL_SEARCH_TERMS} AS term FROM benchmark),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {SQL_SEARCH_TERMS} AS term FROM documents) GROUP BY ALL),
+s AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+g AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM s),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), g),
+m AS (SELECT doc_id, 100 - 50 + (50 * n * n_docs) // n_terms AS m FROM s, g),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= {lexical.TOP}""",
+)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
