@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, lexical, licenses, line_dedup, mixing, near_dedup, packing, quality, secret_scan, spelling, suffix_dedup
+from . import bpe, chat, exact_dedup, lexical, licenses, line_dedup, mixing, near_dedup, packing, quality, secret_scan, spelling, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,20 @@ QUALIFY rank <= {lexical.TOP}""",
 )
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def byte_ranks(name: str = "byte_bpe_50k.tiktoken") -> bpe.Ranks:
+    """The byte-level vocabulary and its pattern; TRIALFRAME_RANKS names another file."""
+    import public_tokenizers
+
+    return bpe.Ranks.read(os.environ.get("TRIALFRAME_RANKS") or str(public_tokenizers.path(name)), public_tokenizers.PATTERN)
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_ranks()
+    out = bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    ids = F.col("ids")
+    return out.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(ranks.decode(ids), 256).alias("decoded_sha256"))
