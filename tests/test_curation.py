@@ -1,6 +1,7 @@
 """Readers, unit tables, rules and joins on small hand-made inputs."""
 
 import json
+import random
 import math
 
 import pytest
@@ -124,14 +125,51 @@ def test_label_matching_rules(spark):
     assert got["zzz"] == (None, "unmapped") and got["x"] == (None, "no_formulations")
 
 
-def test_curve_matching_with_copies(spark):
-    def curves(items):
-        return spark.createDataFrame([(c, i, float(v)) for c, vs in items.items() for i, v in enumerate(vs)], "c string, p int, v double")
+def _curves(spark, items):
+    return spark.createDataFrame([(c, i, float(v)) for c, vs in items.items() for i, v in enumerate(vs)], "c string, p int, v double")
+
+
+def _matched(spark, pred, canon, **how):
+    return {r.pred_curve: r.canon_curve for r in J.match_curve_sets(_curves(spark, pred), _curves(spark, canon), "c", "p", "v", **how).collect()}
 
-    canon = curves({"A": [0, 1, 2], "B": [0, 1, 2.5], "A2": [0, 1, 2]})
-    pred = curves({"x": [0, 1, 2.000001], "y": [0, 1, 2.5], "z": [0, 1, 9], "x2": [0, 1, 2.000001]})
-    got = {r.pred_curve: r.canon_curve for r in J.match_curve_sets(pred, canon, "c", "p", "v").collect()}
-    assert got == {"x": "A", "x2": "A", "y": "B", "z": None}
+
+def test_curve_matching_with_copies(spark):
+    canon = {"A": [0, 1, 2], "B": [0, 1, 2.5], "A2": [0, 1, 2]}
+    pred = {"x": [0, 1, 2.000001], "y": [0, 1, 2.5], "z": [0, 1, 9], "x2": [0, 1, 2.000001], "x3": [0, 1, 2.000001]}
+    assert _matched(spark, pred, canon) == {"x": "A", "x2": "A2", "x3": None, "y": "B", "z": None}
+
+
+def test_a_curve_whose_closest_reference_is_taken_gets_the_next_one(spark):
+    assert _matched(spark, {"x": [0, 1], "y": [0, 1.000004]}, {"A": [0, 1], "B": [0, 1.000009]}) == {"x": "A", "y": "B"}
+
+
+@pytest.mark.parametrize("closest", [False, True])
+def test_curve_matching_one_by_one(spark, closest):
+    """Crowded curves, with copies on both sides, against serving them one after the other."""
+    rng = random.Random(3)
+    level = lambda: rng.randint(0, 40) / 4e6
+    canon = {f"c{i:02d}": [1, 2 + level()] for i in range(25)} | {f"d{i}": [1, 2.5] for i in range(3)}
+    pred = {f"p{i:02d}": [1, 2 + level()] for i in range(30)} | {f"q{i}": [1, 2.5 + rng.choice([0, 1e-6])] for i in range(5)}
+    gap = lambda p, c: max(abs(x - y) for x, y in zip(pred[p], canon[c], strict=True))
+    head = lambda c: min(k for k in canon if canon[k] == canon[c])
+    open_pairs = sorted((((gap(p, c), p) if closest else (p, gap(p, c))), head(c), c, p) for p in pred for c in canon if gap(p, c) <= 1e-5)
+    want = dict.fromkeys(pred)
+    for _, _, c, p in open_pairs:
+        if want[p] is None and c not in want.values():
+            want[p] = c
+    assert _matched(spark, pred, canon, closest=closest) == want
+    assert _matched(spark, pred, canon, closest=closest, cap=4) == want
+
+
+def test_curve_set_verdict(spark):
+    canon = {"A": [0, 1, 2], "B": [0, 1, 2.5]}
+    def verdict(pred):
+        a, b = _curves(spark, pred), _curves(spark, canon)
+        r = J.curve_set_verdict(a, b, J.match_curve_sets(a, b, "c", "p", "v"), "c", "p", "v").first()
+        return r.curve_set_matches, r.same_sequence, r.n_matched
+    assert verdict({"x": [0, 1, 2], "y": [0, 1, 2.500001]}) == (True, True, 2)
+    assert verdict({"x": [0, 1, 2.5], "y": [0, 1, 2]}) == (True, False, 2)
+    assert verdict({"x": [0, 1, 2]}) == (False, False, 1)
 
 
 def test_leakage_and_completeness(spark):

@@ -78,6 +78,24 @@ def test_gradient_matches_numpy(spark):
             assert np.allclose(got[(a, b)], (g1[i, j], g2[i, j]))
 
 
+@pytest.mark.parametrize("d, kind, cap", [(1, "ties", None), (3, "ties", 6), (3, "all on the front", 6), (4, "all on the front", None), (4, "random", 6)])
+def test_front_of_many_objectives(spark, d, kind, cap):
+    rng = random.Random(d)
+    draw = {"ties": lambda: float(rng.randint(0, 3)), "random": rng.random, "all on the front": rng.random}[kind]
+    pts = [("a" if i % 5 else "b", i, *(draw() for _ in range(d))) for i in range(70)]
+    if kind == "all on the front":  # a fixed sum: whoever is better in one objective is worse in another
+        pts = [(*p[:-1], float(d) - sum(p[2:-1])) if d > 1 else (*p[:-1], 1.0) for p in pts]
+    pts += [("b", 900, *[float("nan")] * d), ("a", 901, *[0.0] * (d - 1), None)]
+    signs = [i % 2 == 0 for i in range(d)]
+    pts = [(g, i, *[v if v is None or s else -v for v, s in zip(vs, signs, strict=True)]) for g, i, *vs in pts]
+    goals = {i: (g, [v if s else -v for v, s in zip(vs, signs, strict=True)]) for g, i, *vs in pts if i < 900}
+    beaten = lambda g, v: any(h == g and w != v and all(x >= y for x, y in zip(w, v, strict=True)) for h, w in goals.values())
+    df = spark.createDataFrame(pts, "g string, id long, " + ", ".join(f"x{i} double" for i in range(d))).repartition(3)
+    front = C.pareto_front_nd(df, ["g"], [f"x{i}" for i in range(d)], signs, cap)
+    assert front.columns == df.columns and {r.id for r in front.collect()} == {i for i, (g, v) in goals.items() if not beaten(g, v)}
+    assert C.pareto_front_nd(df.limit(0), [], [f"x{i}" for i in range(d)]).count() == 0
+
+
 @pytest.mark.parametrize("cap", [8, None])
 def test_front_and_contributions(spark, cap):
     rng = random.Random(7)

@@ -503,19 +503,65 @@ def record_violations(spark, sf):
     return U.violations(records, ["p_partkey"], U.record_rules())
 
 
-@query(
-    "matched_curve_sets",
-    f"""WITH {DAY_CURVE}, ord AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY time_h) AS pos, q_obs FROM curve)
-    SELECT user_id + 1000000 AS pred_curve, CASE WHEN user_id % 3 > 0 THEN user_id END AS canon_curve, CASE WHEN user_id % 3 > 0 THEN {R('0.000004', 7)} END AS max_abs_diff FROM ord GROUP BY user_id""",
-)
-def matched_curve_sets(spark, sf):
-    """A third of the predicted curves lies off the reference; every point of the prediction is there twice."""
+def curve_sets(spark, sf):
+    """Two references a user, 6e-6 apart, and up to three predictions between and beside them; every point of a prediction
+    is there twice. A third of the users has predictions off every reference."""
     from ..plans.ordered import ordered
 
-    canon = ordered(day_curve(spark, sf), ["user_id"], ["time_h"]).index("pos").done().select("user_id", "pos", "q_obs")
+    own = ordered(day_curve(spark, sf), ["user_id"], ["time_h"]).index("pos").done().select("user_id", "pos", "q_obs")
+    shifted = lambda df, add, off: df.select((F.col("user_id") + add).alias("user_id"), "pos", (F.col("q_obs") + off).alias("q_obs"))
+    canon = own.unionByName(shifted(own, 500000, 0.000006))
     off = F.when(F.col("user_id") % 3 > 0, 0.000004).otherwise(0.5)
-    pred = canon.select((F.col("user_id") + 1000000).alias("user_id"), "pos", (F.col("q_obs") + off).alias("q_obs"))
-    return gridded(J.match_curve_sets(pred.unionByName(pred), canon, "user_id", "pos", "q_obs"), max_abs_diff=7)
+    pred = shifted(own, 1000000, off).unionByName(shifted(own, 2000000, 0.000005)).unionByName(shifted(own.filter("user_id % 3 = 2"), 3000000, 0.000008))
+    return pred.unionByName(pred), canon
+
+
+CURVE_SETS = f"""{DAY_CURVE}, own AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY time_h) AS pos, q_obs FROM curve),
+canon AS (SELECT user_id, pos, q_obs FROM own UNION ALL SELECT user_id + 500000, pos, q_obs + 0.000006::DOUBLE FROM own),
+pred AS (SELECT user_id + 1000000 AS user_id, pos, q_obs + CASE WHEN user_id % 3 > 0 THEN 0.000004::DOUBLE ELSE 0.5::DOUBLE END AS q_obs FROM own
+  UNION ALL SELECT user_id + 2000000, pos, q_obs + 0.000005::DOUBLE FROM own UNION ALL SELECT user_id + 3000000, pos, q_obs + 0.000008::DOUBLE FROM own WHERE user_id % 3 = 2),
+cand AS (SELECT p.user_id AS p, c.user_id AS c, max(abs(p.q_obs - c.q_obs)) AS d FROM pred p JOIN canon c USING (pos)
+  JOIN (SELECT user_id, count(*) AS n FROM pred GROUP BY ALL) np ON np.user_id = p.user_id JOIN (SELECT user_id, count(*) AS n FROM canon GROUP BY ALL) nc ON nc.user_id = c.user_id AND nc.n = np.n
+  GROUP BY p.user_id, c.user_id, np.n HAVING max(abs(p.q_obs - c.q_obs)) <= 0.00001::DOUBLE AND count(*) = np.n),
+turn AS (SELECT {{0}}),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ps, []::BIGINT[] AS cs, NULL::BIGINT AS p, NULL::BIGINT AS c, NULL::DOUBLE AS d UNION ALL
+  SELECT t.i, CASE WHEN t.c IS NULL THEN ps ELSE list_append(ps, t.p) END, CASE WHEN t.c IS NULL THEN cs ELSE list_append(cs, t.c) END, t.p, t.c, t.d FROM (
+    SELECT walk.i + 1 AS i, ps, cs, turn.p, {{1}} FROM walk JOIN turn ON turn.i = walk.i + 1 {{2}}) t),
+best AS (SELECT p, c, d FROM walk WHERE c IS NOT NULL)"""
+# a curve a turn, and the closest reference free by then
+IN_TURN = CURVE_SETS.format(
+    "user_id AS p, row_number() OVER (ORDER BY user_id) AS i FROM (SELECT DISTINCT user_id FROM pred)", "k.c, k.d",
+    "LEFT JOIN cand k ON k.p = turn.p AND NOT list_contains(cs, k.c) QUALIFY row_number() OVER (ORDER BY k.d, k.c) = 1")
+# a pair a turn, the closest first
+BY_DISTANCE = CURVE_SETS.format(
+    "p, c AS tc, d AS td, row_number() OVER (ORDER BY d, p, c) AS i FROM cand",
+    "CASE WHEN list_contains(cs, tc) OR list_contains(ps, turn.p) THEN NULL ELSE tc END AS c, td AS d", "")
+MATCHED = f"SELECT user_id AS pred_curve, c AS canon_curve, CASE WHEN c IS NOT NULL THEN {R('d', 7)} END AS max_abs_diff FROM (SELECT DISTINCT user_id FROM pred) LEFT JOIN best ON p = user_id"
+
+
+@query("matched_curve_sets", f"WITH RECURSIVE {IN_TURN} {MATCHED}")
+def matched_curve_sets(spark, sf):
+    """Predictions take the closest free reference in turn."""
+    return gridded(J.match_curve_sets(*curve_sets(spark, sf), "user_id", "pos", "q_obs"), max_abs_diff=7)
+
+
+@query("matched_curve_sets_closest", f"WITH RECURSIVE {BY_DISTANCE} {MATCHED}")
+def matched_curve_sets_closest(spark, sf):
+    return gridded(J.match_curve_sets(*curve_sets(spark, sf), "user_id", "pos", "q_obs", closest=True), max_abs_diff=7)
+
+
+@query(
+    "curve_set_verdict",
+    f"""WITH RECURSIVE {IN_TURN},
+a AS (SELECT row_number() OVER (ORDER BY user_id, pos) AS i, q_obs FROM (SELECT * FROM pred UNION ALL SELECT * FROM pred)), b AS (SELECT row_number() OVER (ORDER BY user_id, pos) AS i, q_obs FROM canon)
+SELECT n_pred, n_matched, n_canon, {R('max_abs_diff', 7)} AS max_abs_diff, {R('sequence_max_abs_diff', 5)} AS sequence_max_abs_diff, same_sequence, n_matched = n_pred AND n_pred = n_canon AS curve_set_matches FROM
+  (SELECT count(DISTINCT user_id) AS n_pred FROM pred), (SELECT count(*) AS n_matched, max(d) AS max_abs_diff FROM best), (SELECT count(DISTINCT user_id) AS n_canon FROM canon),
+  (SELECT max(abs(a.q_obs - b.q_obs)) AS sequence_max_abs_diff, bool_and(coalesce(abs(a.q_obs - b.q_obs) <= 0.00001::DOUBLE, false)) AS same_sequence FROM a FULL JOIN b USING (i))""",
+)
+def curve_set_verdict(spark, sf):
+    pred, canon = curve_sets(spark, sf)
+    matches = J.match_curve_sets(pred, canon, "user_id", "pos", "q_obs")
+    return gridded(J.curve_set_verdict(pred, canon, matches, "user_id", "pos", "q_obs"), max_abs_diff=7, sequence_max_abs_diff=5)
 
 
 @query("orders_with_customers", "SELECT o_custkey, o_orderkey, c_mktsegment, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")

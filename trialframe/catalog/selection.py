@@ -10,7 +10,7 @@ from ..functions import numeric as Q
 from ..functions.arrays import objective
 from ..operators import candidates as C
 from ..operators import design as D
-from .base import DAY_CURVE, R, day_curve, grid, gridded, micros, query, table
+from .base import DAY_CURVE, PART_SCORES, R, day_curve, grid, gridded, micros, part_scores, query, table
 
 
 # ---- SQL text of the normal distribution ---------------------------------------------------------
@@ -128,6 +128,36 @@ def pareto_orders_overall(spark, sf):
     return C.pareto_front(o, [], "o_totalprice", "d").drop("d")
 
 
+def dominated(rows: str, group: str, goals: list[str]) -> str:
+    """SQL for rows of ``rows`` that another row of the group matches in all goals (larger is better) and beats in one."""
+    same = f"q.{group} = p.{group} AND " if group else ""
+    return f"EXISTS (SELECT 1 FROM {rows} q WHERE {same}{' AND '.join(f'q.{g} >= p.{g}' for g in goals)} AND ({' OR '.join(f'q.{g} > p.{g}' for g in goals)}))"
+
+
+@query(
+    "pareto_parts_3d",
+    f"""WITH {PART_SCORES}, goals AS (SELECT l_partkey, p_brand, obs, pred, sales, -p_size AS small FROM scores)
+    SELECT p_brand, l_partkey, obs, pred, sales FROM goals p WHERE NOT {dominated('goals', 'p_brand', ['obs', 'sales', 'small'])}""",
+)
+def pareto_parts_3d(spark, sf):
+    """Parts of a brand that sell high, often and small."""
+    front = C.pareto_front_nd(part_scores(spark, sf), ["p_brand"], ["obs", "sales", "p_size"], [True, True, False])
+    return front.select("p_brand", "l_partkey", "obs", "pred", "sales")
+
+
+@query(
+    "pareto_customers_4d",
+    f"""WITH goals AS (SELECT c_custkey, c_acctbal, count(o_orderkey) AS orders, max(o_totalprice) AS largest, max(epoch_us(o_orderdate)) AS latest FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+    SELECT c_custkey, c_acctbal, orders, largest FROM goals p WHERE NOT {dominated('goals', '', ['c_acctbal', 'orders', 'largest', 'latest'])}""",
+)
+def pareto_customers_4d(spark, sf):
+    """Customers no other one equals or beats in balance, number of orders, largest and latest order."""
+    orders = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.count("o_orderkey").alias("orders"), F.max("o_totalprice").alias("largest"), F.max(micros("o_orderdate")).alias("latest"))
+    goals = table(spark, sf, "customer").select("c_custkey", "c_acctbal").join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    return C.pareto_front_nd(goals, [], ["c_acctbal", "orders", "largest", "latest"]).select("c_custkey", "c_acctbal", "orders", "largest")
+
+
 HV = """hv AS (SELECT o_custkey, mu, sd, greatest((coalesce(lag(mu) OVER w, min(mu) OVER () - 1) - mu) * (coalesce(lead(sd) OVER w, min(sd) OVER () - 1) - sd), 0) AS hv_contribution FROM cand WINDOW w AS (ORDER BY mu DESC, o_custkey))"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import numeric as Q
 from ..functions.arrays import dot, objective, weighted_sq_distance
 from ..plans.ordered import join_on, order_columns, ordered
 from ..plans.ranks import top_rows
+from ..plans.stage import staged
 from .metrics import anova_levene
 
 
@@ -100,6 +103,69 @@ def pareto_front(
     return join_on(rows, front, [*by, "__x", "__y"], "left_semi").drop("__x", "__y")
 
 
+def _meetings(df: DataFrame, place: str, levels: int, tag: int) -> tuple[DataFrame, list[str]]:
+    """``df`` once per level, with ``__late``, and the columns of level and block: two rows with different places (from 0) share
+    the block of exactly one level in which the earlier one is not late and the later one is."""
+    level, block = f"__l{tag}", f"__b{tag}"
+    out = df.withColumn(level, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    late = F.expr(f"shiftright({place}, {level}) & 1L") == 1
+    return out.withColumns({block: F.expr(f"shiftright(shiftright({place}, {level}), 1)"), "__late": late}).drop(place), [level, block]
+
+
+def _overtaken(df: DataFrame, by: list[str], dims: list[str], row: str, cap: int | None) -> DataFrame:
+    """(row) of the late rows with an early row in their group that is at least as large in all ``dims``."""
+    if len(dims) == 1:
+        best = df.filter("NOT __late").groupBy(*by).agg(F.max(dims[0]).alias("__best"))
+        return join_on(df.filter("__late"), best, by).filter(F.col("__best") >= F.col(dims[0])).select(row).distinct()
+    first, rest = dims[0], dims[1:]
+    o = ordered(df, by, [f"-{first}", "__late", row], cap)
+    if len(rest) == 1:
+        run = o.running(__best=("max", F.when(~F.col("__late"), F.col(rest[0])))).done()
+        return run.filter(F.col("__late") & (F.col("__best") >= F.col(rest[0]))).select(row).distinct()
+    # the early rows that are as large in the first objective stand before a late one: halving places leaves the others
+    placed = staged(o.index("__place").done().withColumn("__place", F.col("__place") - 1).withColumn("__was", F.col("__late")), "places")
+    levels = int(placed.agg(F.max("__place")).first()[0] or 0).bit_length()
+    if not levels:
+        return df.select(row).limit(0)
+    met, keys = _meetings(placed, "__place", levels, len(dims))
+    return _overtaken(met.filter(F.col("__late") == F.col("__was")).drop("__was"), [*by, *keys], rest, row, cap)
+
+
+def pareto_front_nd(df: DataFrame, by: list[str], objectives: list[str], maximise: list[bool] | None = None, cap: int | None = None) -> DataFrame:
+    """Rows no other row of the group equals or beats in all ``objectives`` while beating it in one, for any number of them.
+
+    Rows with a value that is no finite number are left out. Points equal in all objectives are one point, so they stay or
+    go together. First everything below its group's point of largest sum of scaled objectives goes. The points left get a
+    place by the first objective (then the others); each halving of the places is a level, and a point's better ones in
+    that objective lie before it in exactly one level, where one objective less decides. With the last two, it is a running
+    maximum. For d objectives that makes n log(n)^(d-2) rows, in groups that may be of any size and are cut into ranges:
+    never a pair of points and never a group in one task, even if all points are on the front.
+    """
+    signs = [1.0 if m else -1.0 for m in (maximise or [True] * len(objectives))]
+    names = [f"__o{i}" for i in range(len(objectives))]
+    ok = df.filter(reduce(lambda a, b: a & b, [Q.finite(c) for c in objectives]))
+    ok = ok.withColumns({n: F.col(c).cast("double") * s + 0.0 for n, c, s in zip(names, objectives, signs, strict=True)})
+    points = ok.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+    if len(names) == 1:
+        front = points.groupBy(*by).agg(F.max(names[0]).alias(names[0]))
+        return join_on(ok, front, [*by, *names], "left_semi").drop(*names)
+    points = staged(points, "points")
+    spans = points.groupBy(*by).agg(*[F.min(n).alias(f"{n}_lo") for n in names], *[F.max(n).alias(f"{n}_hi") for n in names])
+    scaled = reduce(lambda a, b: a + b, [F.when(F.col(f"{n}_hi") > F.col(f"{n}_lo"), (F.col(n) - F.col(f"{n}_lo")) / (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).otherwise(0.0) for n in names])
+    lead = join_on(points, spans, by).groupBy(*by).agg(F.max_by(F.struct(*names), scaled).alias("__lead"))
+    under = reduce(lambda a, b: a & b, [F.col(f"__lead.{n}") >= F.col(n) for n in names]) & reduce(lambda a, b: a | b, [F.col(f"__lead.{n}") > F.col(n) for n in names])
+    left = join_on(points, lead, by).filter(~under).drop("__lead")
+    placed = ordered(left, by, [f"-{n}" for n in names], cap).index("__place").done()
+    placed = staged(placed.withColumns({"__place": F.col("__place") - 1, "__row": F.monotonically_increasing_id()}), "places")
+    front = placed
+    levels = int(placed.agg(F.max("__place")).first()[0] or 0).bit_length()
+    if levels:
+        met, keys = _meetings(placed, "__place", levels, len(names))
+        beaten = _overtaken(met, [*by, *keys], names[1:], "__row", cap)
+        front = placed.join(beaten, "__row", "left_anti")
+    return join_on(ok, front.select(*by, *names), [*by, *names], "left_semi").drop(*names)
+
+
 def hv_contribution(df: DataFrame, by: list[str], x: str, y: str, ident: str, cap: int | None = None) -> DataFrame:
     """What each point adds to the strip sum below (min x - 1, min y - 1), in closed form.
 

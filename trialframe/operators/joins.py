@@ -135,15 +135,39 @@ def legend_match(df: DataFrame, legend: str, color: str, curve_id: str) -> DataF
     ).drop("__kept")
 
 
+def _one_to_one(cand: DataFrame, places: DataFrame, closest: bool, cap: int | None = None) -> DataFrame:
+    """(curve, head, diff, nth): which of the candidates (curve, head, diff) come together, and the curve's place there.
+
+    ``places`` (head, places) says how many curves a head takes. All curves ask for their closest head; a head with more
+    than it takes keeps the first (by name, or by difference and name), and whoever stands behind the last one kept never
+    gets there, so all such candidates go and the others ask again. Once nobody is refused, the result is that of serving
+    the curves one after the other. A round is a few aggregations of the candidates left; only a flag reaches the driver.
+    """
+    order = ["diff", "curve"] if closest else ["curve"]
+    cand = staged(cand, "candidates")
+    while True:
+        asked = cand.groupBy("curve").agg(F.min(F.struct("diff", "head")).alias("best")).select("curve", "best.*")
+        placed = join_on(ordered(asked, ["head"], order, cap).index("nth").done(), places, ["head"])
+        placed = staged(placed, "placed")
+        if not placed.filter("nth > places").limit(1).count():
+            return placed.select("curve", "head", "diff", "nth")
+        last = placed.filter("nth = places").select("head", F.struct(*order).alias("__last"))
+        left = join_on(cand, last, ["head"], "left")
+        cand = staged(left.filter(F.col("__last").isNull() | (F.struct(*order) <= F.col("__last"))).drop("__last"), "candidates")
+
+
 def match_curve_sets(
-    pred: DataFrame, canon: DataFrame, curve: str, position: str, value: str, tol: float = 1e-5
+    pred: DataFrame, canon: DataFrame, curve: str, position: str, value: str, tol: float = 1e-5, closest: bool = False, cap: int | None = None
 ) -> DataFrame:
     """Which reference curve each predicted curve is, by largest absolute difference within ``tol``, one to one.
 
-    Points repeated at a position are averaged first. Curves are then merged by content, so copies are compared once and
-    afterwards assigned to the copies of the reference in order of their names; surplus copies stay unmatched.
-    Candidates come from an equality join on quantised first and mean values (with neighbouring cells); only those are
-    compared point by point.
+    The predicted curves take, in order of their names, the closest reference that is still free; with ``closest`` the
+    closest pair of all comes first, then the closest of those left. Equal differences go by the reference's name. A curve
+    without a free reference within ``tol`` stays unmatched and takes none.
+
+    Points repeated at a position are averaged first. Curves are then merged by content, so copies are compared once; a
+    reference content takes as many curves as it has copies, in order of their names. Candidates come from an equality
+    join on quantised first and mean values (with neighbouring cells); only those are compared point by point.
     """
 
     def digest(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -153,7 +177,7 @@ def match_curve_sets(
             F.count(F.lit(1)).alias("n"), F.min_by("__v", "__p").alias("v0"), F.avg("__v").alias("m"),
             *[F.sum(F.xxhash64(F.lit(seed), "__p", "__v").cast("decimal(38,0)")).alias(h) for seed, h in enumerate(("h1", "h2"))],
         )
-        heads = per.groupBy("h1", "h2", "n").agg(F.min(name).alias(name), F.min("v0").alias("v0"), F.min("m").alias("m"))
+        heads = per.groupBy("h1", "h2", "n").agg(F.min(name).alias(name), F.min("v0").alias("v0"), F.min("m").alias("m"), F.count(F.lit(1)).alias("places"))
         return points, per, heads
 
     (pts_a, a, heads_a), (pts_b, b, heads_b) = digest(pred, "pred_curve"), digest(canon, "canon_curve")
@@ -170,17 +194,44 @@ def match_curve_sets(
         .agg(F.max(F.abs(F.col("__va") - F.col("__vb"))).alias("max_abs_diff"), F.count(F.lit(1)).alias("__c"))
         .filter((F.col("max_abs_diff") <= tol) & (F.col("__c") == F.col("n")))
     )
-    best = first_per_key(diff, ["pred_curve"], [F.asc("max_abs_diff"), F.asc("canon_curve")])
-    best = first_per_key(best, ["canon_curve"], [F.asc("max_abs_diff"), F.asc("pred_curve")])
 
     def copies(per: DataFrame, heads: DataFrame, name: str, head: str) -> DataFrame:
-        """Every curve with its content's head and its place among the copies."""
+        """Every curve with its content's head."""
         named = heads.select("h1", "h2", "n", F.col(name).alias(head))
-        return ordered(join_on(per.select(name, "h1", "h2", "n"), named, ["h1", "h2", "n"]), [head], [name]).index("__nth").done().select(name, head, "__nth")
+        return per.select(name, "h1", "h2", "n").join(named, ["h1", "h2", "n"]).select(name, head)
+
+    close = diff.select(F.col("pred_curve").alias("__a"), F.col("canon_curve").alias("head"), F.col("max_abs_diff").alias("diff"))
+    wanted = join_on(copies(a, heads_a, "pred_curve", "__a"), close, ["__a"]).select(F.col("pred_curve").alias("curve"), "head", "diff")
+    held = _one_to_one(wanted, heads_b.select(F.col("canon_curve").alias("head"), "places"), closest, cap)
+    free = ordered(copies(b, heads_b, "canon_curve", "head"), ["head"], ["canon_curve"], cap).index("nth").done()
+    taken = join_on(held, free, ["head", "nth"]).select("curve", "canon_curve", F.col("diff").alias("max_abs_diff"))
+    return join_on(a.select("pred_curve"), taken.withColumnRenamed("curve", "pred_curve"), ["pred_curve"], "left")
+
+
+def curve_set_verdict(
+    pred: DataFrame, canon: DataFrame, matches: DataFrame, curve: str, position: str, value: str, tol: float = 1e-5, cap: int | None = None
+) -> DataFrame:
+    """One row: whether the predicted curves are the reference's (``curve_set_matches``: every curve matched, and as many of
+    each), the largest difference of a match, and whether the points, in order of curve and position, are the same within
+    ``tol`` without any matching (``same_sequence``, with its largest difference; false where the numbers of points differ).
+
+    ``matches`` is the result of :func:`match_curve_sets`.
+    """
 
-    mine = join_on(copies(a, heads_a, "pred_curve", "__a"), best.select(F.col("pred_curve").alias("__a"), F.col("canon_curve").alias("__b"), "max_abs_diff"), ["__a"], "left")
-    out = join_on(mine, copies(b, heads_b, "canon_curve", "__b"), ["__b", "__nth"], "left")
-    return out.select("pred_curve", "canon_curve", F.when(F.col("canon_curve").isNotNull(), F.col("max_abs_diff")).alias("max_abs_diff"))
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(curve).alias("__c"), F.col(position).alias("__p"), F.col(value).cast("double").alias(name))
+        return ordered(rows, [], ["__c", "__p", name], cap).index("__i").done().select("__i", name)
+
+    n_canon = canon.agg(F.countDistinct(curve).alias("n_canon"))
+    found = matches.agg(F.count(F.lit(1)).alias("n_pred"), F.count("canon_curve").alias("n_matched"), F.max("max_abs_diff").alias("max_abs_diff"))
+    both = listed(pred, "__a").withColumnRenamed("__i", "__j").join(listed(canon, "__b"), F.col("__i") == F.col("__j"), "full_outer")
+    gap = F.abs(F.col("__a") - F.col("__b"))
+    order = both.agg(
+        F.max(gap).alias("sequence_max_abs_diff"),
+        F.coalesce(F.bool_and(F.col("__i").isNotNull() & F.col("__j").isNotNull() & F.coalesce(gap <= tol, F.lit(False))), F.lit(True)).alias("same_sequence"))
+    out = join_on(join_on(found, n_canon, []), order, [])  # one row each
+    same = (F.col("n_matched") == F.col("n_pred")) & (F.col("n_pred") == F.col("n_canon")) & (F.col("n_pred") > 0)
+    return out.withColumn("curve_set_matches", same)
 
 
 def same_order(a: DataFrame, b: DataFrame, ident: str, position: str) -> Column:
