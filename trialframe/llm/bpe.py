@@ -73,7 +73,7 @@ class Ranks:
     @cached_property
     def _pieces(self) -> Column:
         order = sorted(self.ids, key=self.ids.__getitem__)
-        return F.from_json(F.lit(json.dumps([base64.b64encode(b).decode() for b in order])), "array<binary>")
+        return F.from_json(F.lit(json.dumps([base64.b64encode(b).decode() for b in order])), "array<binary>").cast("array<string>")
 
     @cached_property
     def _bytes(self) -> Column:
@@ -112,8 +112,9 @@ class Ranks:
         return F.aggregate(times, start, step, lambda acc: F.slice(acc["parts"], F.lit(2), F.size(acc["parts"]) - 2).cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids: their binary pieces one after the other. Unknown ids have none."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i).cast("string")), "").cast("binary")
+        """The bytes of an array of ids: their binary pieces, held as strings of any bytes, one after the other. An unknown id
+        is an error."""
+        return let(self._pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: pieces[i]), "")).cast("binary")
 
 
 def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
