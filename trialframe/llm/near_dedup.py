@@ -295,6 +295,17 @@ def _met(similarity: float, size: int):
     return run
 
 
+def _distinct_buckets(held: DataFrame) -> DataFrame:
+    """(bucket, n, times): of the buckets with the same two or more members, the first, and how many they are.
+
+    Copies with few edits meet in most bands, so most buckets repeat others. Sets are told apart by their size and a 128-bit
+    hash that no order of the members changes.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "key")).alias(f"h{seed}") for seed in (0, 1)]
+    sets = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
+    return sets.groupBy("n", "h0", "h1").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times")).select("bucket", "n", "times")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: ``id, mark, class_id, class_size, kept``; ``class_id`` is the smallest id of the class.
 
@@ -304,7 +315,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
 
     In a bucket every text is compared with the most central texts of two classes, and again after classes have merged,
     until a round finds no link: as many pairs a round as texts in buckets, times two. Then every two texts of a bucket
-    that still stand in different classes are compared, block by block (:func:`_meeting`), so no candidate is dropped.
+    that still stand in different classes are compared, block by block (:func:`_meeting`), so no candidate is dropped. Of
+    buckets with the same members one is kept.
 
     Exactly one row of a class has ``kept``, unless a row is repeated with the same id and text: then all its copies do
     (:func:`drop_near` keeps one). Null ids come last. An empty table gives an empty result.
@@ -314,9 +326,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     nodes = staged(
         signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"), F.first("buckets").alias("buckets")), "near-nodes")
     held = nodes.select("key", "total", F.explode("buckets").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = staged(held.join(shared, "bucket"), "near-members")
-    degrees = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    members = staged(held.join(_distinct_buckets(held), "bucket"), "near-members")
+    degrees = members.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("degree"))
     members = staged(members.join(degrees, "key").select("bucket", "key", "total", "degree"), "near-members")
     roots, tried = members.select("key").distinct().withColumn("root", F.col("key")), None
     while True:
