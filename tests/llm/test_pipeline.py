@@ -19,7 +19,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_each_number_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_against_brute_force(spark, sf_dir):
