@@ -163,18 +163,42 @@ def test_diversity_ignores_order_and_odd_batches(spark):
         assert len(got) == 1 and math.isclose(got[0].diversity, (1 + 2 + math.sqrt(5)) / 3)
 
 
-def test_bootstrap_equals_explicit_resampling(spark):
-    rng = np.random.default_rng(3)
-    data = [(u, float(a), float(b)) for u in range(7) for a, b in rng.random((u % 3 + 1, 2))]
-    df = spark.createDataFrame(data, "u int, y double, p double")
-    got = {r.replicate: r for r in D.bootstrap_metrics(df, ["u"], "y", "p", 4, seed=5, cap=3).collect()}
-    import hashlib
+def _mixed_number(seed, parts, below):
+    def mix(h):
+        for k, x in zip(D.MIX_FACTORS, parts, strict=False):
+            h = (h * k + x) % D.MIX_PRIME
+        for k in D.MIX_FACTORS:
+            h = (h ^ (h >> 15)) * k % D.MIX_PRIME
+        return h
+
+    return (mix(2 * seed) * 2**31 + mix(2 * seed + 1)) % below
 
-    for b in range(4):
-        picks = [int(hashlib.md5(f"5|{b}|{i}".encode()).hexdigest()[:13], 16) % 7 for i in range(7)]
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_bootstrap_equals_explicit_resampling(spark, block):
+    rng = np.random.default_rng(3)
+    data = [(u, float(a), float(b)) for u in range(11) for a, b in rng.random((u % 3 + 1, 2))]
+    df = spark.createDataFrame([*data, (0, None, 1.0), (99, 1.0, None)], "u int, y double, p double")
+    got = {r.replicate: r for r in D.bootstrap_metrics(df, ["u"], "y", "p", 6, seed=5, cap=3, block=block).collect()}
+    assert sorted(got) == list(range(6))
+    for b in range(6):
+        blocks = [_mixed_number(5, [b, i], 11) // block if block < 11 else 0 for i in range(11)]
+        picks = [k * block + _mixed_number(6, [b, k, blocks[:i].count(k)], min(block, 11 - k * block)) for i, k in enumerate(blocks)]
         rows = [r for u in picks for r in data if r[0] == u]
         e = np.array([r[1] - r[2] for r in rows])
         assert math.isclose(got[b].rmse, math.sqrt((e**2).mean())) and got[b].unique_units == len(set(picks))
+    assert D.bootstrap_metrics(df.limit(0), ["u"], "y", "p", 6).count() == 0
+
+
+def test_draws_are_even(spark):
+    """Counts of units over many replicates follow the binomial law of independent even draws."""
+    n, reps = 10, 4000
+    at = D._of_columns(3, [F.col("id") % reps, F.floor(F.col("id") / reps)], n)
+    counts = spark.range(n * reps).select((F.col("id") % reps).alias("r"), at.alias("u")).groupBy("r", "u").count().collect()
+    per_unit = np.bincount([c.u for c in counts], [c["count"] for c in counts], n)
+    assert abs(per_unit - reps).max() < 5 * math.sqrt(reps)
+    unseen = 1 - len(counts) / (n * reps)
+    assert abs(unseen - 0.9**n) < 0.01
 
 
 def test_intervals_at_zero_and_unseen_times(spark):

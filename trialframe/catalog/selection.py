@@ -364,13 +364,31 @@ def main_effects(spark, sf):
     return gridded(D.main_effects(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], "l_extendedprice"), center=5, effect=3)
 
 
+def sql_drawn(seed: int, parts: list[str], below: str) -> str:
+    """The SQL of the two-step draws, one mixing step after the other."""
+
+    def mixed(start: int) -> str:
+        h = f"({start}::BIGINT)"
+        for factor, part in zip(D.MIX_FACTORS, parts, strict=False):
+            h = f"(({h} * {factor} + {part} % {D.MIX_PRIME}) % {D.MIX_PRIME})"
+        for factor in D.MIX_FACTORS:
+            h = f"(list_transform([{h}], lambda h{factor}: xor(h{factor}, h{factor} >> 15) * {factor} % {D.MIX_PRIME})[1])"
+        return h
+
+    return f"(({mixed(2 * seed)} * 2147483648 + {mixed(2 * seed + 1)}) % {below})"
+
+
+BOOT_BLOCK = 64
 BOOT = f"""{DAY_CURVE}, st AS (SELECT user_id, count(*) AS c, sum((q_obs-q_pred)*(q_obs-q_pred)) AS s2, sum(abs(q_obs-q_pred)) AS s1, sum(q_obs) AS sy, sum(q_obs*q_obs) AS syy, row_number() OVER (ORDER BY user_id) - 1 AS u FROM curve GROUP BY 1),
-  dr AS (SELECT r AS replicate, ('0x' || substring(md5('11|' || r || '|' || u), 1, 13))::BIGINT % (SELECT count(*) FROM st) AS u FROM st, range(0, 500) t(r)),
+  n AS (SELECT count(*) AS n FROM st), bl AS (SELECT u // {BOOT_BLOCK} AS block, count(*) AS m FROM st GROUP BY 1),
+  d1 AS (SELECT r AS replicate, CASE WHEN n <= {BOOT_BLOCK} THEN 0 ELSE {sql_drawn(11, ['r', 'i'], 'n')} // {BOOT_BLOCK} END AS block FROM n, range(0, 500) t(r), range(0, n) k(i)),
+  d2 AS (SELECT replicate, block, row_number() OVER (PARTITION BY replicate, block) - 1 AS j FROM d1),
+  dr AS (SELECT replicate, block * {BOOT_BLOCK} + {sql_drawn(12, ['replicate', 'block', 'j'], 'm')} AS u FROM d2 JOIN bl USING (block)),
   rp AS (SELECT replicate::INT AS replicate, count(DISTINCT u) AS unique_units, sum(c) AS c, sum(s2) AS s2, sum(s1) AS s1, sum(sy) AS sy, sum(syy) AS syy FROM dr JOIN st USING (u) GROUP BY 1)"""
 
 
 def _boot(spark, sf):
-    return D.bootstrap_metrics(day_curve(spark, sf), ["user_id"], "q_obs", "q_pred", 500, seed=11)
+    return D.bootstrap_metrics(day_curve(spark, sf), ["user_id"], "q_obs", "q_pred", 500, seed=11, block=BOOT_BLOCK)
 
 
 @query("bootstrap_replicates", f"WITH {BOOT} SELECT replicate, unique_units, {R('sqrt(s2/c)', 4)} AS rmse, {R('s1/c', 4)} AS mae, {R('1 - s2/(syy - sy*sy/c)')} AS r2 FROM rp")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import join_on, ordered
@@ -16,6 +18,12 @@ from .corpus import pending
 
 MAX_ATTEMPTS = 1024
 
+# sufficient statistics of a unit: rows, squared and absolute error, observation and its square about the mean
+STATS = ["c", "s2", "s1", "sy", "syy"]
+# multipliers modulo a Mersenne prime: a product of two numbers stays below 2 ** 62
+MIX_PRIME, MIX_FACTORS = 2**31 - 1, (48271, 69621, 40692, 1583458089)
+DRAWS_AT_ONCE = 1_000_000
+
 
 def constrained_splits(
     df: DataFrame, ident: str, value: str, n_splits: int, n_train: int, n_side: int, seed: int = 0
@@ -203,35 +211,80 @@ def dense_units(df: DataFrame, unit: list[str], cap: int | None = None) -> DataF
     return ordered(units, [], unit, cap).index("__u").done().withColumn("__u", F.col("__u") - 1)
 
 
+def _mixed(parts: list, xor, half):
+    """A number below 2 ** 31 - 1 mixed from whole numbers; the same steps on Columns and on numpy arrays."""
+    h = parts[0] % MIX_PRIME
+    for factor, part in zip(MIX_FACTORS, parts[1:], strict=False):
+        h = (h * factor + part % MIX_PRIME) % MIX_PRIME
+    for factor in MIX_FACTORS:
+        h = xor(h, half(h)) * factor % MIX_PRIME
+    return h
+
+
+def _drawn(seed: int, parts: list, below, one, xor, half):
+    """A number from 0 to ``below`` - 1 by 62 mixed bits of seed and ``parts``."""
+    high, low = (_mixed([one * (2 * seed + i), *parts], xor, half) for i in (0, 1))
+    return (high * 2**31 + low) % below
+
+
+def _of_columns(seed: int, parts: list[Column], below: int) -> Column:
+    return _drawn(seed, parts, F.lit(below).cast("long"), F.lit(1).cast("long"), lambda a, b: a.bitwiseXOR(b), lambda h: F.shiftright(h, 15))
+
+
+def _block_sums(seed: int):
+    """Per replicate, the sums of the units of one block that its draws take there."""
+
+    def run(units: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        if not len(draws):  # a block that no replicate draws from
+            return pd.DataFrame([], columns=["replicate", "unique_units", *STATS])
+        stats = units.sort_values("__u")[STATS].to_numpy()
+        block, m, out = int(draws["__block"].iloc[0]), len(units), []
+        for replicate, n in zip(draws["replicate"], draws["__n"], strict=True):
+            taken = np.zeros(m, dtype=np.int64)
+            for at in range(0, n, DRAWS_AT_ONCE):
+                j = np.arange(at, min(n, at + DRAWS_AT_ONCE), dtype=np.int64)
+                same = lambda v, j=j: np.full(len(j), v, dtype=np.int64)
+                taken += np.bincount(_drawn(seed + 1, [same(replicate), same(block), j], m, same(1), np.bitwise_xor, lambda h: h >> 15), minlength=m)
+            out.append((replicate, int((taken > 0).sum()), *(taken @ stats)))
+        return pd.DataFrame(out, columns=["replicate", "unique_units", *STATS])
+
+    return run
+
+
 def bootstrap_metrics(
-    df: DataFrame, unit: list[str], obs: str, pred: str, replicates: int, seed: int = 0, cap: int | None = None
+    df: DataFrame, unit: list[str], obs: str, pred: str, replicates: int, seed: int = 0, cap: int | None = None, block: int = 4096
 ) -> DataFrame:
     """Metrics of each bootstrap replicate, whole units drawn with replacement.
 
-    Units are reduced to sufficient statistics first. Draw i of a replicate takes the unit numbered by a
-    hash of (seed, replicate, i), so a lost executor recomputes the same draws.
+    Units are reduced to sufficient statistics, numbered, and cut into blocks of ``block``. A replicate has as many draws as
+    there are units, and each is made in two steps: the block it falls into, each with its share of the units, then a unit
+    inside the block. The first step counts draws per replicate and block before any shuffle; the second runs where the
+    block's units are. What moves is the units once, and a row per replicate and block; with one block the first step is
+    not needed. Draws are mixed from seed, replicate and number, so a lost executor's are made again as they were.
     """
     y, e = F.col(obs), F.col(obs) - F.col(pred)
     known = df.filter(y.isNotNull() & F.col(pred).isNotNull())
     centred = known.withColumn("__mid", known.agg(F.avg(y).alias("m")).scalar())
     d = y - F.col("__mid")  # sums about the overall mean keep their digits
     stats = centred.groupBy(*unit).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(e * e).alias("s2"), F.sum(F.abs(e)).alias("s1"), F.sum(d).alias("sy"), F.sum(d * d).alias("syy")
-    )
-    units = join_on(stats, dense_units(stats, unit, cap), unit).select("__u", "c", "s2", "s1", "sy", "syy")
-    n = stats.agg(F.count(F.lit(1)).alias("n")).scalar()
-    draws = units.select("__u").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__n", n)
-    drawn = F.pmod(hash_number(hash_text(seed, F.col("replicate"), F.col("__u"))), F.col("__n"))
-    picks = draws.select("replicate", drawn.alias("__u")).groupBy("replicate", "__u").agg(F.count(F.lit(1)).alias("w"))
-    j = picks.join(units, "__u")
-    total = lambda c: F.sum(F.col("w") * F.col(c))
-    rows = j.groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("unique_units"), total("c").alias("__c"), total("s2").alias("__s2"), total("s1").alias("__s1"),
-        total("sy").alias("__sy"), total("syy").alias("__syy"),
+        F.count(F.lit(1)).cast("double").alias("c"), F.sum(e * e).alias("s2"), F.sum(F.abs(e)).alias("s1"), F.sum(d).alias("sy"), F.sum(d * d).alias("syy")
     )
+    units = ordered(stats, [], unit, cap).index("__u").done().withColumn("__u", F.col("__u") - 1)
+    units = staged(units.select("__u", F.floor(F.col("__u") / block).alias("__block"), *STATS), "units")
+    n = units.count()
+    spark = df.sparkSession
+    if n <= block:
+        draws = spark.range(replicates).select(F.col("id").alias("replicate"), F.lit(0).cast("long").alias("__block"), F.lit(n).cast("long").alias("__n")).filter("__n > 0")
+    else:
+        each = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("replicate"), (F.col("id") % n).alias("__i"))
+        at = _of_columns(seed, [F.col("replicate"), F.col("__i")], n)
+        draws = each.select("replicate", F.floor(at / block).alias("__block")).groupBy("replicate", "__block").agg(F.count(F.lit(1)).alias("__n"))
+    schema = "replicate long, unique_units long, " + ", ".join(f"{c} double" for c in STATS)
+    parts = units.groupBy("__block").cogroup(draws.groupBy("__block")).applyInPandas(_block_sums(seed), schema)
+    rows = parts.groupBy("replicate").agg(F.sum("unique_units").alias("unique_units"), *[F.sum(c).alias(f"__{c}") for c in STATS])
     tot = F.col("__syy") - F.col("__sy") * F.col("__sy") / F.col("__c")
     return rows.select(
-        "replicate", "unique_units", F.sqrt(F.col("__s2") / F.col("__c")).alias("rmse"), (F.col("__s1") / F.col("__c")).alias("mae"),
+        F.col("replicate").cast("int").alias("replicate"), "unique_units", F.sqrt(F.col("__s2") / F.col("__c")).alias("rmse"), (F.col("__s1") / F.col("__c")).alias("mae"),
         F.when(tot > 0, 1.0 - F.col("__s2") / tot).alias("r2"),
     )
 
