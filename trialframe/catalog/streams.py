@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.corpus import first_per_key
+from ..session import scratch_path
 from ..streaming import jobs as J
 from .base import R, gridded, query
 
@@ -36,7 +37,60 @@ def early_stop_stream(spark, sf):
 )
 def incumbent_stream(spark, sf):
     out = J.run_available(J.incumbent_stream(_events(spark, sf), "user_id", "ts", "event_id", "value"), "incumbent", "update")
-    return first_per_key(out, ["key"], [F.desc("batch_id"), F.desc("rows")]).drop("batch_id")
+    return first_per_key(out, ["key"], [F.desc("batch_id")]).drop("batch_id")
+
+
+def _in_three(spark, sf, path):
+    """The events table in three files by id, one after the other."""
+    events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
+    for part in range(3):
+        events.filter(F.col("event_id") % 3 == part).coalesce(1).write.parquet(f"{path}/{part}")
+        yield part
+
+
+# a batch drops what the watermark had passed when the batch before it began, to the millisecond
+LATE = """f AS (SELECT event_id % 3 AS part, epoch_us(ts) AS us FROM events), top AS (SELECT part, max(us) AS hi FROM f GROUP BY 1),
+    wm AS (SELECT part + 2 AS part, (max(hi) OVER (ORDER BY part) // 1000 - {0}) * 1000 AS us FROM top)"""
+
+
+@query(
+    "late_rows_by_batch",
+    f"""WITH {LATE.format(10 * 86400000)}
+    SELECT part::BIGINT AS batch_id, count(*) AS input_rows, count(*) FILTER (f.us <= wm.us) AS late_rows FROM f LEFT JOIN wm USING (part) GROUP BY part""",
+)
+def late_rows_by_batch(spark, sf):
+    """What early stopping over three late files drops: each holds rows of all days, and rows may be ten days late."""
+    J.use_rocksdb(spark)
+    path = scratch_path(spark, "late")
+    list(_in_three(spark, sf, path))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    stops = J.early_stop_stream(stream.withColumn("poe", F.col("value") / (F.col("value") + 40)), "user_id", "ts", "event_id", "poe", 0.05, "10 days")
+    return J.run_counted(stops, "late-stops")[1].filter("input_rows > 0")
+
+
+@query("incumbent_stream_of_late_files", """WITH b AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM events)
+    SELECT user_id::VARCHAR AS key, max(value) AS best, count(*) FILTER (WHERE pb IS NULL OR value > pb) AS improvements, count(*) AS rows FROM b GROUP BY 1""")
+def incumbent_stream_of_late_files(spark, sf):
+    """Three batches, each with rows between those of the batches before."""
+    J.use_rocksdb(spark)
+    path = scratch_path(spark, "late")
+    list(_in_three(spark, sf, path))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out = J.run_available(J.incumbent_stream(stream, "user_id", "ts", "event_id", "value"), "late-incumbent", "update")
+    return first_per_key(out, ["key"], [F.desc("batch_id")]).drop("batch_id")
+
+
+@query("pending_stream_resumed", "SELECT DISTINCT user_id::VARCHAR || '/' || event_type AS k FROM events WHERE event_type LIKE '%i%' AND value > 10")
+def pending_stream_resumed(spark, sf):
+    """A run per file, each taking up where the one before ended."""
+    J.use_rocksdb(spark)
+    path, at = scratch_path(spark, "arriving"), scratch_path(spark, "resumed")
+    key = F.lower(F.trim(F.concat_ws("/", F.col("user_id").cast("string"), F.upper("event_type"))))
+    keep = F.col("event_type").rlike("(?i)i") & (F.col("value") > 10)
+    for _ in _in_three(spark, sf, path):
+        stream = spark.readStream.schema(EVENTS).parquet(f"{path}/*")
+        out = J.run_available(J.pending_stream(stream, {"k": key}, "ts", keep, "60 days"), "pending", at=at)
+    return out
 
 
 @query("pending_stream", "SELECT DISTINCT user_id::VARCHAR || '/' || event_type AS k FROM events WHERE event_type LIKE '%i%' AND value > 10")

@@ -103,33 +103,51 @@ def early_stop_stream(events: DataFrame, key: str, ts: str, seq: str, poe: str,
 
 
 class _Incumbent(StatefulProcessor):
-    """Best value so far and how often it improved."""
+    """The rows of a run that improve on all earlier ones, in time order, whatever order they arrive in."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", "best double, improvements long, rows long")
+        self.records = handle.getListState("records", "ts long, seq long, value double")
+        self.summary = handle.getValueState("summary", "best double, improvements long, rows long, ts long, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, count, seen = self.best.get() if self.best.exists() else (float("-inf"), 0, 0)
-        for pdf in rows:
-            values = pdf.sort_values(["ts", "seq"])["value"].dropna()
-            top = values.cummax().clip(lower=best)
-            count += int((top > top.shift(fill_value=best)).sum())
-            seen += len(values)
-            best = float(max(best, values.max())) if len(values) else best
-        self.best.update((best, count, seen))
-        return iter([pd.DataFrame({"key": [str(key[0])], "best": [best], "improvements": [count], "rows": [seen]})])
+        best, count, seen, ts, seq = self.summary.get() if self.summary.exists() else (float("-inf"), 0, 0, 0, 0)
+        new = pd.concat(list(rows))[["ts", "seq", "value"]].dropna()
+        if len(new):
+            new, known = new.sort_values(["ts", "seq"]), []
+            late = count and (new["ts"].iloc[0], new["seq"].iloc[0]) < (ts, seq)
+            if late:  # a row between known ones, which it may outdo
+                known = [tuple(r) for r in self.records.get()]
+                rising = self._rising(pd.concat([pd.DataFrame(known, columns=new.columns), new]).sort_values(["ts", "seq"]), float("-inf"))
+                self.records.put(rising)
+                count = len(rising)
+            else:
+                rising = self._rising(new, best)
+                if rising:
+                    self.records.appendList(rising)
+                count += len(rising)
+            best, (ts, seq) = (rising[-1][2], rising[-1][:2]) if rising else (best, (ts, seq))
+            seen += len(new)
+            self.summary.update((best, count, seen, ts, seq))
+        return iter([pd.DataFrame({"key": [str(key[0])], "best": [best if count else None], "improvements": [count], "rows": [seen]})])
+
+    @staticmethod
+    def _rising(rows: pd.DataFrame, best: float) -> list[tuple]:
+        before = rows["value"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
+        kept = rows[rows["value"] > before]
+        return [(int(t), int(q), float(v)) for t, q, v in zip(kept["ts"], kept["seq"], kept["value"], strict=True)]
 
     def close(self) -> None:
         pass
 
 
 def incumbent_stream(events: DataFrame, key: str, ts: str, seq: str, value: str) -> DataFrame:
-    """Current best and number of improvements per run, in update mode.
+    """Best value and number of improvements per run over the rows that have arrived, in update mode.
 
-    Rows count in arrival order; inside one batch of a run they are put in time order.
+    Both are those of the rows in time order (ties by ``seq``), in whatever order and batches they come. State holds the rows
+    that improve on all earlier ones; rows in order only add to it, a late row puts it right. Null times and values don't count.
     """
     rows = events.select(
-        F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(seq).cast("long").alias("seq"),
+        F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(seq).cast("long").alias("seq"),
         F.col(value).cast("double").alias("value"),
     )
     return rows.groupBy("key").transformWithStateInPandas(
@@ -158,22 +176,46 @@ def curve_metrics_stream(
     return out.select(F.col("w.start").alias("start"), *by, *[a for a in out.columns if a not in ("w", *by)])
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process what the source holds into a table of the shared folder and return that table."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Process what the source holds into a table of the shared folder and return that table.
+
+    With ``at``, a folder that outlives the run, table and progress live there under ``name``: a later run, also after a
+    crash, takes up where this one ended, and the table has every row once. The file sink lists what each batch committed;
+    in other modes a batch owns a folder, which it replaces if it is run again.
+    """
+    return run_counted(stream, name, mode, at)[0]
+
+
+def run_counted(stream: DataFrame, name: str, mode: str = "append", at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """As :func:`run_available`, and a table (batch_id, input_rows, late_rows) with a row per batch of this run.
+
+    ``late_rows`` have been dropped: the watermark had passed them when the batch before theirs began. The driver holds one
+    entry a batch.
+    """
     spark = stream.sparkSession
-    path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    if at is None:
+        path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    else:
+        path, state = f"{at.rstrip('/')}/{name}", f"{at.rstrip('/')}/{name}-state"
     writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.outputMode("append").format("parquet").option("path", path).start()
     else:
         def save(batch: DataFrame, batch_id: int) -> None:
-            # a batch that is run again replaces its own folder
             batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/part={batch_id}")
 
         query = writer.outputMode(mode).foreachBatch(save).start()
-    query.awaitTermination()
+    seen: dict[int, tuple[int, int]] = {}
+    done = False
+    while not done:  # the query remembers its last hundred batches
+        done = query.awaitTermination(1)
+        for p in query.recentProgress:
+            dropped = sum(op.get("numRowsDroppedByWatermark", 0) for op in p["stateOperators"])
+            seen[p["batchId"]] = (p["numInputRows"], dropped)
+    progress = spark.createDataFrame([(k, *v) for k, v in sorted(seen.items())], "batch_id long, input_rows long, late_rows long")
     columns = stream.columns if mode == "append" else [*stream.columns, "batch_id"]
-    return spark.read.schema(f"{_ddl(stream)}{'' if mode == 'append' else ', batch_id int'}").parquet(path).select(*columns)
+    schema = f"{_ddl(stream)}{'' if mode == 'append' else ', batch_id int'}"
+    return spark.read.schema(schema).parquet(path).select(*columns), progress
 
 
 def _ddl(df: DataFrame) -> str:
