@@ -67,6 +67,20 @@ def test_exponent_meets_target_and_limit(spark, target, repeats):
         assert most(looser) > limit or _entropy(looser) > goal
 
 
+def test_applied_mixture_is_in_blocks(spark):
+    """Every stretch of the mixed table holds the sources at their weights, whatever the order of the input."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id").cast("string"), F.lit("x y z")).alias("text"),
+        F.when(F.col("id") < 16_000, "big").when(F.col("id") < 19_000, "middle").otherwise("small").alias("source"))
+    got = [r.source for r in mixing.apply_mixture(docs, None, 1.5, "cover", block_tokens=5_000).select("source").collect()]
+    share = {s: n / len(got) for s, n in Counter(got).items()}
+    assert share["small"] > 0.055 and len(got) > 20_000
+    for at in range(0, len(got) - 2_000, 2_000):
+        part = Counter(got[at : at + 2_000])
+        for s, p in share.items():
+            assert abs(part[s] / 2_000 - p) < 5 * math.sqrt(p * (1 - p) / 2_000), (at, s)
+
+
 def test_mixture_is_made_of_whole_permuted_epochs(spark):
     docs = _sources(spark)
     rows = mixing._rows(docs, "doc_id", "text", "source", None).cache()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,21 +36,47 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """``start()`` once per task gives the function from a batch's columns (lists) to the columns of ``schema``."""
+def map_batches(df: DataFrame, start: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, lean: bool = False) -> DataFrame:
+    """``start()`` once per task gives the function from a batch's columns (lists) to the columns of ``schema``.
+
+    ``lean``: for tasks with large texts or caches, batches are cut by bytes and the memory goes back at the task's end.
+    """
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     names = df.columns
 
     def run(batches):
         step = start()
-        for batch in batches:
+        for batch in slices(batches) if lean else batches:
             if batch.num_rows:
                 out = step({n: batch.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        if lean:
+            del step
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where they hold more than about ``size`` bytes."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return this process' free memory to the system, where the C library offers that.
+
+    Python workers serve one task after another; what a task has freed stays theirs otherwise.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions_for(rows: int, each: int) -> int:
     """Partitions of about ``each`` rows."""
     return max(1, math.ceil(rows / each))

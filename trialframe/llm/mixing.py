@@ -177,13 +177,16 @@ def mix_sources(
 
 
 def apply_mixture(
-    docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | str | None = None, seed: int = SEED,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None,
+    docs: DataFrame, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, budget: int | str | None = None, block_tokens: int = BLOCK_TOKENS,
+    seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens: Column | None = None,
 ) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`mix_sources` uses it, with all their columns.
+    """The rows of ``docs``, each as often as :func:`mix_sources` uses it, with all their columns, in order of the mixture.
 
     A row's number of uses follows from its source's full epochs and from where its order value lies against the cut of
-    the partial epoch, so texts are neither shuffled nor joined with their uses.
+    the partial epoch. A use's block follows from its epoch and from how far its order value, which is even over its range,
+    lies in that range: blocks hold the sources at their weights up to what such a draw varies, and no sums are joined
+    back. Rows are range-partitioned by (block, place) and sorted; they move once. A null source is a source, a null text
+    costs one token, repeated rows are used alike, an empty table stays empty.
     """
     rows = staged(_rows(docs, id_col, text_col, source_col, tokens), "mix-rows")
     mixture = plan_mixture(rows, target_entropy, max_repeats, budget)
@@ -191,13 +194,17 @@ def apply_mixture(
         return docs
     cuts = staged(_cuts(_uses(rows, mixture, seed, False)).withColumnRenamed("source", "c"), "mix-cuts")
     per = staged(
-        mixture.sources.join(cuts, F.col("source").eqNullSafe(F.col("c")), "left").select("source", "full", "rest", "cut"), "mix-plan")
-    names = {c: fresh(docs, f"__{c}") for c in ("source", "full", "rest", "cut")}
+        mixture.sources.join(cuts, F.col("source").eqNullSafe(F.col("c")), "left").select("source", "full", "rest", "cut", "tokens", "budget"), "mix-plan")
+    columns = ["full", "rest", "cut", "tokens", "budget"]
+    names = {c: fresh(docs, f"__{c}") for c in ("source", *columns)}
     key = fresh(docs, "__key")
-    both = _attached(docs.withColumn(key, F.col(source_col).cast("string")), per, key, ["full", "rest", "cut"], names)
-    at = _order(F.xxhash64(F.col(id_col), F.col(text_col)), F.col(names["full"]), seed)
-    cut = F.col(names["cut"])
-    more = F.when(F.col(names["rest"]) == 0, 0).when(cut.isNull() | (at < cut), 1).otherwise(0)
-    times = (F.col(names["full"]) + more).cast("int")
-    again = fresh(docs, "__again")
-    return both.withColumn(again, F.explode(F.array_repeat(F.lit(True), times))).select(*docs.columns)
+    both = _attached(docs.withColumn(key, F.col(source_col).cast("string")), per, key, columns, names)
+    held = {c: F.col(n) for c, n in names.items()}
+    unit, epoch, block, place = F.xxhash64(F.col(id_col), F.col(text_col)), *[fresh(docs, f"__{c}") for c in ("epoch", "block", "place")]
+    more = F.when(held["rest"] == 0, 0).when(held["cut"].isNull() | (_order(unit, held["full"], seed) < held["cut"]), 1).otherwise(0)
+    uses = both.withColumn(epoch, F.explode(F.expr(f"sequence(0L, {names['full']})"))).filter(F.col(epoch) < held["full"] + more)
+    blocks = max(1, math.ceil(mixture.budget / block_tokens))
+    part = F.col(epoch) + 0.5 + _order(unit, F.col(epoch), seed) / F.lit(2.0**64)
+    at = F.floor(part * held["tokens"] * F.lit(float(blocks)) / held["budget"]).cast("long")
+    uses = uses.withColumns({block: F.least(at, F.lit(blocks - 1).cast("long")), place: F.xxhash64(F.lit(seed), unit, F.col(epoch), F.col(key))})
+    return uses.select(*docs.columns, block, place).repartitionByRange(block, place).sortWithinPartitions(block, place).select(*docs.columns)

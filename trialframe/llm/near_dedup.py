@@ -14,7 +14,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 CHUNK_WORDS = 300_000
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 BLOCK = 50_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -152,14 +152,14 @@ def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, id_col:
         return step
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    return map_batches(rows_in, start, "id long, mark long, key binary, total long, buckets array<long>")
+    return map_batches(rows_in, start, "id long, mark long, key binary, total long, buckets array<long>", lean=True)
 
 
 def _texts(keys: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text) of the ``keys``: the text that stands for each."""
     wanted = keys.join(nodes.select("key", F.col("rep.id").alias("r_id"), F.col("rep.mark").alias("r_mark")), "key")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = texts.join(wanted.hint("shuffle_hash"), (F.col("mark") == F.col("r_mark")) & F.col("id").eqNullSafe(F.col("r_id")))
+    texts = texts.join(wanted, (F.col("mark") == F.col("r_mark")) & F.col("id").eqNullSafe(F.col("r_id")))
     return staged(texts.groupBy("key").agg(F.first("text").alias("text")), "near-texts")
 
 
@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
 
         return step
 
-    return map_batches(both.select("a", "b", "text_a", "text_b"), start, "a binary, b binary")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), start, "a binary, b binary", lean=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -357,7 +357,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per class of :func:`near_classes`, with all columns of ``docs``."""
+    """One row per class of :func:`near_classes`, with all columns of ``docs``, whatever their names.
+
+    Null and empty texts are one class, of which the smallest id stays (a null id only if there is no other); of rows
+    repeated with the same id and text one stays; an empty table stays empty.
+    """
     marked = staged(near_classes(docs, id_col=id_col, text_col=text_col, **how), "near-marked")
     names = {c: fresh(docs, f"__{c}") for c in ("id", "mark", "kept", "own")}
     verdict = marked.filter("class_size > 1").groupBy("id", "mark").agg(F.first("kept").alias(names["kept"]), F.count(F.lit(1)).alias("n"))
@@ -365,7 +369,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     own = docs.withColumn(names["own"], F.xxhash64(text_of(text_col)))
     on = (F.col(names["own"]) == F.col(names["mark"])) & F.col(id_col).cast("long").eqNullSafe(F.col(names["id"]))
     gone = verdict.filter(~F.col(names["kept"])).drop("n", names["kept"])
-    stay = own.join(gone.hint("shuffle_hash"), on, "left_anti")
+    stay = own.join(gone, on, "left_anti")
     twice = staged(verdict.filter(F.col(names["kept"]) & (F.col("n") > 1)).select(names["id"], names["mark"]), "near-twice")
     if twice.limit(1).count():  # rows repeated with the same id and text: one of them
         again = stay.join(twice, on, "left_semi").dropDuplicates([id_col, names["own"]])

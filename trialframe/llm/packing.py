@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import partitions_for, staged, text_of
+from .common import give_back, partitions_for, slices, staged, text_of
 
 SEQ_LEN = 4096
 END_ID = 2
 OPEN_WINDOWS = 32
 MIN_CUT = 64
 MERGE_ROWS = 4096
-WORD_CACHE = 500_000
+WORD_CACHE = 300_000
 
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, window long, offset long, open boolean, ids binary"
@@ -201,7 +201,7 @@ def pack(
     is emitted, topped up with the head of the piece if it lacks ``min_cut`` ids or more: emitted windows lack fewer than
     ``min_cut``. The windows open at the end of all tasks are merged, in groups of about 4096 windows, best fit first.
     Every row is a document of its own, repeated ids too. Null and empty texts are the end id alone. An empty table gives
-    no piece. ``vocabulary`` is the tokenizer file's path, the same on every machine; it is read once per task.
+    no piece, other columns are not read, and a text of any length is encoded whole by one task. ``vocabulary`` is the tokenizer file's path, the same on every machine; it is read once per task.
 
     The pieces are written once, ids included: a lost executor can't make a task pack its rows another way later on.
     """
@@ -220,7 +220,7 @@ def pack(
             rows = [(*piece[:6], still_open, piece[6]) for w in ids for piece in held.pop(w)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([model.ids(text), end]).astype("<u4", copy=False)
                 start = 0
@@ -233,6 +233,8 @@ def pack(
             yield emitted(windows.closed, False)
             windows.closed.clear()
         yield emitted(list(windows.used), True)
+        del model, emitted
+        give_back()
 
     pieces = staged(rows.mapInArrow(run, PIECES), "pieces")
     left = staged(pieces.filter("open").groupBy("window").agg(F.sum("length").alias("used")), "open-windows")

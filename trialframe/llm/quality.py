@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import give_back, map_batches, slices, text_of
 
 # fixed values of the base rules
 SYMBOLS = "#*$%&|<>"
@@ -244,14 +245,14 @@ def judge(docs: DataFrame, field: LineField, min_share: float = MIN_CONTENT_SHAR
 
 
 def keep_good(docs: DataFrame, field: LineField, min_share: float = MIN_CONTENT_SHARE, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns. Rows stay in their Arrow batch: no join."""
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, whatever their names. Rows stay in their Arrow
+    batch: no join. A text of any type is read as a string, a null one goes, an empty table stays empty."""
 
     def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        for batch in slices(batches):
+            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()
             keep = [verdict(text or "", field, min_share)["kept"] for text in texts]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
