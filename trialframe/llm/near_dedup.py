@@ -230,17 +230,18 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every member of a bucket with the two most central members that stand for two classes, if not its own.
+    """(a, b): every member of a bucket with the most central member of another class.
 
     ``members`` (bucket, key, total, degree, root). The degree of a text counts those it shares buckets with: the highest
-    is the text most like the others. The first centre is the most central text of the bucket, the second the most central
-    one of another class. Two pairs a member at most; two aggregations to a row per bucket.
+    is the text most like the others. Those in its class meet the most central text outside it, all others meet it. One pair
+    a member at most; two aggregations to a row per bucket.
     """
-    top = F.max(F.struct("degree", "key", "root", "total"))
-    best = members.groupBy("bucket").agg(top.alias("best"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "best")
+    top = F.max(F.struct("degree", "key", "root", "total")).alias("c")
+    best = members.groupBy("bucket").agg(top, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "c")
     known = members.join(best, "bucket")
-    second = known.filter("root <> best.root").groupBy("bucket").agg(top.alias("second"))
-    met = known.join(second, "bucket").withColumn("c", F.explode(F.array("best", "second"))).filter("root <> c.root")
+    others = known.filter("root <> c.root")
+    second = others.groupBy("bucket").agg(top)
+    met = others.select("key", "total", "c").unionByName(known.filter("root = c.root").drop("c").join(second, "bucket").select("key", "total", "c"))
     met = met.filter(F.least("total", "c.total") >= F.lit(similarity - 1e-9) * F.greatest("total", "c.total"))
     return met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
 
@@ -313,8 +314,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     are the connected texts. Texts with the same words are one node from the start (empty and null texts too), so copies
     are never compared. A pair at the threshold shares a bucket of 32 bands of 5 components with probability 1 - 3e-6.
 
-    In a bucket every text is compared with the most central texts of two classes, and again after classes have merged,
-    until a round finds no link: as many pairs a round as texts in buckets, times two. Then every two texts of a bucket
+    In a bucket every text is compared with the most central text of another class, and again after classes have merged,
+    until a round finds no link: at most as many pairs a round as texts in buckets. Then every two texts of a bucket
     that still stand in different classes are compared, block by block (:func:`_meeting`), so no candidate is dropped. Of
     buckets with the same members one is kept.
 
