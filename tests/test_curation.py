@@ -211,6 +211,25 @@ def test_search_dump(spark, tmp_path):
     assert got == {"1": ("http://f", None, "q"), "2": ("http://d", 1999, "q")}
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", [64, 1000, None])
+def test_csv_in_byte_ranges(spark, tmp_path, split, end):
+    """Ranges far smaller than a record, quotes and line breaks everywhere: the rows of a reader that takes the file whole."""
+    import csv
+
+    rng = random.Random(split or 1)
+    bits = ["a", "\n", "\n\n", '"', ",", " ", "x" * 40, "é", "\\", "\n,\n", '""']
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) + "z", rng.choice(["", "1.5", "bad"])) for i in range(120)]
+    for name, part in (("a.csv", rows[:100]), ("b.csv", rows[100:]), ("c.csv", [])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8-sig") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerows([("id", "note\nof two lines", "v"), *part])
+    got = S.read_records_csv(spark, str(tmp_path), "id int, note string, v double", split)
+    assert sorted(map(tuple, got.collect())) == [(i, t, float(v) if v == "1.5" else None) for i, t, v in rows]
+    if split:
+        assert S._csv_lines(spark, str(tmp_path), split).select("file", "block").distinct().count() > 4
+
+
 def test_csv_with_mark_and_line_breaks(spark, tmp_path):
     (tmp_path / "r.csv").write_bytes(b'\xef\xbb\xbfdoi,note,v\r\n10.1/x,"two\nlines, ""q""",1.5\r\n,,\r\n')
     rows = S.read_records_csv(spark, str(tmp_path / "r.csv"), "doi string, note string, v double").collect()

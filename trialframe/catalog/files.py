@@ -38,6 +38,15 @@ def records_csv_documents(spark, sf):
     return out.withColumn("text", F.md5("text"))
 
 
+@query("records_csv_in_ranges", "SELECT doc_id, md5(text) AS text, lang, n_chars FROM documents")
+def records_csv_in_ranges(spark, sf):
+    """Files with line breaks inside quotes, each cut into many byte ranges."""
+    path = scratch_path(spark, "csv")
+    table(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars").write.options(header=True, escape='"').csv(path)
+    out = S.read_records_csv(spark, path, "doc_id long, text string, lang string, n_chars long", split_bytes=100_000)
+    return out.withColumn("text", F.md5("text"))
+
+
 @query(
     "extraction_lines_conversations",
     "SELECT conv_id::VARCHAR AS doi, role AS title, 1 AS records, md5(text) AS notes FROM conversations",

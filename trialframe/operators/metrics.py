@@ -170,7 +170,7 @@ def pairwise_accuracy(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame
     m = F.col("concordant") + F.col("discordant")
     return pairs.select(
         *by, "n_rows", m.alias("untied_pairs"), F.col("concordant").alias("correct_pairs"),
-        F.when(m > 0, F.col("concordant") / m).alias("pair_accuracy"),
+        F.when(m > 0, F.col("concordant").cast("double") / m.cast("double")).alias("pair_accuracy"),
         fair_coin_tail(F.col("concordant").cast("double"), m.cast("double")).alias("binomial_tail"),
     )
 

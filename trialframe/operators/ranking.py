@@ -106,7 +106,7 @@ def rank_metrics(
     m = F.col("concordant") + F.col("discordant")
     pairs = pairs.select(
         *by, tau_from_counts(variant).alias("kendall_tau"), m.alias("untied_pairs"),
-        F.col("concordant").alias("correct_pairs"), F.when(m > 0, F.col("concordant") / m).alias("pair_accuracy"),
+        F.col("concordant").alias("correct_pairs"), F.when(m > 0, F.col("concordant").cast("double") / m.cast("double")).alias("pair_accuracy"),
     )
     top = _topk(df, by, true, pred, ident, k).filter(F.col("k") == F.least(F.lit(k), F.col("n")))
     top = top.select(*by, F.col("precision").alias("precision_at_k"), F.col("hit").alias("hit_at_k"))

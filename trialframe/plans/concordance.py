@@ -140,7 +140,8 @@ def _pairs(n: Column) -> Column:
 def concordance(
     df: DataFrame, by: list[str], x: str, y: str, task_points: int | None = None
 ) -> DataFrame:
-    """Pair counts per group: ``n_rows, n_pairs, concordant, discordant, ties_x, ties_y, ties_both``.
+    """Pair counts per group: ``n_rows, n_pairs, concordant, discordant, ties_x, ties_y, ties_both``, exact decimals, as
+    the pairs of a few thousand million rows exceed a long.
 
     ``ties_x`` and ``ties_y`` include pairs tied in both. Rows with a null coordinate are left out.
     """
@@ -172,11 +173,11 @@ def concordance(
     out = out.select(
         *by,
         "n_rows",
-        pairs.cast("long").alias("n_pairs"),
-        up.cast("long").alias("concordant"),
-        (pairs - F.col("t___x") - F.col("t___y") + F.col("t_both") - up).cast("long").alias("discordant"),
-        F.col("t___x").cast("long").alias("ties_x"),
-        F.col("t___y").cast("long").alias("ties_y"),
-        F.col("t_both").cast("long").alias("ties_both"),
+        pairs.cast(PAIRS).alias("n_pairs"),
+        up.cast(PAIRS).alias("concordant"),
+        (pairs - F.col("t___x") - F.col("t___y") + F.col("t_both") - up).cast(PAIRS).alias("discordant"),
+        F.col("t___x").cast(PAIRS).alias("ties_x"),
+        F.col("t___y").cast(PAIRS).alias("ties_y"),
+        F.col("t_both").cast(PAIRS).alias("ties_both"),
     )
     return out.drop("__one") if lone else out

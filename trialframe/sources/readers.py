@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import join_on
+from ..plans.stage import staged
 
 SEARCH_SCHEMA = (
     "resultList struct<result:array<struct<source:string,id:string,pmid:string,doi:string,title:string,"
@@ -41,12 +42,54 @@ def read_search_dump(spark: SparkSession, path: str, multi_line: bool = True) ->
     )
 
 
-def read_records_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with quoted line breaks; Spark's reader drops a leading byte-order mark itself."""
-    return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-        .option("enforceSchema", True).option("encoding", "UTF-8").csv(path)
-    )
+def _csv_lines(spark: SparkSession, path: str, split_bytes: int | None) -> DataFrame:
+    """(file, block, at, line): the lines of the files in ``path``, with the byte range they were read in and their order."""
+    reader = spark.read.option("lineSep", "\n")
+    if split_bytes is not None:
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    try:
+        lines = reader.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+        return staged(lines, "csv-lines")  # so the order can't differ between the passes below
+    finally:
+        if split_bytes is not None:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def read_records_csv(spark: SparkSession, path: str, schema: str, split_bytes: int | None = None) -> DataFrame:
+    """CSV with a header line, quoted line breaks and doubled quotes, and maybe a byte-order mark; a file of any size is read
+    by many tasks.
+
+    A line begins a record if the quotes before it in its file are even in number. Quotes are counted per byte range; the
+    ranges' sums, one row a range, tell each range how it begins and which record its first lines may belong to. Lines
+    that are a whole record are parsed where they are; only records of several lines are gathered, each by itself.
+    Columns go by position; fields that don't parse are null. Lines end in a line feed, with or without a carriage return
+    before it. ``split_bytes``: the size of the ranges, else the session's.
+    """
+    lines = _csv_lines(spark, path, split_bytes)
+    quotes = F.regexp_count("line", F.lit('"')).cast("long")
+    within = Window.partitionBy("file", "block").orderBy("at")
+    past = F.coalesce(F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = lines.withColumn("quotes", quotes).withColumn("past", past)
+    begins = lambda parity: F.max(F.when(F.pmod("past", F.lit(2)) == parity, F.col("at")))
+    ranges = local.groupBy("file", "block").agg(F.sum("quotes").alias("n"), begins(0).alias("even"), begins(1).alias("odd"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("open", F.pmod(F.coalesce(F.sum("n").over(earlier), F.lit(0)), F.lit(2)))
+    ranges = ranges.withColumn("last", F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("odd")))
+    ranges = ranges.select(
+        F.col("file").alias("f"), F.col("block").alias("b"), "open", F.last("last", ignorenulls=True).over(earlier).alias("carried"),
+        F.first("first").over(Window.partitionBy("file").orderBy("block")).alias("header"))
+    known = local.join(ranges, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    start = F.pmod(F.col("past") + F.col("open"), F.lit(2)) == 0
+    whole = start & (F.pmod("quotes", F.lit(2)) == 0)
+    known = known.withColumns({"record": F.coalesce(F.last(F.when(start, F.col("at")), ignorenulls=True).over(within), F.col("carried")), "whole": whole})
+    known = known.filter(F.col("record") != F.col("header"))
+    several = known.filter("NOT whole").groupBy("file", "record").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block", "at", "line")))["line"], "\n").alias("line"))
+    records = known.filter("whole").select("line").unionByName(several.select("line"))
+    text = F.regexp_replace("line", "\r$", "")
+    parsed = records.filter(text != "").select(F.from_csv(text, F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"}).alias("r"))
+    return parsed.select("r.*")
 
 
 def read_extraction_jsonl(spark: SparkSession, path: str, schema: str = EXTRACTION_SCHEMA) -> DataFrame:
