@@ -3,9 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialframe.functions import pvalues
 from trialframe.functions.pvalues import beta_cdf
 from trialframe.operators import metrics as M
 from trialframe.operators import ranking as K
@@ -153,7 +155,18 @@ def test_ks_statistic_against_brute_force(spark):
 
 
 def test_tail_that_does_not_settle_is_not_a_number(monkeypatch):
-    from trialframe.functions import pvalues
-
     monkeypatch.setattr(pvalues, "STEPS", 3)
     assert math.isnan(pvalues.beta_cdf(5000.0, 5000.0, 0.5))
+
+
+def test_tail_probabilities_as_expressions(spark):
+    """Against the vectorised form and closed values, over small and large freedoms and both ends."""
+    rng = np.random.default_rng(2)
+    rows = [(float(a) / 2, float(b) / 2, float(x)) for a, b, x in zip(rng.integers(1, 400, 200), rng.integers(1, 60, 200), rng.random(200), strict=True)]
+    rows += [(0.5, 0.5, 0.5), (1.0, 1.0, 0.25), (5e4, 2.0, 0.9999), (3.0, 2.0, 0.0), (3.0, 2.0, 1.0), (2e5, 2e5, 0.5)]
+    got = [r.p for r in spark.createDataFrame(rows, "a double, b double, x double").select(pvalues.beta_cdf_column(F.col("a"), F.col("b"), F.col("x")).alias("p")).collect()]
+    want = pvalues.beta_cdfs(*np.array(rows).T)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12) and got[-6:-4] == pytest.approx([0.5, 0.25]) and got[-3:-1] == [0.0, 1.0]
+    odd = spark.createDataFrame([(None, 1.0, 1.0), (2.0, 0.0, 5.0), (1.0, 1.0, 1.0), (0.0, 2.0, 9.0)], "f double, d1 double, d2 double")
+    p = [r.p for r in odd.select(pvalues.f_tail("f", F.col("d1"), F.col("d2")).alias("p")).collect()]
+    assert p[0] is None and math.isnan(p[1]) and p[2] == pytest.approx(0.5) and p[3] == 1.0

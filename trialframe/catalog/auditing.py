@@ -63,7 +63,7 @@ def rhs_rates(spark, sf):
     return gridded(A.rhs_rates(ev, ["event_type"], "rhs", "slope"), negative_rhs_rate=6, positive_slope_rate=6)
 
 
-SENS = f"""g AS (SELECT l_returnflag, l_linenumber::DOUBLE AS c1, l_quantity AS c2, {R('avg(l_extendedprice)/1000', 5)} AS q FROM lineitem GROUP BY ALL),
+SENS = f"""g AS (SELECT l_returnflag, l_linenumber::DOUBLE AS c1, l_quantity AS c2, CASE min(l_returnflag) WHEN 'N' THEN 5 WHEN 'A' THEN min(l_quantity) / 4 ELSE {R('avg(l_extendedprice)/1000', 5)} END AS q FROM lineitem GROUP BY ALL),
   n AS (SELECT *, lag(c1) OVER a AS p1, lag(q) OVER a AS pq1, lead(c1) OVER a AS n1, lead(q) OVER a AS nq1, lag(c2) OVER b AS p2, lag(q) OVER b AS pq2, lead(c2) OVER b AS n2, lead(q) OVER b AS nq2 FROM g
     WINDOW a AS (PARTITION BY l_returnflag, c2 ORDER BY c1), b AS (PARTITION BY l_returnflag, c1 ORDER BY c2)),
   d AS (SELECT l_returnflag, q, abs(CASE WHEN p1 IS NULL THEN (nq1-q)/(n1-c1) WHEN n1 IS NULL THEN (q-pq1)/(c1-p1) ELSE ((c1-p1)*(c1-p1)*nq1 + ((n1-c1)*(n1-c1)-(c1-p1)*(c1-p1))*q - (n1-c1)*(n1-c1)*pq1)/((c1-p1)*(n1-c1)*(n1-p1)) END) AS g1,
@@ -72,11 +72,14 @@ SENS = f"""g AS (SELECT l_returnflag, l_linenumber::DOUBLE AS c1, l_quantity AS
 
 @query(
     "sensitivity_classes",
-    f"""WITH {SENS} SELECT l_returnflag, min(q) AS min, max(q) AS max, {R('max(q)-min(q)', 5)} AS "range", {R('stddev_pop(q)', 5)} AS sd, {R('avg(g1)', 4)} AS mean_abs_c1, {R('max(g1)', 4)} AS max_abs_c1, {R('avg(g2)', 4)} AS mean_abs_c2, {R('max(g2)', 4)} AS max_abs_c2,
-    max(q)-min(q) > 1e-6 * greatest(1, median(abs(q))) AS nontrivial, ((avg(g1) > 1e-3*greatest(1, max(q)-min(q)))::INT + (avg(g2) > 1e-3*greatest(1, max(q)-min(q)))::INT)::INT AS active_axes, 'structurally_valid' AS structural_class FROM d GROUP BY 1""",
+    f"""WITH {SENS}, o AS (SELECT l_returnflag, min(q) AS min, max(q) AS max, {R('max(q)-min(q)', 5)} AS "range", {R('stddev_pop(q)', 5)} AS sd, {R('avg(g1)', 4)} AS mean_abs_c1, {R('max(g1)', 4)} AS max_abs_c1, {R('avg(g2)', 4)} AS mean_abs_c2, {R('max(g2)', 4)} AS max_abs_c2,
+    max(q)-min(q) > 1e-6 * greatest(1, median(abs(q))) AS nontrivial, ((avg(g1) > 1e-3*greatest(1, max(q)-min(q)))::INT + (avg(g2) > 1e-3*greatest(1, max(q)-min(q)))::INT)::INT AS active_axes FROM d GROUP BY 1)
+    SELECT *, CASE WHEN active_axes >= 2 AND nontrivial THEN 'structurally_valid' WHEN active_axes = 1 THEN 'structurally_weak' ELSE 'degenerate_for_optimisation' END AS structural_class FROM o""",
 )
 def sensitivity_classes(spark, sf):
+    """One flag's outcome depends on both axes, one on the second only, one on none."""
     g = table(spark, sf, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").cast("double").alias("c1"), F.col("l_quantity").alias("c2")).agg(grid(F.avg("l_extendedprice") / 1000, 5).alias("q"))
+    g = g.withColumn("q", F.when(F.col("l_returnflag") == "N", 5.0).when(F.col("l_returnflag") == "A", F.col("c2") / 4).otherwise(F.col("q")))
     out = A.sensitivity_class(g, ["l_returnflag"], ["c1", "c2"], "q", NO_SPLIT)
     return gridded(out, range=5, sd=5, mean_abs_c1=4, max_abs_c1=4, mean_abs_c2=4, max_abs_c2=4)
 

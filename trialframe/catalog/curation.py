@@ -684,9 +684,11 @@ def merged_sources(spark, sf):
     return D.merge_sources(text, fig, ["id"], "confirmed").select("id", "doi", "endpoint_value_std", "endpoint_time_h", "source")
 
 
-@query("excluded_parts", "SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("excluded_parts", "SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40")
 def excluded_parts(spark, sf):
-    return sets.exclude_set(table(spark, sf, "part").select("p_partkey"), table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")))
+    """Parts that were never returned in large amounts: some are excluded, some stay."""
+    returned = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40")
+    return sets.exclude_set(table(spark, sf, "part").select("p_partkey"), returned.select(F.col("l_partkey").alias("p_partkey")))
 
 
 @query(
@@ -699,16 +701,21 @@ def combined_parts_ordered(spark, sf):
     return combine_parts(pieces, {"l_returnflag": ["R", "A", "N"], "l_linestatus": ["O", "F"]}, ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-FORMULA = "'add(mul(' || p_name || ', C1), sub(' || p_retailprice || ', ARG2))'"
+FORMULA = """'add(mul(' || p_name || ', C1), sub(' || p_retailprice || ', ARG2))' || repeat('div(Q, -2.5e-3)', (p_size % 3)::INT) || CASE WHEN p_size % 4 = 0 THEN ' pow2 (ARG3)' WHEN p_size % 4 = 1 THEN ' subC30(XQ)' ELSE '' END"""
 
 
 @query(
     "design_standardised",
     rf"""SELECT p_partkey, {R('(p_size - 1) / 49.0::DOUBLE')} AS p_size_scaled, {R('(p_retailprice - 900) / 1200.0::DOUBLE')} AS p_retailprice_scaled, {R('p_retailprice - 0.01::DOUBLE * greatest(p_retailprice - 1000, 0) * greatest(p_retailprice - 1000, 0)', 3)} AS objective_penalised,
-    length({FORMULA})::INT AS expression_length, 3 AS operator_calls, len(regexp_extract_all(p_retailprice::VARCHAR, '\d+\.\d+'))::INT AS constants, 'C1,C2' AS variables FROM part""",
+    length({FORMULA})::INT AS expression_length, len(regexp_extract_all({FORMULA}, '\b(add|sub|mul|div|pow2)\s*\('))::INT AS operator_calls,
+    len(regexp_extract_all({FORMULA}, '(^|[^A-Za-z_0-9.])-?[0-9]+\.[0-9]+'))::INT AS constants,
+    array_to_string(list_filter(['Q', 'C1', 'C2', 'C3'], lambda v: regexp_matches({FORMULA}, '\b(' || v || '|' || CASE v WHEN 'Q' THEN 'ARG0' ELSE replace(v, 'C', 'ARG') END || ')\b')), ',') AS variables FROM part""",
 )
 def design_standardised(spark, sf):
-    part = table(spark, sf, "part").withColumn("f", F.concat(F.lit("add(mul("), "p_name", F.lit(", C1), sub("), F.col("p_retailprice").cast("string"), F.lit(", ARG2))")))
+    size = F.col("p_size")
+    more = F.when(size % 4 == 0, " pow2 (ARG3)").when(size % 4 == 1, " subC30(XQ)").otherwise("")
+    f = F.concat(F.lit("add(mul("), "p_name", F.lit(", C1), sub("), F.col("p_retailprice").cast("string"), F.lit(", ARG2))"), F.expr("repeat('div(Q, -2.5e-3)', cast(p_size % 3 AS int))"), more)
+    part = table(spark, sf, "part").withColumn("f", f)
     out = D.standardise_design(part, {"p_size": (1, 50), "p_retailprice": (900, 2100)}, "p_retailprice", 1000.0, 0.01, "f")
     out = gridded(out, p_size_scaled=6, p_retailprice_scaled=6, objective_penalised=3).withColumn("variables", F.array_join("variables", ","))
     return out.select("p_partkey", "p_size_scaled", "p_retailprice_scaled", "objective_penalised", "expression_length", "operator_calls", "constants", "variables")

@@ -169,13 +169,53 @@ def anova_levene_by_user_third(spark, sf):
     return gridded(out, anova_f=5, levene_w=5).drop("anova_p", "levene_p", "method")
 
 
-@query("anova_levene_method_choice")
+def sql_variance_tests(key: str, cells: str) -> str:
+    """CTEs from ``cells`` (key, grp, y, s) to ``chosen`` (key, anova_p, levene_p, method); starts a recursive WITH.
+
+    Tail probabilities by DuckDB's own log-gamma and 400 terms of the continued fraction, row by row.
+    """
+    moved = lambda num, src: (
+        f"SELECT {key}, test, p, q, t, m, 1 / (1 + ({num}) * d) AS d, 1 + ({num}) / c AS c, h * (1 / (1 + ({num}) * d)) * (1 + ({num}) / c) AS h FROM {src}")
+    odd = moved("m * (q - m) * t / ((p + 2*m - 1) * (p + 2*m))", "(SELECT * REPLACE (m + 1 AS m) FROM lentz WHERE m < 400)")
+    even = moved("-(p + m) * (p + q + m) * t / ((p + 2*m) * (p + 2*m + 1))", f"({odd})")
+    return f"""md AS (SELECT {key}, grp, median(y) AS md FROM {cells} GROUP BY 1, 2),
+    zs AS (SELECT {key}, grp, y, s, abs(y - md) AS z FROM {cells} JOIN md USING ({key}, grp)),
+    pg AS (SELECT {key}, grp, count(*)::DOUBLE AS n, avg(y) AS m, var_pop(y) AS v, avg(z) AS zm, var_pop(z) AS zv, avg(s) / avg(y) AS cv FROM zs GROUP BY 1, 2),
+    st AS (SELECT {key}, count(*)::DOUBLE - 1 AS d1, sum(n) - count(*) AS d2, max(cv) - min(cv) > 0.1::DOUBLE * avg(cv) AS wide,
+      ((sum(n*m*m) - sum(n*m)*sum(n*m)/sum(n))/nullif(count(*)-1, 0)) / nullif(sum(n*v)/nullif(sum(n)-count(*), 0), 0) AS f,
+      ((sum(n*zm*zm) - sum(n*zm)*sum(n*zm)/sum(n))/nullif(count(*)-1, 0)) / nullif(sum(n*zv)/nullif(sum(n)-count(*), 0), 0) AS w FROM pg GROUP BY 1),
+    fs AS (SELECT {key}, 'f' AS test, d2/2 AS a, d1/2 AS b, d2/(d2 + d1*greatest(f, 0)) AS x FROM st WHERE f IS NOT NULL UNION ALL SELECT {key}, 'w', d2/2, d1/2, d2/(d2 + d1*greatest(w, 0)) FROM st WHERE w IS NOT NULL),
+    sides AS (SELECT *, x < (a + 1) / (a + b + 2) AS low FROM fs WHERE x > 0 AND x < 1), pq AS (SELECT *, CASE WHEN low THEN a ELSE b END AS p, CASE WHEN low THEN b ELSE a END AS q, CASE WHEN low THEN x ELSE 1 - x END AS t FROM sides),
+    lentz AS (SELECT {key}, test, p, q, t, 0::DOUBLE AS m, 1 / (1 - (p + q) * t / (p + 1)) AS d, 1::DOUBLE AS c, 1 / (1 - (p + q) * t / (p + 1)) AS h FROM pq UNION ALL {even}),
+    tails AS (SELECT pq.{key}, test, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) * h / p AS tail, low FROM pq JOIN (SELECT {key}, test, h FROM lentz WHERE m = 400) USING ({key}, test)),
+    ps AS (SELECT {key}, test, CASE WHEN low THEN tail ELSE 1 - tail END AS p FROM tails UNION ALL SELECT {key}, test, CASE WHEN x <= 0 THEN 0 ELSE 1 END FROM fs WHERE x <= 0 OR x >= 1),
+    chosen AS (SELECT {key}, f.p AS anova_p, w.p AS levene_p, CASE WHEN coalesce(wide, false) OR coalesce(f.p < 0.05, false) OR coalesce(w.p < 0.05, false) THEN 'method1' ELSE 'method2' END AS method
+      FROM st LEFT JOIN (SELECT {key}, p FROM ps WHERE test = 'f') f USING ({key}) LEFT JOIN (SELECT {key}, p FROM ps WHERE test = 'w') w USING ({key}))"""
+
+
+@query(
+    "anova_levene_method_choice",
+    f"""WITH RECURSIVE {DAY_CURVE}, g AS (SELECT user_id % 4 AS part, time_h AS grp, q_obs AS y, q_pred AS s FROM curve), {sql_variance_tests('part', 'g')}
+    SELECT part, {R('anova_p')} AS anova_p, {R('levene_p')} AS levene_p, method FROM chosen""",
+)
 def anova_levene_method_choice(spark, sf):
     curve = day_curve(spark, sf).withColumn("part", F.col("user_id") % 4)
     out = M.anova_levene(curve, ["part"], "time_h", "q_obs", "q_pred")
     return out.select("part", grid("anova_p").alias("anova_p"), grid("levene_p").alias("levene_p"), "method")
 
 
+@query(
+    "variance_tests_by_brand",
+    f"""WITH RECURSIVE g AS (SELECT p_brand, l_returnflag AS grp, l_discount AS y, l_tax AS s FROM lineitem JOIN part ON l_partkey = p_partkey), {sql_variance_tests('p_brand', 'g')}
+    SELECT p_brand, {R('anova_p', 5)} AS anova_p, {R('levene_p', 5)} AS levene_p, method FROM chosen""",
+)
+def variance_tests_by_brand(spark, sf):
+    """Whether the discount depends on the return flag, brand by brand: p-values all over their range, many degrees of freedom."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_returnflag", "l_discount", "l_tax")
+    rows = li.join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return gridded(M.anova_levene(rows, ["p_brand"], "l_returnflag", "l_discount", "l_tax").select("p_brand", "anova_p", "levene_p", "method"), anova_p=5, levene_p=5)
+
+
 @query(
     "rank_columns_by_brand",
     """SELECT p_brand, p_partkey, p_size, rank() OVER w AS size_min, rank() OVER w + count(*) OVER (PARTITION BY p_brand, p_size) - 1 AS size_max,

@@ -11,6 +11,7 @@ from ..functions.arrays import objective
 from ..operators import candidates as C
 from ..operators import design as D
 from .base import DAY_CURVE, PART_SCORES, R, day_curve, grid, gridded, micros, part_scores, query, table
+from .evaluation import sql_variance_tests
 
 
 # ---- SQL text of the normal distribution ---------------------------------------------------------
@@ -104,7 +105,12 @@ def exceedance_pooled(spark, sf):
     return gridded(C.poe(_cells(spark, sf), ["unit"], "rowno", "mu", "sigma", "best", 0.35, 2).drop("best"), poe=6, ei=5)
 
 
-@query("exceedance_by_chosen_method")
+@query(
+    "exceedance_by_chosen_method",
+    f"""WITH RECURSIVE {POE_BASE}, {P1}, {P2}, g AS (SELECT unit, rowno AS grp, mu AS y, sigma AS s FROM cells), {sql_variance_tests('unit', 'g')},
+    own AS (SELECT unit, method, CASE WHEN method = 'method1' THEN p1.poe ELSE p2.poe END AS poe FROM p1 JOIN p2 USING (unit) JOIN chosen USING (unit))
+    SELECT unit, method, {R('poe', 4)} AS poe, poe >= 0.35 AS go_on FROM own""",
+)
 def exceedance_by_chosen_method(spark, sf):
     return C.auto_poe(_cells(spark, sf), ["unit"], "rowno", "mu", "sigma", "best", 0.35).select("unit", "method", grid("poe", 4).alias("poe"), "go_on")
 
@@ -244,15 +250,16 @@ def candidate_shortlist(spark, sf):
 
 @query(
     "constrained_splits",
-    """WITH r AS (SELECT split, a, s_suppkey, s_acctbal, md5('7|' || CASE a WHEN 0 THEN split::VARCHAR ELSE split || '/' || a END || '|' || s_suppkey) AS h FROM supplier, range(0, 10) t(split), range(0, 64) u(a)),
-    n AS (SELECT *, row_number() OVER (PARTITION BY split, a ORDER BY h, s_suppkey) AS rn FROM r),
-    tp AS (SELECT split, a, max(s_acctbal) AS top FROM n WHERE rn <= 4 GROUP BY ALL), te AS (SELECT n.*, CASE WHEN s_acctbal < top THEN 'below' ELSE 'above' END AS side FROM n JOIN tp USING (split, a) WHERE rn > 4),
-    pk AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY split, a, side ORDER BY h, s_suppkey) <= 2),
-    ok AS (SELECT split, min(a) AS a FROM (SELECT split, a FROM pk GROUP BY ALL HAVING count(*) = 4) GROUP BY 1)
-    SELECT split::INT AS split, s_suppkey, s_acctbal, part FROM (SELECT split, a, s_suppkey, s_acctbal, 'train' AS part FROM n WHERE rn <= 4 UNION ALL SELECT split, a, s_suppkey, s_acctbal, 'test_' || side FROM pk) JOIN ok USING (split, a)""",
+    """WITH r AS (SELECT split, a, c_custkey, c_acctbal, md5('7|' || CASE a WHEN 0 THEN split::VARCHAR ELSE split || '/' || a END || '|' || c_custkey) AS h FROM customer, range(0, 10) t(split), range(0, 64) u(a)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY split, a ORDER BY h, c_custkey) AS rn FROM r),
+    tp AS (SELECT split, a, max(c_acctbal) AS top FROM n WHERE rn <= 12 GROUP BY ALL), te AS (SELECT n.*, CASE WHEN c_acctbal < top THEN 'below' ELSE 'above' END AS side FROM n JOIN tp USING (split, a) WHERE rn > 12),
+    pk AS (SELECT * FROM te QUALIFY row_number() OVER (PARTITION BY split, a, side ORDER BY h, c_custkey) <= 4),
+    ok AS (SELECT split, min(a) AS a FROM (SELECT split, a FROM pk GROUP BY ALL HAVING count(*) = 8) GROUP BY 1)
+    SELECT split::INT AS split, c_custkey, c_acctbal, part FROM (SELECT split, a, c_custkey, c_acctbal, 'train' AS part FROM n WHERE rn <= 12 UNION ALL SELECT split, a, c_custkey, c_acctbal, 'test_' || side FROM pk) JOIN ok USING (split, a)""",
 )
 def constrained_splits(spark, sf):
-    return D.constrained_splits(table(spark, sf, "supplier"), "s_suppkey", "s_acctbal", 10, 4, 2, seed=7)
+    """Twelve rows to train and four on either side of their largest value to test, ten times."""
+    return D.constrained_splits(table(spark, sf, "customer"), "c_custkey", "c_acctbal", 10, 12, 4, seed=7, max_attempts=64)
 
 
 def _lhs_axis(i: int, lo: float, hi: float) -> str:

@@ -1,11 +1,14 @@
-"""Tail probabilities Spark has no function for; applied to result rows in Arrow batches."""
+"""Tail probabilities Spark has no function for: as expressions, and in Arrow batches of result rows."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -66,11 +69,65 @@ def fair_coin_tail(correct: pd.Series, pairs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(DoubleType())
-def f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    """Upper tail of the F distribution."""
-    v, a, b = (s.to_numpy(dtype=float) for s in (f, df1, df2))
-    known = ~np.isnan(v) & (a > 0) & (b > 0)
-    out = np.full(len(v), np.nan)
-    out[known] = beta_cdfs(b[known] / 2.0, a[known] / 2.0, b[known] / (b[known] + a[known] * v[known]))
-    return pd.Series(out)
+# fixed values: Lanczos' coefficients of the gamma function for g = 7
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905,
+    -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for positive numbers from one half."""
+    t = z + 6.5
+    series = reduce(lambda acc, i: acc + LANCZOS[i] / (z + float(i - 1)), range(1, len(LANCZOS)), F.lit(LANCZOS[0]))
+    return 0.5 * math.log(2 * math.pi) + (z - 0.5) * F.log(t) - t + F.log(series)
+
+
+def beta_cdf_column(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function for ``a`` and ``b`` from one half, as an expression; null for a null.
+
+    The continued fraction is folded over as many terms as its known rate needs, of the order of the root of ``a + b``; it
+    stops by itself where it has settled, and is NaN where it has not.
+    """
+    tiny = F.lit(1e-300)
+    whole = lambda v: F.when(F.abs(v) > tiny, v).otherwise(tiny)
+
+    def half(s: Column, num: Column) -> Column:
+        pair = F.struct((1.0 / whole(1.0 + num * s["d"])).alias("d"), whole(1.0 + num / s["c"]).alias("c"))
+        return _let(pair, lambda v: F.struct(v["c"].alias("c"), v["d"].alias("d"), (s["h"] * v["d"] * v["c"]).alias("h")))
+
+    def fraction(p: Column, q: Column, t: Column) -> Column:
+        d0 = 1.0 / whole(1.0 - (p + q) * t / (p + 1.0))
+
+        def step(s: Column, i: Column) -> Column:
+            m = i.cast("double")
+            odd, even = m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))
+            moved = _let(half(s, odd), lambda v: half(v, even))
+            return F.when(F.abs(s["d"] * s["c"] - 1.0) < 1e-15, s).otherwise(moved)
+
+        # not settled before the first step, whatever the numbers: c is far from 1 / d
+        start = _let(d0, lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")))
+        terms = F.sequence(F.lit(1), F.lit(60) + F.ceil(12.0 * F.sqrt(p + q)).cast("int"))
+        return F.aggregate(terms, start, step, lambda s: F.when(F.abs(s["d"] * s["c"] - 1.0) < 1e-12, s["h"]).otherwise(F.lit(float("nan"))))
+
+    def inside(v: Column) -> Column:
+        front = F.exp(log_gamma(v["a"] + v["b"]) - log_gamma(v["a"]) - log_gamma(v["b"]) + v["a"] * F.log(v["x"]) + v["b"] * F.log1p(-v["x"]))
+        tail = lambda p, q, t: front * fraction(p, q, t) / p
+        low = v["x"] < (v["a"] + 1.0) / (v["a"] + v["b"] + 2.0)
+        return F.when(low, tail(v["a"], v["b"], v["x"])).otherwise(1.0 - tail(v["b"], v["a"], 1.0 - v["x"]))
+
+    known = F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), x.cast("double").alias("x"))
+    missing = a.isNull() | b.isNull() | x.isNull()
+    return F.when(missing, F.lit(None).cast("double")).when(F.isnan(x) | (a <= 0) | (b <= 0), F.lit(float("nan"))).when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(
+        _let(known, inside))
+
+
+def f_tail(f: str | Column, df1: Column, df2: Column) -> Column:
+    """Upper tail of the F distribution with whole degrees of freedom; null where the ratio is, NaN without freedom."""
+    f = F.col(f) if isinstance(f, str) else f
+    spread = F.when((df1 > 0) & (df2 > 0), df2 / (df2 + df1 * f)).otherwise(F.when(f.isNotNull(), F.lit(float("nan"))))
+    return beta_cdf_column(df2 / 2.0, df1 / 2.0, spread)

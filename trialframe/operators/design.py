@@ -26,18 +26,18 @@ DRAWS_AT_ONCE = 1_000_000
 
 
 def constrained_splits(
-    df: DataFrame, ident: str, value: str, n_splits: int, n_train: int, n_side: int, seed: int = 0
+    df: DataFrame, ident: str, value: str, n_splits: int, n_train: int, n_side: int, seed: int = 0, max_attempts: int = MAX_ATTEMPTS
 ) -> DataFrame:
     """Random train/test splits whose test part has ``n_side`` rows below and at or above the train maximum.
 
     Draws are hash orders, numbered by attempt; each split keeps its first attempt that satisfies the condition. Attempts
-    are made in doubling batches for the splits still open, ``MAX_ATTEMPTS`` at most; a condition that none of them meets
+    are made in doubling batches for the splits still open, ``max_attempts`` at most; a condition that none of them meets
     is an error. Only ``n_train`` and ``2 n_side`` rows per attempt pass the pruned top-k steps.
     """
     spark, slim = df.sparkSession, staged(df.select(ident, value), "split-rows")
     open_splits, first, batch, found = list(range(n_splits)), 0, 1, []
     while open_splits:
-        if first >= MAX_ATTEMPTS:
+        if first >= max_attempts:
             raise ValueError(f"no valid draw in {first} attempts for {len(open_splits)} of {n_splits} splits")
         tries = spark.createDataFrame([(s, a) for s in open_splits for a in range(first, first + batch)], "split int, attempt int")
         drawn = staged(_drawn_splits(slim, tries, ident, value, n_train, n_side, seed), "splits")
@@ -45,7 +45,7 @@ def constrained_splits(
         kept = F.broadcast(spark.createDataFrame(list(firsts.items()), "split int, attempt int"))
         found.append(drawn.join(kept, ["split", "attempt"], "left_semi"))
         open_splits = [s for s in open_splits if s not in firsts]
-        first, batch = first + batch, min(2 * batch, MAX_ATTEMPTS - first - batch)
+        first, batch = first + batch, min(2 * batch, max_attempts - first - batch)
     return reduce(DataFrame.unionByName, found).drop("attempt")
 
 

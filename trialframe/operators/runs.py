@@ -66,11 +66,12 @@ def best_level(summary: DataFrame, by: list[str], order: list[str], tie: str) ->
     return first_per_key(summary, by, [*keys, F.asc(tie)])
 
 
-def expected_batches(spark, levels: dict[str, list]) -> DataFrame:
-    """Every combination of the given levels; its size is the product of the lists."""
+def expected_batches(spark, levels: dict[str, list | Column]) -> DataFrame:
+    """Every combination of the given levels, lists or array expressions such as the scalar subquery of a table's values; its
+    size is the product of the lists."""
     out = spark.range(1)
     for name, values in levels.items():
-        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        out = out.withColumn(name, F.explode(values if isinstance(values, Column) else F.array(*[F.lit(v) for v in values])))
     return out.drop("id")
 
 
