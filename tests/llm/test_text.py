@@ -122,6 +122,58 @@ def test_cover_uses_every_document(spark, rows, empty):
     assert mixing.mix_sources(rows).count() == mixing.apply_mixture(rows).count()
 
 
+SECRET = "password=hunter2secret99"
+
+
+def _packed(data):
+    return base64.b64encode(gzip.compress(data, mtime=0)).decode()
+
+
+def _tar(text):
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        entry = tarfile.TarInfo("a.txt")
+        entry.size = len(text)
+        t.addfile(entry, io.BytesIO(text))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [SECRET.encode(), b"a\x00b " + SECRET.encode(), b"\x1b[1m" + SECRET.encode(), b"caf\xe9 " + SECRET.encode(), _tar(SECRET.encode()), SECRET.encode("utf-16"),
+     SECRET.encode("utf-16-be"), gzip.compress(b"\x00" + SECRET.encode()), b"\xff\x00" * 50 + SECRET.encode() + b"\x01" * 9],
+)
+def test_streams_show_their_secrets_whatever_lies_beside(inside):
+    blob = _packed(inside)
+    spans, _ = secret_scan.scan(f"x {blob} y")
+    assert (2, "assign") in {(a, k) for a, k, _, _ in spans} and all(b <= 2 + len(blob) for _, _, b, _ in spans)
+
+
+def test_wide_text_in_base64():
+    for codec in ("utf-16", "utf-16-le", "utf-16-be"):
+        spans, _ = secret_scan.scan(base64.b64encode(SECRET.encode(codec)).decode())
+        assert [k for _, k, _, _ in spans] == ["assign"]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_long_streams_are_read_in_windows(pack):
+    """Secrets at the start, the end and over every edge of the windows of a stream far above the limit."""
+    rng = random.Random(1)
+    for at in (0, 900, 990, 999, 1000, 1500, 30_000 - len(SECRET)):
+        body = bytearray(rng.choice(b"abc ,.") for _ in range(30_000))
+        body[at : at + len(SECRET)] = SECRET.encode()
+        if at:
+            body[at - 1 : at] = b" "
+        spans, n = secret_scan.scan(base64.b64encode(pack(bytes(body))).decode(), limit=1000)
+        assert n >= 1 and [k for _, k, _, _ in spans] == ["assign"], at
+    inner = _packed(b"\x00" + SECRET.encode()).encode()
+    spans, n = secret_scan.scan(base64.b64encode(pack(b"." * 5000 + b" " + inner + b" " + b"," * 5000)).decode(), limit=1000)
+    assert n >= 1 and [k for _, k, _, _ in spans] == ["assign"]
+
+
 # ---- packing ---------------------------------------------------------------------------------
 @pytest.mark.parametrize("length, windows", [(64, 2), (256, 8), (4096, 32)])
 def test_packing_is_an_exact_round_trip(rows, length, windows):

@@ -31,6 +31,7 @@ PART = re.compile(r"[A-Za-z0-9+/_-]+")
 MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")  # the shortest secret has 12 characters
 MAX_LAYER_BYTES = 1 << 26
+OVERLAP_BYTES = 1 << 20
 
 
 def _escape_style(mark: str, byte, token: str) -> tuple[str, re.Pattern, re.Pattern]:
@@ -92,6 +93,26 @@ class Layer:
         return self.lo[start], self.hi[end - 1]
 
 
+class Stream:
+    """A compressed stream too long for one layer, of one span of the document: read in windows."""
+
+    def __init__(self, data: bytes, depth: int, whole: tuple[int, int]):
+        self.data, self.depth, self.whole = data, depth, whole
+
+    def layers(self, size: int):
+        """Its text in layers of about ``size`` bytes, each with the end of the one before it."""
+        kept, wide = b"", None
+        overlap = min(OVERLAP_BYTES, size // 2 & ~1)
+        for part in _parts(self.data, size):
+            kept += part
+            if len(kept) >= size:
+                wide = _wide(kept) if wide is None else wide
+                yield Layer(_stream_text(kept, wide), self.depth, whole=self.whole)
+                kept = kept[len(kept) - overlap - len(kept) % 2 :]
+        if kept:
+            yield Layer(_stream_text(kept, wide if wide is not None else _wide(kept)), self.depth, whole=self.whole)
+
+
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The whole layer with every match decoded, so that secrets crossing an encoded part are seen."""
     text, parts, lo, hi, at = layer.text, [], [], [], 0
@@ -140,6 +161,42 @@ def _inflated(data: bytes, limit: int) -> tuple[bytes | None, bool]:
     return (b"".join(out) if out else None), False
 
 
+def _parts(data: bytes, size: int):
+    """The decompressed bytes of all members, at most ``size`` at a time."""
+    while engine := _engine(data):
+        left = data
+        try:
+            while True:
+                part = engine.decompress(left, size)
+                if part:
+                    yield part
+                left = getattr(engine, "unconsumed_tail", b"")
+                if engine.eof or not (part or left):
+                    break
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return
+        data = engine.unused_data.lstrip(b"\0") if engine.eof else b""
+
+
+def _wide(data: bytes) -> str:
+    """The UTF-16 codec whose text ``data`` looks like, by its mark or by the zeros of ASCII characters, else nothing."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if data[:1] == b"\xff" else "utf-16-be"
+    low, high = data[0:4096:2], data[1:4096:2]
+    if len(high) >= 4:
+        for codec, zeros, others in (("utf-16-le", high, low), ("utf-16-be", low, high)):
+            if zeros.count(0) >= 0.6 * len(zeros) and others.count(0) <= 0.1 * len(others):
+                return codec
+    return ""
+
+
+def _stream_text(data: bytes, wide: str | None = None) -> str:
+    """What a stream that has been inflated says: bytes that are no text in it don't hide the rest. What looks like UTF-16
+    is read as both."""
+    codec, text = _wide(data) if wide is None else wide, data.decode("utf-8", "replace")
+    return f"{data.decode(codec, 'replace')}\n{text}" if codec else text
+
+
 def _text(data: bytes) -> str | None:
     try:
         text = data.decode("utf-8")
@@ -211,15 +268,15 @@ def _unblobbed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
             continue
         if len(body) % 4 != 1:
             plain, packed, large = _unpacked(data, limit)
-            oversized += large
-            if large:
+            if large or packed:
+                oversized += large
+                out.append(Stream(plain, layer.depth + 1, span) if large else Layer(_stream_text(plain), layer.depth + 1, whole=span))
                 continue
             if text := _text(plain):
-                if packed:
-                    out.append(Layer(text, layer.depth + 1, whole=span))
-                else:
-                    add(text, 0, 0)
+                add(text, 0, 0)
                 continue
+            if codec := _wide(plain):
+                out.append(Layer(plain.decode(codec, "replace"), layer.depth + 1, whole=span))
         for skip in range(4):  # something else stands before or behind the encoded part
             data = _decoded(body[skip:]) or b""
             for m in READABLE.finditer(data):
@@ -227,8 +284,10 @@ def _unblobbed(layer: Layer, limit: int) -> tuple[list[Layer], int]:
             for m in MAGIC.finditer(data):
                 plain, packed, large = _unpacked(data[m.start() :], limit)
                 oversized += large
-                if packed and (text := _text(plain)):
-                    out.append(Layer(text, layer.depth + 1, whole=span))
+                if large:
+                    out.append(Stream(plain, layer.depth + 1, span))
+                elif packed:
+                    out.append(Layer(_stream_text(plain), layer.depth + 1, whole=span))
     return out, oversized
 
 
@@ -259,32 +318,47 @@ def _unescaped_streams(layer: Layer, limit: int) -> tuple[list[Layer], int]:
                     break
             plain, packed, large = _unpacked(bytes(data), limit)
             oversized += large
-            if packed and (inner := _text(plain)):
-                out.append(Layer(inner, layer.depth + 1, whole=layer.origin(m.start(), at)))
+            if large:
+                out.append(Stream(plain, layer.depth + 1, layer.origin(m.start(), at)))
+            elif packed:
+                out.append(Layer(_stream_text(plain), layer.depth + 1, whole=layer.origin(m.start(), at)))
     return out, oversized
 
 
 def scan(text: str, limit: int = MAX_LAYER_BYTES) -> tuple[list[tuple[int, str, int, int]], int]:
-    """All spans (start, kind, end, depth of the first layer showing it), sorted, and the streams left packed for size."""
+    """All spans (start, kind, end, depth of the first layer showing it), sorted, and the streams read in windows for size."""
     found: dict[tuple[int, str, int], int] = {}
-    work, seen, oversized = [Layer(text, 0)], set(), 0
-    while work:
-        layer = work.pop()
-        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + repr(layer.whole or (layer.lo or [0])[:1]).encode(), digest_size=16).digest() if layer.depth else b""
-        if mark in seen:  # a cycle, or the same text from the same place
-            continue
-        seen.add(mark)
-        for s, kind, e in base_spans(layer.text):
-            a, b = layer.origin(s, e)
-            found[a, kind, b] = min(found.get((a, kind, b), layer.depth), layer.depth)
-        if "%" in layer.text and (new := _rewritten(layer, PERCENT, _unpercent)):
-            work.append(new)
-        if ("\\" in layer.text or "&#" in layer.text) and (new := _rewritten(layer, ESCAPED, _unescape)):
-            work.append(new)
-        for unwrap in (_unblobbed, _unescaped_streams):
-            new, large = unwrap(layer, limit)
-            work += new
-            oversized += large
+    seen: set[bytes] = set()
+    oversized = 0
+
+    def drain(work: list) -> None:
+        nonlocal oversized
+        while work:
+            layer = work.pop()
+            if isinstance(layer, Stream):  # a window at a time, with all that is inside it
+                mark = hashlib.blake2b(layer.data + repr(layer.whole).encode(), digest_size=16).digest()
+                if mark not in seen:
+                    seen.add(mark)
+                    for window in layer.layers(limit):
+                        drain([window])
+                continue
+            mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass") + repr(layer.whole or (layer.lo or [0])[:1]).encode(), digest_size=16).digest() if layer.depth else b""
+            if mark in seen:  # a cycle, or the same text from the same place
+                continue
+            seen.add(mark)
+            for s, kind, e in base_spans(layer.text):
+                a, b = layer.origin(s, e)
+                found[a, kind, b] = min(found.get((a, kind, b), layer.depth), layer.depth)
+            if "%" in layer.text and (new := _rewritten(layer, PERCENT, _unpercent)):
+                work.append(new)
+            if ("\\" in layer.text or "&#" in layer.text) and (new := _rewritten(layer, ESCAPED, _unescape)):
+                work.append(new)
+            for unwrap in (_unblobbed, _unescaped_streams):
+                new, large = unwrap(layer, limit)
+                work += new
+                oversized += large
+
+    drain([Layer(text, 0)])
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((a, k, b, d) for (a, k, b), d in found.items()), key=lambda x: (x[0], order[x[1]], x[2])), oversized
 
