@@ -30,7 +30,7 @@ def rotate(
     a dialogue from 0, by turn (null first), speaker and text. A null or empty speaker is called "unknown", a null text is
     empty, a null conversation id is one conversation. Repeated turns all stay. A dialogue without a participant gives
     nothing. Dialogues may be of any size: turns are numbered over range partitions, and the speakers of a dialogue
-    are found by a map-side combined aggregation.
+    are found by a map-side combined aggregation. Other columns are not read.
     """
     speaker = F.coalesce(F.nullif(F.trim(F.col(speaker_col).cast("string")), F.lit("")), F.lit(UNKNOWN))
     base = turns.select(F.col(conv_col).alias("conv_id"), F.col(order_col).alias("turn"), speaker.alias("speaker"), text_of(text_col).alias("text"), F.lit(0).alias("zero"))

@@ -172,7 +172,11 @@ class LineIndex:
         return LineIndex(refs, postings, staged(keyed.groupBy("shard").applyInPandas(build, "shard int, slots binary"), "line-filters"), shards)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index with all lines of ``docs`` added."""
+        """The index with all lines of ``docs`` added.
+
+        Each row counts: an id inserted again adds to the counts of its lines, so a document with a new text is deleted
+        first. Null ids are one document, null and empty texts hold no line with a key, other columns are not read.
+        """
         new = staged(line_postings(docs, id_col, text_col), "line-postings")
         postings = self.postings.unionByName(new)
         batch = staged(_counted(new), "line-batch")

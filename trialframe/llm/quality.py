@@ -223,7 +223,8 @@ def judge(docs: DataFrame, field: LineField, min_share: float = MIN_CONTENT_SHAR
     """Per row: the base statistics, the share of bytes in content lines, and ``kept``.
 
     Lines without a word carry no weight. Null and empty texts have no words and fail the base rules; so do texts of
-    fewer than 20 words. Repeated rows are judged each. Map-only.
+    fewer than 20 words. Repeated rows are judged each, texts of any length whole; other columns are not read, an empty table
+    gives an empty result. Map-only.
     """
     passed = [] if id_col is None else [id_col]
 

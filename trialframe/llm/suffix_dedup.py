@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts in a chunk leaves it as edges, so that a passage of very many documents isn't sorted in one place.
 
     Null and empty texts have no bytes. Rows with the same id and text are one document; with the same id and different
-    texts they follow each other in order of the text's hash. An empty table gives an empty result.
+    texts they follow each other in order of the text's hash. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     texts, names = _numbered(docs, id_col, text_col)
