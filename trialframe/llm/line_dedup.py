@@ -180,39 +180,36 @@ class LineIndex:
         new = staged(line_postings(docs, id_col, text_col), "line-postings")
         postings = self.postings.unionByName(new)
         batch = staged(_counted(new), "line-batch")
-        shards = partitions_for(self.refs.count() + batch.count(), SHARD_KEYS)
-        if shards > self.shards:  # more shards: the filters are made anew from the exact table
-            both = self.refs.unionByName(batch).groupBy("key").agg(F.sum("refs").alias("refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-            return self._rebuilt(staged(both, "line-refs"), postings, shards)
 
-        def merge(key, held, slots, add):
-            known = CuckooFilter.load(slots["slots"].iloc[0]) if len(slots) else None
+        def ask(key, part):
+            """The batch's keys of a shard with what its filter says of each, and the filter with the keys it didn't know."""
+            slots, add = part["slots"][part["key"].isna()], part[part["key"].notna()]
+            known = CuckooFilter.load(slots.iloc[0]) if len(slots) else None
             h = hashes(add["key"].tolist()) if len(add) else np.zeros(0, dtype=np.uint64)
             maybe = known.contains(h) if known is not None and len(h) else np.zeros(len(h), dtype=bool)
-            table = dict(zip(held["key"], zip(held["refs"], held["lo"], held["hi"], strict=True), strict=True)) if maybe.any() else {}
-            rows = {}
-            for k, n, lo, hi, m in zip(add["key"], add["refs"], add["lo"], add["hi"], maybe.tolist(), strict=True):
-                old = table.get(k) if m else None
-                rows[k] = (n, lo, hi) if old is None else (n + old[0], min(lo, old[1]), max(hi, old[2]))
-            fresh_keys = [k for k, m in zip(add["key"], maybe.tolist(), strict=True) if not m or k not in table]
-            if known is None or not known.insert(hashes(fresh_keys)):
-                known = build_filter(hashes([*dict.fromkeys([*held["key"], *rows])]))
-            kept = zip(held["key"], held["refs"], held["lo"], held["hi"], strict=True)
-            out = [(k, *v, key[0], None) for k, v in rows.items()] + [(*r, key[0], None) for r in kept if r[0] not in rows]
-            out.append((None, 0, 0, 0, key[0], known.dump()))
-            return pd.DataFrame(out, columns=["key", "refs", "lo", "hi", "shard", "slots"])
-
-        # one shard's keys, at most SHARD_KEYS or so, are a task's group; a filter travels to its shard as one row
-        rows = self.refs.select(F.lit(0).alias("what"), "key", "refs", "lo", "hi", self._shard().alias("shard"), F.lit(None).cast("binary").alias("slots"))
-        adds = batch.select(F.lit(1).alias("what"), "key", "refs", "lo", "hi", self._shard().alias("shard"), F.lit(None).cast("binary").alias("slots"))
-        kept = self.filters.select(F.lit(2).alias("what"), F.lit(None).cast("binary").alias("key"), *[F.lit(0).cast("long").alias(c) for c in ("refs", "lo", "hi")], "shard", "slots")
-
-        def run(key, part):
-            return merge(key, part[part["what"] == 0], part[part["what"] == 2], part[part["what"] == 1])
-
-        done = staged(
-            rows.unionByName(adds).unionByName(kept).groupBy("shard").applyInPandas(run, f"{REFS}, shard int, slots binary"), "line-index")
-        return LineIndex(done.filter("key IS NOT NULL").select("key", "refs", "lo", "hi"), postings, done.filter("key IS NULL").select("shard", "slots"), self.shards)
+            full = known is None or not known.insert(h[~maybe])
+            out = add.assign(maybe=maybe, slots=None)
+            last = pd.DataFrame({"key": [None], "refs": [0], "lo": [0], "hi": [0], "shard": [key[0]], "maybe": [full], "slots": [None if full else known.dump()]})
+            return pd.concat([out, last])[["key", "refs", "lo", "hi", "shard", "maybe", "slots"]]
+
+        # a shard's keys of one batch are a task's group; a filter travels to its shard as one row
+        none = lambda kind: F.lit(None).cast(kind)
+        adds = batch.select("key", "refs", "lo", "hi", self._shard().alias("shard"), none("binary").alias("slots"))
+        held = self.filters.select(none("binary").alias("key"), *[F.lit(0).cast("long").alias(c) for c in ("refs", "lo", "hi")], "shard", "slots")
+        asked = staged(adds.unionByName(held).groupBy("shard").applyInPandas(ask, f"{REFS}, shard int, maybe boolean, slots binary"), "line-asked")
+        keys = asked.filter("key IS NOT NULL")
+        maybe = staged(keys.filter("maybe").select("key", "refs", "lo", "hi"), "line-maybe")
+        refs = self.refs.unionByName(keys.filter("NOT maybe").select("key", "refs", "lo", "hi"))
+        if maybe.limit(1).count():  # only these are looked up in the exact table
+            seen = self.refs.join(maybe.select("key"), "key", "left_semi").unionByName(maybe).groupBy("key").agg(
+                F.sum("refs").alias("refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            refs = self.refs.join(maybe.select("key"), "key", "left_anti").unionByName(keys.filter("NOT maybe").select("key", "refs", "lo", "hi")).unionByName(seen)
+        refs = staged(refs, "line-refs")
+        filters = asked.filter("key IS NULL")
+        shards = partitions_for(refs.count(), SHARD_KEYS)
+        if shards > self.shards or filters.filter("maybe").limit(1).count():  # more shards, or a filter that is full
+            return self._rebuilt(refs, postings, max(shards, self.shards))
+        return LineIndex(refs, postings, filters.select("shard", "slots"), self.shards)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index without the documents whose ids ``ids`` lists; ids it doesn't hold are passed over."""
