@@ -172,6 +172,14 @@ def test_curve_set_verdict(spark):
     assert verdict({"x": [0, 1, 2]}) == (False, False, 1)
 
 
+def test_curve_set_verdict_of_more_points_than_a_task_takes(spark):
+    canon = {"A": [0, 1, 2], "B": [0, 1, 2.5]}
+    a, b = _curves(spark, canon), _curves(spark, canon | {"C": [7, 8, 9.5]})
+    for pred, want in ((a, (True, 0.0)), (b, (False, 0.0))):
+        r = J.curve_set_verdict(pred, a, J.match_curve_sets(pred, a, "c", "p", "v"), "c", "p", "v", cap=2).first()
+        assert (r.same_sequence, r.sequence_max_abs_diff) == want
+
+
 def test_leakage_and_completeness(spark):
     a = spark.createDataFrame([("r1", 0.1), ("r2", 0.2)], "run string, x double")
     b = spark.createDataFrame([("r2", 0.3), ("r3", 0.1 + 1e-12)], "run string, x double")

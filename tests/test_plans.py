@@ -52,6 +52,13 @@ def test_running_shift_index_total(skewed, cap):
     _same(got, want, want.columns)
 
 
+def test_helper_columns_may_be_taken(spark):
+    rows = spark.createDataFrame([(i, i % 7, i % 5) for i in range(60)], "__c long, __r long, __edge long")
+    w = Window.orderBy("__c")
+    want = rows.select("*", F.row_number().over(w).cast("long").alias("i"), F.lag("__r").over(w).alias("p"))
+    _same(ordered(rows, [], ["__c"], 9).index("i").previous(p=F.col("__r")).done(), want, want.columns)
+
+
 @pytest.mark.parametrize("cap", [15, 10**6])
 @pytest.mark.parametrize("desc", [True, False])
 def test_ranks(skewed, cap, desc):

@@ -67,6 +67,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return out.drop(*names.values())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _oversized(df: DataFrame, keys: list[str], cap: int) -> list:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     return counts.filter(F.col("__n") > cap).collect()  # at most rows / cap entries
@@ -154,12 +162,13 @@ class Ordered:
         self._pin()
         out = self.df.withColumn(name, F.row_number().over(self._window()).cast("long"))
         if self.parts:
+            rows, before = unused(out, "__r"), unused(out, "__c")  # the caller's rows may hold such names
             carry = self._carry(
-                [F.count(F.lit(1)).alias("__r")],
-                lambda v: [F.sum("__r").over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("__c")],
+                [F.count(F.lit(1)).alias(rows)],
+                lambda v: [F.sum(rows).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias(before)],
             )
-            out = self._attach(out, carry, ["__c"])
-            out = out.withColumn(name, F.col(name) + F.coalesce("__c", F.lit(0))).drop("__c")
+            out = self._attach(out, carry, [before])
+            out = out.withColumn(name, F.col(name) + F.coalesce(before, F.lit(0))).drop(before)
         return self._replace(out)
 
     def _shift(self, cols: dict[str, Column], forward: bool) -> "Ordered":
@@ -169,15 +178,16 @@ class Ordered:
         wanted = {n: move(c).over(w) for n, c in cols.items()}
         if not self.parts:
             return self._replace(self.df.withColumns(wanted))
-        out = self.df.withColumns({**wanted, "__edge": move(F.lit(1)).over(w).isNull()})
+        edge, shown, outermost, beyond = (unused(self.df, c) for c in ("__edge", "__r", "__outer", "__c"))
+        out = self.df.withColumns({**wanted, edge: move(F.lit(1)).over(w).isNull()})
         # what a range shows its neighbour: its first row when looking ahead, its last when looking back
         held = F.struct(*[c.alias(n) for n, c in cols.items()])
-        outer = self.df.filter(F.col(self.parts[0]).isNotNull()).select(*self.keys, held.alias("__r"), back(F.lit(1)).over(w).isNull().alias("__outer"))
+        outer = self.df.filter(F.col(self.parts[0]).isNotNull()).select(*self.keys, held.alias(shown), back(F.lit(1)).over(w).isNull().alias(outermost))
         ranges = Window.partitionBy(*self.by).orderBy(*[F.asc(p) for p in self.parts])
-        carry = outer.filter("__outer").select(*self.keys, move("__r").over(ranges).alias("__c"))
-        out = self._attach(out, carry, ["__c"])
-        out = out.withColumns({n: F.when(F.col("__edge"), F.col(f"__c.{n}")).otherwise(F.col(n)) for n in cols})
-        return self._replace(out.drop("__edge", "__c"))
+        carry = outer.filter(F.col(outermost)).select(*self.keys, move(shown).over(ranges).alias(beyond))
+        out = self._attach(out, carry, [beyond])
+        out = out.withColumns({n: F.when(F.col(edge), F.col(beyond)[n]).otherwise(F.col(n)) for n in cols})
+        return self._replace(out.drop(edge, beyond))
 
     def previous(self, **cols: Column) -> "Ordered":
         return self._shift(cols, forward=False)
