@@ -40,12 +40,23 @@ def incumbent_stream(spark, sf):
     return first_per_key(out, ["key"], [F.desc("batch_id")]).drop("batch_id")
 
 
+FILE_ROWS = 200_000
+
+
 def _in_three(spark, sf, path):
-    """The events table in three files by id, one after the other."""
+    """The events table in three parts by id, written one after the other: the number of files of each, which is the same.
+
+    A part of many rows is written and read by many tasks; with ``maxFilesPerTrigger`` of that number it is a batch.
+    """
     events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
-    for part in range(3):
-        events.filter(F.col("event_id") % 3 == part).coalesce(1).write.parquet(f"{path}/{part}")
-        yield part
+    part = F.col("event_id") % 3
+    held = events.filter(part >= 0).groupBy(part.alias("part")).count()
+    least = held.agg(F.when(F.count(F.lit(1)) == 3, F.min("count")).otherwise(0)).first()[0]
+    files = max(1, min(least // FILE_ROWS, spark.sparkContext.defaultParallelism))
+    for n in range(3):
+        rows = events.filter(part == n)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(f"{path}/{n}")
+        yield files
 
 
 # a batch drops what the watermark had passed when the batch before it began, to the millisecond
@@ -62,8 +73,8 @@ def late_rows_by_batch(spark, sf):
     """What early stopping over three late files drops: each holds rows of all days, and rows may be ten days late."""
     J.use_rocksdb(spark)
     path = scratch_path(spark, "late")
-    list(_in_three(spark, sf, path))
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    files = max(_in_three(spark, sf, path))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     stops = J.early_stop_stream(stream.withColumn("poe", F.col("value") / (F.col("value") + 40)), "user_id", "ts", "event_id", "poe", 0.05, "10 days")
     return J.run_counted(stops, "late-stops")[1].filter("input_rows > 0")
 
@@ -74,8 +85,8 @@ def incumbent_stream_of_late_files(spark, sf):
     """Three batches, each with rows between those of the batches before."""
     J.use_rocksdb(spark)
     path = scratch_path(spark, "late")
-    list(_in_three(spark, sf, path))
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    files = max(_in_three(spark, sf, path))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     out = J.run_available(J.incumbent_stream(stream, "user_id", "ts", "event_id", "value"), "late-incumbent", "update")
     return first_per_key(out, ["key"], [F.desc("batch_id")]).drop("batch_id")
 

@@ -7,6 +7,7 @@ yet. Rows the watermark has passed are processed in event-time order and forgott
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,58 +25,59 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _FirstStop(StatefulProcessor):
-    """Holds rows until the watermark passes them; emits the first stop of an experiment once."""
+    """Holds rows until the watermark passes them; emits the first stop of an experiment once.
+
+    Times are microseconds. An experiment has a few rows a batch, so they are handled as plain numbers, and state is asked for
+    once and written once a call.
+    """
 
     def __init__(self, threshold: float):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, seq long, poe double")
-        self.progress = handle.getValueState("progress", "sampled long, stopped boolean, candidate timestamp")
+        self.waiting = handle.getListState("waiting", "us long, seq long, poe double")
+        self.progress = handle.getValueState("progress", "sampled long, stopped boolean, candidate long")
 
     def _progress(self) -> tuple:
         """Rows sampled so far, whether stopped, and the earliest waiting row that would stop."""
-        return tuple(self.progress.get()) if self.progress.exists() else (0, False, None)
+        known = self.progress.get()
+        return (0, False, None) if known is None else tuple(known)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         sampled, stopped, candidate = self._progress()
         if stopped:
             return iter([])
-        first = None
-        for pdf in rows:
-            hits = pdf.loc[pdf["poe"] < self.threshold, "ts"]
-            if len(hits):
-                low = hits.min().to_pydatetime()
-                candidate = low if candidate is None else min(candidate, low)
-                self.progress.update((sampled, stopped, candidate))
-            # rows after the earliest stop cannot matter any more
-            pdf = pdf if candidate is None else pdf[pdf["ts"] <= pd.Timestamp(candidate)]
-            if len(pdf):
-                self.waiting.appendList([(t.to_pydatetime(), int(s), float(p)) for t, s, p in zip(pdf["ts"], pdf["seq"], pdf["poe"])])
-                first = pdf["ts"].min() if first is None else min(first, pdf["ts"].min())
-        if first is not None:
-            self._wake(first)
+        new = [r for pdf in rows for r in zip(pdf["us"].tolist(), pdf["seq"].tolist(), pdf["poe"].tolist(), strict=True)]
+        hits = [us for us, _, poe in new if poe < self.threshold]
+        if hits:
+            candidate = min(hits) if candidate is None else min(candidate, *hits)
+            self.progress.update((sampled, stopped, candidate))
+        # rows after the earliest stop cannot matter any more
+        new = [(int(us), int(seq), poe) for us, seq, poe in new if candidate is None or us <= candidate]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(us for us, _, _ in new))
         return iter([])
 
-    def _wake(self, ts) -> None:
+    def _wake(self, us: int) -> None:
         """One timer, for the earliest waiting row; it settles every row the watermark has passed."""
-        self.handle.registerTimer(int(pd.Timestamp(ts).tz_localize(None).timestamp() * 1000) + 1)
+        self.handle.registerTimer(us // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         sampled, stopped, candidate = self._progress()
-        if stopped or not self.waiting.exists():
+        held = [] if stopped else sorted(tuple(r) for r in self.waiting.get())
+        if not held:
             return iter([])
-        limit = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        held = sorted(tuple(r) for r in self.waiting.get())
-        ready = [r for r in held if pd.Timestamp(r[0]).tz_localize(None) < limit]
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = [r for r in held if r[0] < limit]
         later = held[len(ready):]
         out = []
-        for ts, seq, poe in ready:
+        for us, seq, poe in ready:
             sampled += 1
             if poe < self.threshold:
                 stopped = True
-                out.append(pd.DataFrame({"key": [str(key[0])], "stopped_at": [ts], "seq": [seq], "position": [sampled - 1], "poe": [poe]}))
+                out.append(pd.DataFrame({"key": [str(key[0])], "us": [us], "seq": [seq], "position": [sampled - 1], "poe": [poe]}))
                 break
         self.progress.update((sampled, stopped, candidate))
         if stopped or not later:
@@ -94,12 +96,13 @@ def early_stop_stream(events: DataFrame, key: str, ts: str, seq: str, poe: str,
     rows = events.select(
         F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(seq).cast("long").alias("seq"),
         F.col(poe).cast("double").alias("poe"),
-    ).filter("poe IS NOT NULL AND ts IS NOT NULL")
-    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
+    ).filter("poe IS NOT NULL AND ts IS NOT NULL").withColumn("us", F.unix_micros("ts"))
+    stops = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(
         statefulProcessor=_FirstStop(threshold),
-        outputStructType="key string, stopped_at timestamp, seq long, position long, poe double",
+        outputStructType="key string, us long, seq long, position long, poe double",
         outputMode="Append", timeMode="EventTime",
     )
+    return stops.select("key", F.timestamp_micros("us").alias("stopped_at"), "seq", "position", "poe")
 
 
 class _Incumbent(StatefulProcessor):
@@ -110,14 +113,14 @@ class _Incumbent(StatefulProcessor):
         self.summary = handle.getValueState("summary", "best double, improvements long, rows long, ts long, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, count, seen, ts, seq = self.summary.get() if self.summary.exists() else (float("-inf"), 0, 0, 0, 0)
-        new = pd.concat(list(rows))[["ts", "seq", "value"]].dropna()
-        if len(new):
-            new, known = new.sort_values(["ts", "seq"]), []
-            late = count and (new["ts"].iloc[0], new["seq"].iloc[0]) < (ts, seq)
+        best, count, seen, ts, seq = self.summary.get() or (float("-inf"), 0, 0, 0, 0)
+        new = [r for pdf in rows for r in zip(pdf["ts"].tolist(), pdf["seq"].tolist(), pdf["value"].tolist(), strict=True)]
+        new = sorted(((int(t), int(q), v) for t, q, v in new if not any(x is None or x != x for x in (t, q, v))), key=itemgetter(0, 1))
+        if new:
+            late = count and new[0][:2] < (ts, seq)
             if late:  # a row between known ones, which it may outdo
                 known = [tuple(r) for r in self.records.get()]
-                rising = self._rising(pd.concat([pd.DataFrame(known, columns=new.columns), new]).sort_values(["ts", "seq"]), float("-inf"))
+                rising = self._rising(sorted(known + new, key=itemgetter(0, 1)), float("-inf"))
                 self.records.put(rising)
                 count = len(rising)
             else:
@@ -131,10 +134,13 @@ class _Incumbent(StatefulProcessor):
         return iter([pd.DataFrame({"key": [str(key[0])], "best": [best if count else None], "improvements": [count], "rows": [seen]})])
 
     @staticmethod
-    def _rising(rows: pd.DataFrame, best: float) -> list[tuple]:
-        before = rows["value"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
-        kept = rows[rows["value"] > before]
-        return [(int(t), int(q), float(v)) for t, q, v in zip(kept["ts"], kept["seq"], kept["value"], strict=True)]
+    def _rising(rows: list[tuple], best: float) -> list[tuple]:
+        kept = []
+        for row in rows:
+            if row[2] > best:
+                kept.append(row)
+                best = row[2]
+        return kept
 
     def close(self) -> None:
         pass
