@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ STATS = ["c", "s2", "s1", "sy", "syy"]
 # multipliers modulo a Mersenne prime: a product of two numbers stays below 2 ** 62
 MIX_PRIME, MIX_FACTORS = 2**31 - 1, (48271, 69621, 40692, 1583458089)
 DRAWS_AT_ONCE = 1_000_000
+# rows times attempts a task puts in order
+ORDERED_AT_ONCE = 500_000
 
 
 def constrained_splits(
@@ -32,15 +35,18 @@ def constrained_splits(
 
     Draws are hash orders, numbered by attempt; each split keeps its first attempt that satisfies the condition. Attempts
     are made in doubling batches for the splits still open, ``max_attempts`` at most; a condition that none of them meets
-    is an error. Only ``n_train`` and ``2 n_side`` rows per attempt pass the pruned top-k steps.
+    is an error. Only ``n_train`` and ``2 n_side`` rows per attempt pass the pruned top-k steps. Rows are dealt to tasks by rows
+    times attempts, so what a task sorts doesn't grow with the table.
     """
     spark, slim = df.sparkSession, staged(df.select(ident, value), "split-rows")
+    n = slim.count()
     open_splits, first, batch, found = list(range(n_splits)), 0, 1, []
     while open_splits:
         if first >= max_attempts:
             raise ValueError(f"no valid draw in {first} attempts for {len(open_splits)} of {n_splits} splits")
-        tries = spark.createDataFrame([(s, a) for s in open_splits for a in range(first, first + batch)], "split int, attempt int")
-        drawn = staged(_drawn_splits(slim, tries, ident, value, n_train, n_side, seed), "splits")
+        names = [(s, a) for s in open_splits for a in range(first, first + batch)]
+        tries, spread = spark.createDataFrame(names, "split int, attempt int"), slim.repartition(max(1, ceil(n * len(names) / ORDERED_AT_ONCE)))
+        drawn = staged(_drawn_splits(spread, tries, ident, value, n_train, n_side, seed), "splits")
         firsts = {r["split"]: r["attempt"] for r in drawn.groupBy("split").agg(F.min("attempt").alias("attempt")).collect()}  # a row per split
         kept = F.broadcast(spark.createDataFrame(list(firsts.items()), "split int, attempt int"))
         found.append(drawn.join(kept, ["split", "attempt"], "left_semi"))
