@@ -229,6 +229,16 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "near-roots")
 
 
+def _standing(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``members`` (bucket, key, total, degree, root) with their classes by now, without the buckets of one class: classes
+    only grow, so those have no pair left. A row per key meets ``roots``, not one per bucket."""
+    keys = members.groupBy("key").agg(F.first("total").alias("total"), F.first("degree").alias("degree"), F.collect_list("bucket").alias("buckets"))
+    known = keys.join(roots, "key").select("key", "total", "degree", "root", F.explode("buckets").alias("bucket"))
+    known = staged(known.select(*members.columns), "near-standing")
+    several = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    return staged(known.join(several, "bucket", "left_semi"), "near-members")
+
+
 def _stars(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every member of a bucket with the most central member of another class.
 
@@ -327,19 +337,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     nodes = staged(
         signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"), F.first("buckets").alias("buckets")), "near-nodes")
     held = nodes.select("key", "total", F.explode("buckets").alias("bucket"))
-    members = staged(held.join(_distinct_buckets(held), "bucket"), "near-members")
-    degrees = members.groupBy("key").agg(F.sum(F.col("n") * F.col("times")).alias("degree"))
-    members = staged(members.join(degrees, "key").select("bucket", "key", "total", "degree"), "near-members")
-    roots, tried = members.select("key").distinct().withColumn("root", F.col("key")), None
+    members = held.join(_distinct_buckets(held), "bucket")
+    degrees = members.groupBy("key").agg(
+        F.first("total").alias("total"), F.sum(F.col("n") * F.col("times")).alias("degree"), F.collect_list("bucket").alias("buckets"))
+    members = staged(degrees.select(F.explode("buckets").alias("bucket"), "key", "total", "degree", F.col("key").alias("root")), "near-members")
+    roots, tried = members.select("key", "root").distinct(), None
     while True:
-        pairs = _stars(members.join(roots, "key"), similarity)
+        pairs = _stars(members, similarity)
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = staged(verified(pairs, nodes, docs, similarity, size, id_col, text_col), "near-links")
         if not links.limit(1).count():
             break
         roots = _merged(roots, links)
-    meeting = staged(_meeting(members.join(roots, "key"), block), "near-meeting")
+        members = _standing(members, roots)
+    meeting = staged(_meeting(members, block), "near-meeting")
     texts = _texts(meeting.select("key").distinct(), nodes, docs, id_col, text_col)
     blocks = meeting.join(texts, "key").groupBy("bucket", "s", "o")
     links = staged(blocks.applyInPandas(_met(similarity, size), "a binary, b binary"), "near-links")
