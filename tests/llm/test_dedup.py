@@ -260,3 +260,11 @@ def test_repeats_of_awkward_rows(spark, rows, empty):
     sevens = [r for r in got if r.doc_id == 7]
     assert len(sevens) == 3 and len({(r.n_removed, bytes(r.kept)) for r in sevens}) == 1
     assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_buckets_of_one_class_leave_the_rounds(spark):
+    rows = [(1, b"a", 9, 3, b"a"), (1, b"b", 9, 3, b"b"), (2, b"b", 9, 3, b"b"), (2, b"c", 8, 1, b"c")]
+    members = spark.createDataFrame(rows, "bucket long, key binary, total long, degree long, root binary")
+    roots = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"c")], "key binary, root binary")
+    left = {(r.bucket, bytes(r.key), bytes(r.root)) for r in near_dedup._standing(members, roots).collect()}
+    assert left == {(2, b"b", b"a"), (2, b"c", b"c")}

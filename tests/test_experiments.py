@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +363,55 @@ def test_stream_queries_read_tables_of_many_files(spark, sf_dir, tmp_path):
     for name in ("early_stop_stream", "curve_metrics_stream", "pending_stream", "incumbent_stream"):
         key = lambda d: sorted(map(str, d.collect()))
         assert key(QUERIES[name](spark, str(tmp_path))) == key(QUERIES[name](spark, sf_dir))
+
+
+def test_splits_are_dealt_by_rows_times_attempts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i * 37 % 101)) for i in range(200)], "id long, v double").coalesce(1)
+    want = sorted(map(tuple, D.constrained_splits(df, "id", "v", 4, 5, 2).collect()))
+    dealt, drawn = [], D._drawn_splits
+
+    def counted(rows, *rest):
+        dealt.append(rows.rdd.getNumPartitions())
+        return drawn(rows, *rest)
+
+    monkeypatch.setattr(D, "_drawn_splits", counted)
+    monkeypatch.setattr(D, "ORDERED_AT_ONCE", 100)
+    assert sorted(map(tuple, D.constrained_splits(df, "id", "v", 4, 5, 2).collect())) == want
+    assert dealt[0] == 8  # 200 rows for 4 splits
+
+
+def test_large_parts_come_in_files_of_one_batch(spark, tmp_path, monkeypatch):
+    from trialframe.catalog import streams
+
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i * 7 % 90), i % 4, "a", float(i * 31 % 17), None) for i in range(90)]
+    spark.createDataFrame(rows, streams.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    names = ["incumbent_stream_of_late_files", "late_rows_by_batch"]
+    want = [sorted(map(tuple, getattr(streams, n)(spark, str(tmp_path)).collect())) for n in names]
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    assert list(streams._in_three(spark, str(tmp_path), f"{tmp_path}/parts")) == [3, 3, 3]
+    assert [len(list((tmp_path / "parts" / str(n)).glob("*.parquet"))) for n in range(3)] == [3, 3, 3]
+    assert [sorted(map(tuple, getattr(streams, n)(spark, str(tmp_path)).collect())) for n in names] == want
+
+
+def test_first_stop_asks_for_state_once_a_call():
+    class State:
+        def __init__(self, value):
+            self.value, self.calls = value, 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.value) if isinstance(self.value, list) else self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+        def appendList(self, rows):
+            self.calls, self.value = self.calls + 1, self.value + rows
+
+    p, timers = J._FirstStop(0.1), []
+    p.progress, p.waiting = State(None), State([])
+    p.handle = type("H", (), {"registerTimer": lambda _, ms: timers.append(ms)})()
+    batch = pd.DataFrame({"us": [5_000, 2_000, 9_000], "seq": [1, 2, 3], "poe": [0.05, 0.5, 0.01]})
+    assert list(p.handleInputRows(("k",), iter([batch.iloc[:1], batch.iloc[1:]]), None)) == []
+    assert p.waiting.value == [(5_000, 1, 0.05), (2_000, 2, 0.5)] and timers == [3]
+    assert p.progress.value == (0, False, 5_000) and (p.progress.calls, p.waiting.calls) == (2, 1)
