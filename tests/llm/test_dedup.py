@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -268,3 +269,40 @@ def test_buckets_of_one_class_leave_the_rounds(spark):
     roots = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"c")], "key binary, root binary")
     left = {(r.bucket, bytes(r.key), bytes(r.root)) for r in near_dedup._standing(members, roots).collect()}
     assert left == {(2, b"b", b"a"), (2, b"c", b"c")}
+
+
+def plain_signature(hashes, counts, m):
+    """One point after the other, in order of a process' time."""
+    first, ident = [math.inf] * m, [0] * m
+    for h, count in zip(hashes, counts, strict=True):
+        k, low, rate = 0, 0, 1
+        while low < count:
+            key = near_dedup.mix(h + near_dedup._gold(k + 1))
+            time, step = 0.0, 0
+            while time < max(first):
+                step += 1
+                draw = near_dedup.mix(key + near_dedup._gold(2 * step))
+                place = int(near_dedup.mix(draw + near_dedup._gold(1)))
+                time = time - np.log(float(int(draw) >> 11) * 2.0**-53 + 2.0**-54) / rate
+                if low + 1 + math.floor((place >> 32) * 2.0**-32 * rate) <= count and time < first[(place & 0xFFFFFFFF) % m]:
+                    first[(place & 0xFFFFFFFF) % m], ident[(place & 0xFFFFFFFF) % m] = time, int(draw)
+            k, low, rate = k + 1, max(1, 2 * low), max(1, low * 2) if low else 1
+    return ident
+
+
+def test_a_round_draws_many_points_of_few_processes(monkeypatch):
+    shingler = near_dedup.Shingler()
+    bags = [shingler.bag(t.encode().split()) for t in ("alone", "a b c d e f", "word " * 40, "x y " * 9 + "z")]
+    with np.errstate(over="ignore"):
+        expected = [plain_signature(*b, 160) for b in bags]
+    rounds, mix = [], near_dedup.mix
+    monkeypatch.setattr(near_dedup, "mix", lambda x: rounds.append(0) or mix(x))
+    assert near_dedup.bag_min_hash(bags, 160).tolist() == expected
+    assert len(rounds) < 100  # a bag of one shingle draws 900 points and more
+
+
+def test_words_are_hashed_without_a_table():
+    shingler = near_dedup.Shingler()
+    hashes, counts = shingler.bag([b"%d" % i for i in range(1000)])
+    assert len(hashes) == 996 and counts.sum() == 996
+    assert not [v for v in vars(shingler).values() if isinstance(v, dict)]

@@ -14,7 +14,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 CHUNK_WORDS = 300_000
-WORD_CACHE = 300_000
+DRAWS = 50_000
 BLOCK = 50_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -32,10 +32,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Shingle multisets of texts. Words are maximal runs without ASCII white space, hashed once per task."""
+    """Shingle multisets of texts. Words are maximal runs without ASCII white space. Each is hashed where it stands: a table of
+    a corpus' words is slower to look into than a hash."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.known = size, {}
+        self.size = size
 
     def words(self, text: str) -> list[bytes]:
         return text.encode("utf-8", "surrogatepass").split()
@@ -44,13 +45,7 @@ class Shingler:
         """Sorted shingle hashes and their counts. A text of fewer words than a shingle is one shingle."""
         if not words:
             return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        if len(self.known) > WORD_CACHE:
-            self.known = {}
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = mix(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+        codes = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
         size = min(self.size, len(words))
         h = np.full(len(words) - size + 1, np.uint64(size), dtype=np.uint64)
         for j in range(size):
@@ -66,7 +61,8 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarra
     and each interval carries a Poisson process of its length as rate, seeded by shingle and interval alone. A point has a
     component and a unit of its interval; it counts if that unit lies within the shingle's count. A component keeps its
     earliest point. Points are drawn in order of time, one of every process per round, and a process ends as soon as its
-    time exceeds the latest component of its bag: most processes of a large bag draw a single point.
+    time exceeds the latest component of its bag: most processes of a large bag draw a single point. Once few processes
+    are left, a round draws up to ``DRAWS`` points of them; those after the latest component change nothing.
     """
     n = len(bags)
     hashes = np.concatenate([b[0] for b in bags])
@@ -90,22 +86,27 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarra
     ident = np.zeros(n * m, dtype=np.uint64)
     step = 0
     while len(key):
-        step += 1
-        draw = mix(key + _gold(2 * step))
+        many = 1 if 2 * len(key) > DRAWS else min(DRAWS // len(key), 256)
+        steps = np.asarray([_gold(2 * (step + j)) for j in range(1, many + 1)])
+        draw = mix(key[:, None] + steps)
         place = mix(draw + _GOLD)
-        time = time - np.log((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate
-        unit = low + 1 + np.floor((place >> np.uint64(32)).astype(np.float64) * 2.0**-32 * rate)
-        good = unit <= most
-        at = own[good] * m + ((place[good] & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
-        when, name = time[good], draw[good]
+        gaps = -np.log((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate[:, None]
+        gaps[:, 0] += time
+        times = np.cumsum(gaps, axis=1)
+        unit = (low + 1)[:, None] + np.floor((place >> np.uint64(32)).astype(np.float64) * 2.0**-32 * rate[:, None])
+        good = unit <= most[:, None]
+        at = np.broadcast_to(own[:, None] * m, good.shape)[good] + ((place[good] & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64)
+        when, name = times[good], draw[good]
         soon = when < first[at]
         at, when, name = at[soon], when[soon], name[soon]
         np.minimum.at(first, at, when)
         won = first[at] == when
         ident[at[won]] = name[won]
-        owners = own[np.flatnonzero(np.diff(own, prepend=-1))] if step == 1 else np.unique(own)
+        owners = own[np.flatnonzero(np.diff(own, prepend=-1))] if not step else np.unique(own)
         latest = np.zeros(n)
         latest[owners] = first.reshape(n, m)[owners].max(axis=1)
+        step += many
+        time = times[:, -1]
         live = time < latest[own]
         key, rate, low, most, own, time = key[live], rate[live], low[live], most[live], own[live], time[live]
     return ident.reshape(n, m)
