@@ -210,3 +210,24 @@ def test_ranks_must_cover_all_bytes(tmp_path):
     (tmp_path / "few").write_text("YQ== 0\n")
     with pytest.raises(ValueError):
         bpe.Ranks.read(str(tmp_path / "few"), "a")
+
+
+def test_a_merge_rebuilds_one_array(ranks):
+    folded = str(ranks.fold(F.array("word")))
+    assert folded.count("slice(") <= 3  # the state's two sides and the answer; ranks and parts are no arrays of their own
+
+
+def test_equal_ranks_merge_the_first_pair(spark):
+    ids = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259, b"aaa": 260, b"xabc": 261}
+    texts = ["a" * k for k in range(1, 9)] + ["abcabc", "aabcc", "xabcabca", "baabaaabc", "é" * 3 + "aaabc"]
+
+    def plain(word):
+        parts = [bytes([b]) for b in word.encode()]
+        while pairs := [(ids[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ids]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ids[p] for p in parts]
+
+    rows = spark.createDataFrame([(t,) for t in texts], "word string")
+    got = {r.word: r.ids for r in rows.select("word", bpe.Ranks(ids, r"\w+").fold(F.array("word"))[0].alias("ids")).collect()}
+    assert got == {t: plain(t) for t in texts}

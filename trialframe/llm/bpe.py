@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .common import staged
 
 PAIR_BUCKETS, PAIR_STEP = 65_536, 1_000_003
-NO_PIECE = -1_000_000_000_000
 WORD_END = 2**30
 CACHE_WORDS = 1 << 18
 CACHE_WORD_BYTES = 64
@@ -87,29 +86,35 @@ class Ranks:
         return let(self._pairs, lambda pairs: F.transform(words, lambda word: self._folded(word, pairs)))
 
     def _folded(self, word: Column, pairs: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:  # of the join of two pieces, null if it is none
-            key = a * F.lit(PAIR_STEP) + b
-            return pairs[key.bitwiseAND(F.lit(PAIR_BUCKETS - 1)).cast("int")][key]
+        """The state is one array of numbers, a part each: the rank of its join with the next part, its first byte and its
+        id, from the highest bits to the lowest. So the least number is the next merge: the lowest rank, then the first.
+        """
+        bits = len(self.ids).bit_length() + 1
+        none, ids = F.lit((1 << bits) - 1).cast("long"), F.lit((1 << bits) - 1).cast("long")
+        over, starts = F.lit(((1 << bits) - 1) << (63 - bits)).cast("long"), F.lit((1 << (63 - bits)) - (1 << bits)).cast("long")
 
-        def state(parts: Column, ranks: Column) -> Column:  # the rank of parts i and i + 1, from 0, stands at i; a NO_PIECE at each end
-            return let(ranks, lambda r: F.struct(parts.alias("parts"), r.alias("ranks"), F.array_min(r).alias("low")))
+        def joined(a: Column, b: Column) -> Column:  # the highest bits: the rank of the join of two pieces
+            key = a * F.lit(PAIR_STEP) + b
+            return F.shiftleft(F.coalesce(pairs[key.bitwiseAND(F.lit(PAIR_BUCKETS - 1)).cast("int")][key], none), 63 - bits)
 
-        def merge(acc: Column, at: Column) -> Column:  # parts number at - 1 and at
-            parts, ranks, new = acc["parts"], acc["ranks"], acc["low"]
-            beside = F.array(rank(parts[at - 2], new), rank(new, parts[at + 1]))
-            return state(
-                F.flatten(F.array(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, F.lit(WORD_END)))),
-                F.flatten(F.array(F.slice(ranks, F.lit(1), at - 2), beside, F.slice(ranks, at + 2, F.lit(WORD_END)))))
+        def merge(acc: Column, low: Column, at: Column) -> Column:  # parts number at and at + 1
+            new, before = F.shiftright(low, 63 - bits), acc[at - 2]
+            beside = F.array(
+                joined(before.bitwiseAND(ids), new).bitwiseOR(before.bitwiseAND(starts + ids)),
+                joined(new, acc[at + 1].bitwiseAND(ids)).bitwiseOR(low.bitwiseAND(starts)).bitwiseOR(new))
+            return F.concat(F.slice(acc, F.lit(1), at - 2), beside, F.slice(acc, at + 2, F.lit(WORD_END)))
 
         def step(acc: Column, _: Column) -> Column:
-            return F.when(acc["low"].isNull(), acc).otherwise(let(F.array_position(acc["ranks"], acc["low"]).cast("int"), lambda at: merge(acc, at)))
+            return let(F.array_min(acc), lambda low: F.when(low >= over, acc).otherwise(
+                let(F.array_position(acc, low).cast("int"), lambda at: merge(acc, low, at))))
 
         raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character a byte
-        ends = F.array(F.lit(NO_PIECE).cast("long"))
-        parts = F.flatten(F.array(ends, F.transform(F.split(raw, ""), lambda c: self._bytes[F.ascii(c)]), ends))
-        start = let(parts, lambda p: state(p, F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(p[i], p[i + 1]))))
+        ends = F.array(ids)  # no piece has this id
+        parts = F.concat(ends, F.transform(F.split(raw, ""), lambda c: self._bytes[F.ascii(c)]), ends)
+        place = lambda i: F.shiftleft(i.cast("long"), bits)
+        start = let(parts, lambda p: F.transform(p, lambda x, i: joined(x, F.coalesce(F.get(p, i + 1), ids)).bitwiseOR(place(i)).bitwiseOR(x)))
         times = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
-        return F.aggregate(times, start, step, lambda acc: F.slice(acc["parts"], F.lit(2), F.size(acc["parts"]) - 2).cast("array<int>"))
+        return F.aggregate(times, start, step, lambda acc: F.transform(F.slice(acc, F.lit(2), F.size(acc) - 2), lambda x: x.bitwiseAND(ids).cast("int")))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their binary pieces, held as strings of any bytes, one after the other. An unknown id
