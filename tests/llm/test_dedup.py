@@ -271,6 +271,33 @@ def test_buckets_of_one_class_leave_the_rounds(spark):
     assert left == {(2, b"b", b"a"), (2, b"c", b"c")}
 
 
+def test_texts_move_once_and_rounds_are_few(spark, monkeypatch):
+    """Documents are read for their signatures and once for the texts that share a bucket, however many blocks meet."""
+    rng, names, staged = random.Random(9), [], near_dedup.staged
+    texts = _drifting(rng, 40) + _drifting(rng, 10, 30) + [H.sentence(rng, 40) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = list(enumerate(H.near_groups(texts)))
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name="stage": names.append(name) or staged(df, name))
+    for block, meeting in ((near_dedup.BLOCK, 16), (300, 10**6), (300, 0)):  # one block; blocks that meet at once; leaders first
+        monkeypatch.setattr(near_dedup, "MEETING", meeting)
+        names.clear()
+        assert sorted((r.id, r.class_id) for r in near_dedup.near_classes(docs, block=block).collect()) == want
+        assert names.count("near-texts") == 1
+        assert block < near_dedup.BLOCK or names.count("near-links") == 1
+
+
+def test_classes_of_a_block_match_all_pairs():
+    rng = random.Random(6)
+    texts = _drifting(rng, 12) + _drifting(rng, 5, 40) + [H.sentence(rng, 30) for _ in range(5)]
+    rng.shuffle(texts)
+    shingler = near_dedup.Shingler()
+    bags = [shingler.bag(shingler.words(t)) for t in texts]
+    want = H.near_groups(texts)
+    for degrees in ([1] * len(texts), list(range(len(texts)))):
+        low = dict(near_dedup._together([bytes([i]) for i in range(len(texts))], degrees, bags, near_dedup.SIMILARITY))
+        assert [low.get(bytes([i]), bytes([i]))[0] for i in range(len(texts))] == want
+
+
 def plain_signature(hashes, counts, m):
     """One point after the other, in order of a process' time."""
     first, ident = [math.inf] * m, [0] * m

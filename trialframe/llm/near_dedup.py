@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, staged, text_of
+from .common import fresh, give_back, map_batches, slices, staged, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -16,6 +17,7 @@ BANDS, ROWS = 32, 5
 CHUNK_WORDS = 300_000
 DRAWS = 50_000
 BLOCK = 50_000
+MEETING = 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,164 +160,159 @@ def signed_documents(docs: DataFrame, size: int, bands: int, rows: int, id_col:
 
 def _texts(keys: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text) of the ``keys``: the text that stands for each."""
-    wanted = keys.join(nodes.select("key", F.col("rep.id").alias("r_id"), F.col("rep.mark").alias("r_mark")), "key")
+    wanted = staged(keys.join(nodes.select("key", F.col("rep.id").alias("r_id"), F.col("rep.mark").alias("r_mark")), "key"), "near-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = texts.join(wanted, (F.col("mark") == F.col("r_mark")) & F.col("id").eqNullSafe(F.col("r_id")))
+    texts = texts.join(wanted.hint("merge"), (F.col("mark") == F.col("r_mark")) & F.col("id").eqNullSafe(F.col("r_id")))
     return staged(texts.groupBy("key").agg(F.first("text").alias("text")), "near-texts")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` (a, b) of keys whose multisets overlap enough. Only texts in a pair are carried on."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), nodes, docs, id_col, text_col)
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def start():
-        shingler = Shingler(size)
-        kept: dict[bytes, tuple] = {}
-
-        def bag(key, text):
-            if key not in kept:
-                if len(kept) >= 64:
-                    kept.pop(next(iter(kept)))
-                kept[key] = shingler.bag(shingler.words(text))
-            return kept[key]
-
-        def step(cols):
-            out_a, out_b = [], []
-            for a, b, text_a, text_b in zip(cols["a"], cols["b"], cols["text_a"], cols["text_b"], strict=True):
-                (ha, ca), (hb, cb) = bag(a, text_a), bag(b, text_b)
-                _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(ca[ia], cb[ib]).sum())
-                union = int(ca.sum() + cb.sum()) - shared
-                if shared >= similarity * union - 1e-9:
-                    out_a.append(a)
-                    out_b.append(b)
-            return {"a": out_a, "b": out_b}
-
-        return step
-
-    return map_batches(both.select("a", "b", "text_a", "text_b"), start, "a binary, b binary", lean=True)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every key in ``edges`` (a, b): the smallest key it is connected to, by alternating stars.
 
-    Edges are written after every round; only a count and a checksum of them reach the driver.
+    Edges are written after every round; a round ends the work once every key has only larger neighbours, or one smaller one
+    and no other. Only that verdict reaches the driver.
     """
     cur = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    last = None
+    near = Window.partitionBy("u")
     while True:
-        state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == last or state[0] == 0:
+        both = cur.union(cur.select("v", "u"))
+        sides = both.groupBy("u").agg(F.count_if(F.col("v") < F.col("u")).alias("below"), F.count_if(F.col("v") > F.col("u")).alias("above"))
+        if not sides.filter("below > 1 or (below > 0 and above > 0)").limit(1).count():
             return cur.select(F.col("u").alias("key"), F.col("v").alias("root")).union(cur.select("v", "v").distinct())
-        last = tuple(state)
         # large star: the larger neighbours of u go to the smallest key among u and its neighbours
-        both = cur.union(cur.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "edges")
+        large = both.withColumn("m", F.least("u", F.min("v").over(near))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: the smaller neighbours of u, and u, go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = staged(near.union(low.select("u", "m")).filter("u <> v").distinct(), "edges")
-
-
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (key, root) after the classes of the linked keys (a, b) have become one."""
-    for side in ("a", "b"):
-        links = links.join(roots.select(F.col("key").alias(side), F.col("root").alias(f"r_{side}")), side)
-    joined = components(links.select(F.col("r_a").alias("a"), F.col("r_b").alias("b")))
-    joined = joined.select(F.col("key").alias("root"), F.col("root").alias("to"))
-    return staged(roots.join(joined, "root", "left").select("key", F.coalesce("to", "root").alias("root")), "near-roots")
+        small = large.withColumn("m", F.min("v").over(near)).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        cur = staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
 
 
 def _standing(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The ``members`` (bucket, key, total, degree, root) with their classes by now, without the buckets of one class: classes
-    only grow, so those have no pair left. A row per key meets ``roots``, not one per bucket."""
-    keys = members.groupBy("key").agg(F.first("total").alias("total"), F.first("degree").alias("degree"), F.collect_list("bucket").alias("buckets"))
-    known = keys.join(roots, "key").select("key", "total", "degree", "root", F.explode("buckets").alias("bucket"))
-    known = staged(known.select(*members.columns), "near-standing")
-    several = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    return staged(known.join(several, "bucket", "left_semi"), "near-members")
-
-
-def _stars(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every member of a bucket with the most central member of another class.
-
-    ``members`` (bucket, key, total, degree, root). The degree of a text counts those it shares buckets with: the highest
-    is the text most like the others. Those in its class meet the most central text outside it, all others meet it. One pair
-    a member at most; two aggregations to a row per bucket.
-    """
-    top = F.max(F.struct("degree", "key", "root", "total")).alias("c")
-    best = members.groupBy("bucket").agg(top, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "c")
-    known = members.join(best, "bucket")
-    others = known.filter("root <> c.root")
-    second = others.groupBy("bucket").agg(top)
-    met = others.select("key", "total", "c").unionByName(known.filter("root = c.root").drop("c").join(second, "bucket").select("key", "total", "c"))
-    met = met.filter(F.least("total", "c.total") >= F.lit(similarity - 1e-9) * F.greatest("total", "c.total"))
-    return met.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct()
+    only grow, so those have no pair left. A key without a root is its own."""
+    known = members.withColumnRenamed("root", "own").join(roots, "key", "left").withColumn("root", F.coalesce("root", "own")).select(*members.columns)
+    sides = Window.partitionBy("bucket")
+    known = known.withColumns({"lo": F.min("root").over(sides), "hi": F.max("root").over(sides)})
+    return staged(known.filter("lo <> hi").drop("lo", "hi"), "near-members")
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Rows of the blocks of about ``block`` shingles into which every bucket is cut. Its most central member, which shares
+    most with the others, is in each of them; every other one is in one."""
+    whole = Window.partitionBy("bucket")
+    cut = members.withColumns({"n": F.ceil(F.sum("total").over(whole) / F.lit(float(block))).cast("int"), "top": F.max(F.struct("degree", "key")).over(whole)})
+    one = F.array(F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    at = F.when(F.col("key") == F.col("top.key"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(one)
+    return cut.select("bucket", F.explode(at).alias("s"), F.lit(0).alias("o"), F.lit(None).cast("boolean").alias("stray"), "key", "degree", "root")
+
+
+def _mains(members: DataFrame, block: int) -> DataFrame:
+    """(bucket, main, n_strays, n_others, n, rows) of the buckets of several classes: the class with most members, the blocks
+    of all others' members and of all members, the members, and the rows that :func:`_meeting` gives."""
+    held = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"))
+    held = held.groupBy("bucket").agg(
+        F.max(F.struct("n", "t", "root")).alias("main"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    cuts = lambda t: F.ceil(t / F.lit(float(block))).cast("int")
+    held = held.select("bucket", "n", F.col("main.n").alias("most"), F.col("main.root").alias("main"), cuts(F.col("t") - F.col("main.t")).alias("n_strays"), cuts(F.col("t")).alias("n_others"))
+    return held.withColumn("rows", (F.col("n") - F.col("most")) * F.col("n_others") + F.col("n") * F.col("n_strays")).drop("most")
 
 
 def _meeting(members: DataFrame, block: int) -> DataFrame:
     """Rows of the blocks in which every two members of a bucket that stand in different classes meet.
 
-    ``members`` (bucket, key, total, root). The class with most members of a bucket is its main one, all other members are
-    strays, so one of two members in different classes is a stray. Strays and members are cut into blocks of about ``block``
-    shingles each and every block of strays meets every block of members: rows are members times blocks, not pairs, and
-    no task gets more than two blocks at once.
+    ``members`` (bucket, key, total, degree, root). The class with most members of a bucket is its main one, all other members
+    are strays, so one of two members in different classes is a stray. Strays and members are cut into blocks of about
+    ``block`` shingles each and every block of strays meets every block of members: rows are members times blocks, not pairs,
+    and no task gets more than two blocks at once.
     """
-    held = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("t"))
-    held = held.groupBy("bucket").agg(F.max(F.struct("n", "t", "root")).alias("main"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    cuts = lambda t: F.ceil(t / F.lit(float(block))).cast("int")
-    held = held.select("bucket", F.col("main.root").alias("main"), cuts(F.col("t") - F.col("main.t")).alias("n_strays"), cuts(F.col("t")).alias("n_others"))
-    known = members.join(held, "bucket")
+    known = members.join(_mains(members, block).drop("n", "rows"), "bucket")
     at = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    strays = known.filter("root <> main").select("bucket", at("n_strays").alias("s"), every("n_others").alias("o"), F.lit(True).alias("stray"), "key", "root")
-    others = known.select("bucket", every("n_strays").alias("s"), at("n_others").alias("o"), F.lit(False).alias("stray"), "key", "root")
+    kept = ["key", "degree", "root"]
+    strays = known.filter("root <> main").select("bucket", at("n_strays").alias("s"), every("n_others").alias("o"), F.lit(True).alias("stray"), *kept)
+    others = known.select("bucket", every("n_strays").alias("s"), at("n_others").alias("o"), F.lit(False).alias("stray"), *kept)
     return strays.unionByName(others)
 
 
-def _met(similarity: float, size: int):
-    """The links of one block of strays with one block of members: one for a stray and another class, the first found."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shingler, bags, out = Shingler(size), {}, []
-        for key, text in zip(rows["key"], rows["text"], strict=True):
-            if key not in bags:
-                bags[key] = shingler.bag(shingler.words(text))
-        code = dict(zip(rows["key"], pd.factorize(rows["root"])[0], strict=True))
-        others, strays = list(rows["key"][~rows["stray"]]), list(rows["key"][rows["stray"]])
-        if others and strays:
-            lengths = [len(bags[k][0]) for k in others]
-            hashes, counts = (np.concatenate([bags[k][i] for k in others]) for i in (0, 1))
-            owner, order = np.repeat(np.arange(len(others)), lengths), np.argsort(hashes, kind="stable")
-            hashes, counts, owner = hashes[order], counts[order], owner[order]
-            totals = np.asarray([bags[k][1].sum() for k in others])
-            classes = np.asarray([code[k] for k in others])
-        for a in strays if others else []:
-            mine, many = bags[a]
-            lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
-            n = hi - lo
-            place = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-            shared = np.bincount(owner[place], np.minimum(counts[place], np.repeat(many, n)), len(others))
-            near = np.flatnonzero((shared >= similarity * (totals + many.sum() - shared) - 1e-9) & (classes != code[a]))
-            out += [(a, others[i]) for i in near[np.unique(classes[near], return_index=True)[1]]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return run
-
-
-def _distinct_buckets(held: DataFrame) -> DataFrame:
-    """(bucket, n, times): of the buckets with the same two or more members, the first, and how many they are.
-
-    Copies with few edits meet in most bands, so most buckets repeat others. Sets are told apart by their size and a 128-bit
-    hash that no order of the members changes.
-    """
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "key")).alias(f"h{seed}") for seed in (0, 1)]
-    sets = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *marks).filter("n > 1")
-    return sets.groupBy("n", "h0", "h1").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times")).select("bucket", "n", "times")
+def _near(bags: list[tuple[np.ndarray, np.ndarray]], similarity: float):
+    """A function from a bag to the places of the ``bags`` similar enough to it."""
+    hashes, counts = (np.concatenate([b[i] for b in bags]) for i in (0, 1))
+    owner, order = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags]), np.argsort(hashes, kind="stable")
+    hashes, counts, owner = hashes[order], counts[order], owner[order]
+    totals = np.asarray([b[1].sum() for b in bags])
+
+    def near(mine: np.ndarray, many: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+        n = hi - lo
+        place = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        shared = np.bincount(owner[place], np.minimum(counts[place], np.repeat(many, n)), len(bags))
+        return np.flatnonzero(shared >= similarity * (totals + many.sum() - shared) - 1e-9)
+
+    return near
+
+
+def _together(keys: list[bytes], degrees: list[int], bags: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> list[tuple[bytes, bytes]]:
+    """The classes of one block as (key, smallest key). The most central text is compared with all others, then one outside
+    the largest class of those not compared yet, until these are of one class: no other two can be in different ones."""
+    near, classes, left = _near(bags, similarity), np.arange(len(keys)), np.ones(len(keys), dtype=bool)
+    at = int(np.argmax(degrees))
+    while True:
+        left[at] = False
+        classes[np.isin(classes, classes[near(*bags[at])])] = classes[at]
+        main = np.bincount(classes[left], minlength=1).argmax()
+        rest = np.flatnonzero(left & (classes != main))
+        if not len(rest):
+            break
+        at = int(rest[0])
+    held: dict[int, list[bytes]] = {}
+    for key, c in zip(keys, classes.tolist(), strict=True):
+        held.setdefault(c, []).append(key)
+    return [(key, low) for group in held.values() for low in [min(group)] for key in group if key != low]
+
+
+def _across(strays: dict[bytes, bytes], others: dict[bytes, bytes], bags: dict[bytes, tuple], similarity: float) -> list[tuple[bytes, bytes]]:
+    """The links of a block of strays with a block of members (key to root): one for a stray and another class."""
+    names = list(others)
+    near, classes = _near([bags[k] for k in names], similarity), pd.factorize(np.asarray(list(others.values()), dtype=object))[0]
+    out = []
+    for a, root in strays.items():
+        found = near(*bags[a])
+        out += [(a, names[i]) for i in found[np.unique(classes[found], return_index=True)[1]] if others[names[i]] != root]
+    return out
+
+
+def _links(rows: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The links (a, b) found in the blocks of :func:`_blocks` or :func:`_meeting`; a task reads one block after the other."""
+    block = ["bucket", "s", "o"]
+    rows = rows.join(texts.hint("merge"), "key").select(*block, "stray", "key", "degree", "root", "text")
+
+    def found(shingler, rows):
+        bags = {}
+        for row in rows:
+            if row[1] not in bags:
+                bags[row[1]] = shingler.bag(shingler.words(row[4]))
+        if rows[0][0] is None:
+            return _together([r[1] for r in rows], [r[2] for r in rows], [bags[r[1]] for r in rows], similarity) if len(rows) > 1 else []
+        strays, others = ({r[1]: r[3] for r in rows if r[0] == side} for side in (True, False))
+        return _across(strays, others, bags, similarity) if strays and others else []
+
+    def run(batches):
+        shingler, at, held, out = Shingler(size), None, [], []
+        for batch in slices(batches):
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if row[:3] != at:
+                    out += found(shingler, held) if held else []
+                    at, held = row[:3], []
+                held.append(row[3:])
+            yield linked(out)
+            out = []
+        yield linked(out + (found(shingler, held) if held else []))
+        del held
+        give_back()
+
+    def linked(out):
+        return pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return staged(rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a binary, b binary"), "near-links")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -325,10 +322,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     are the connected texts. Texts with the same words are one node from the start (empty and null texts too), so copies
     are never compared. A pair at the threshold shares a bucket of 32 bands of 5 components with probability 1 - 3e-6.
 
-    In a bucket every text is compared with the most central text of another class, and again after classes have merged,
-    until a round finds no link: at most as many pairs a round as texts in buckets. Then every two texts of a bucket
-    that still stand in different classes are compared, block by block (:func:`_meeting`), so no candidate is dropped. Of
-    buckets with the same members one is kept.
+    Copies with few edits meet in most bands, so the buckets with the same smallest key become one. Such a bucket is cut into
+    blocks and every two texts of a block are compared, unless they already stand in one class (:func:`_blocks`); the most
+    central text is in every block. In buckets of several blocks and classes, one text a class is compared in the same way
+    as long as that links some and the rest would be long; then every two texts that still stand in different classes are,
+    block by block (:func:`_meeting`). So no candidate is dropped.
 
     Exactly one row of a class has ``kept``, unless a row is repeated with the same id and text: then all its copies do
     (:func:`drop_near` keeps one). Null ids come last. An empty table gives an empty result.
@@ -337,31 +335,36 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     rep = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     nodes = staged(
         signed.groupBy("key").agg(F.min(rep).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("total").alias("total"), F.first("buckets").alias("buckets")), "near-nodes")
-    held = nodes.select("key", "total", F.explode("buckets").alias("bucket"))
-    members = held.join(_distinct_buckets(held), "bucket")
-    degrees = members.groupBy("key").agg(
-        F.first("total").alias("total"), F.sum(F.col("n") * F.col("times")).alias("degree"), F.collect_list("bucket").alias("buckets"))
-    members = staged(degrees.select(F.explode("buckets").alias("bucket"), "key", "total", "degree", F.col("key").alias("root")), "near-members")
-    roots, tried = members.select("key", "root").distinct(), None
+    same = Window.partitionBy("bucket")
+    held = nodes.select("key", "total", F.explode("buckets").alias("bucket")).withColumns({"n": F.count(F.lit(1)).over(same), "low": F.min("key").over(same)})
+    members = held.filter("n > 1").groupBy(F.col("low").alias("bucket"), "key").agg(F.first("total").alias("total"), F.sum("n").alias("degree"))
+    members = staged(members.withColumn("root", F.col("key")), "near-members")
+    texts = _texts(members.select("key").distinct(), nodes, docs, id_col, text_col)
+    links = _links(_blocks(members, block), texts, similarity, size)
+    roots = components(links)
+    open_ = members.withColumn("all", F.sum("total").over(same)).filter(F.col("all") > block).drop("all")
+    fruitless = False
     while True:
-        pairs = _stars(members, similarity)
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = staged(verified(pairs, nodes, docs, similarity, size, id_col, text_col), "near-links")
-        if not links.limit(1).count():
+        open_ = _standing(open_, roots)
+        cost = _mains(open_, block).agg(F.sum("rows"), F.sum("n")).first()
+        if not cost[1]:
             break
-        roots = _merged(roots, links)
-        members = _standing(members, roots)
-    meeting = staged(_meeting(members, block), "near-meeting")
-    texts = _texts(meeting.select("key").distinct(), nodes, docs, id_col, text_col)
-    blocks = meeting.join(texts, "key").groupBy("bucket", "s", "o")
-    links = staged(blocks.applyInPandas(_met(similarity, size), "a binary, b binary"), "near-links")
-    if links.limit(1).count():
-        roots = _merged(roots, links)
-
-    classes = nodes.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "rep", "copies")
-    top = classes.groupBy("root").agg(F.min("rep").alias("first"), F.sum("copies").alias("class_size"))
-    known = classes.select("key", "root").join(top.filter("class_size > 1"), "root").select("key", "first", "class_size")
+        last = fruitless or cost[0] <= MEETING * cost[1]
+        if last:
+            links = _links(_meeting(open_, block), texts, similarity, size)
+        else:
+            one = F.max(F.struct("degree", "key", "total")).alias("one")
+            leaders = open_.groupBy("bucket", "root").agg(one).select("bucket", "one.key", "one.total", "one.degree", "root")
+            links = _links(_blocks(leaders, block), texts, similarity, size)
+        fruitless = not links.limit(1).count()
+        if not fruitless:
+            roots = components(roots.select(F.col("key").alias("a"), F.col("root").alias("b")).unionByName(links))
+        if last:
+            break
+
+    whole = Window.partitionBy("root")
+    known = nodes.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "rep", "copies")
+    known = known.select("key", F.min("rep").over(whole).alias("first"), F.sum("copies").over(whole).alias("class_size")).filter("class_size > 1")
     out = signed.select("id", "mark", "key").join(known, "key", "left")
     alone = F.col("class_size").isNull()
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
