@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import product
 
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -217,6 +218,27 @@ def test_a_merge_rebuilds_one_array(ranks):
     assert folded.count("slice(") <= 3  # the state's two sides and the answer; ranks and parts are no arrays of their own
 
 
+def test_a_merge_cuts_no_slices(ranks):
+    folded = str(ranks.fold(F.array("word")))
+    assert folded.count("slice(") == 1 and "array_position(" not in folded  # the answer's; a merge removes and inserts parts
+
+
+def test_latin_texts_are_split_alike(ranks):
+    rng = random.Random(8)
+    quick, whole = bpe.latin_pattern(ranks.pattern), regex.compile(ranks.pattern)
+    for pool in ([chr(c) for c in range(256)], list(" a'stéL1\n\t\x85\x1c\xa0½²ª!")):
+        for text in ("".join(rng.choice(pool) for _ in range(rng.randint(0, 50))) for _ in range(2000)):
+            assert quick.findall(text) == whole.findall(text)
+    assert bpe.splitter(ranks.pattern)("é日本 ½") == ["é日本", " ½"]
+    assert all(bpe.latin_pattern(p) is None for p in (r"\w+", r"[\S]", r"(?i)a", r"[a--b]", r"(?:ab){e<=1}"))  # left to the whole engine
+
+
+def test_remembered_words_are_no_pieces(spark):
+    counts = spark.createDataFrame([("a", 9), ("b", 8), ("c日", 8), ("d", 8), ("e", 1), ("f", 9)], "word string, n long").repartition(3)
+    got = bpe.most_frequent(counts, 3, frozenset(["a", "d", "x"])).collect()
+    assert [(r.word, r.n) for r in got] == [("f", 9), ("b", 8), ("c日", 8)]
+
+
 def test_equal_ranks_merge_the_first_pair(spark):
     ids = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259, b"aaa": 260, b"xabc": 261}
     texts = ["a" * k for k in range(1, 9)] + ["abcabc", "aabcc", "xabcabca", "baabaaabc", "é" * 3 + "aaabc"]
