@@ -17,6 +17,7 @@ from ..functions.numeric import finite
 from ..plans.ordered import join_on, settle
 from ..plans.ranks import with_ranks
 from ..plans.stage import staged
+from .forest import cell, cell_predictions, merges, usable
 from .metrics import mean_by_key_baseline, pairwise_accuracy, regression_metrics, spearman
 from .ranking import top_hit_sets
 
@@ -112,7 +113,18 @@ def forest_fit_predict(
     train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 300, depth: int = 10, seed: int = 0,
     name: str = "pred",
 ) -> DataFrame:
-    """Random forest over all features. Trees are drawn differently from other libraries' forests."""
+    """Random forest over all features. Trees are drawn differently from other libraries' forests.
+
+    ``train`` is read several times. Where its rows outnumber the combinations of the features' bins, they are merged by
+    them (``operators.forest``): same draws, same splits, and a test row takes the prediction of its combination.
+    """
+    found = train.filter(finite(target)).filter(usable(features))
+    rows = found.count()
+    if merges(train, features, rows) and (fitted := cell_predictions(found, features, target, rows, trees, depth, seed)):
+        splits, preds = fitted
+        placed = test.filter(usable(features)).withColumn("__cell", cell(features, splits))
+        preds = preds.select(F.col("cell").alias("__at"), F.col("pred").alias(name))
+        return placed.join(preds, F.col("__cell") == F.col("__at")).drop("__cell", "__at")
     pack = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
     forest = RandomForestRegressor(
         featuresCol="__x", labelCol=target, predictionCol=name, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all",
