@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from trialframe.catalog import modelling
 from trialframe.operators import forest, models
 from trialframe.plans.stage import staged
 
@@ -101,3 +102,22 @@ def test_a_tree_splits_where_the_variance_falls_most():
     for depth in (0, 1, 3, 9):
         want = grow(list(range(20)), depth)
         assert np.allclose(forest.grown(counts, sums, shape, depth), [want[i] for i in range(20)])
+
+
+def test_rows_in_another_order_at_every_pass(spark, no_pass_per_level):
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.sample(frac=1.0)
+
+    train = _rows(spark, 6_000).select("a", "b", (F.col("a") * 100.0).alias("y")).mapInPandas(shuffled, "a int, b double, y double")
+    got = models.forest_fit_predict(train, train, ["a", "b"], "y", trees=12, depth=8).select("y", "pred").toPandas()
+    assert ((got.pred - got.y).abs() < 150).all()  # bags that count other rows than they sum are off by thousands
+
+
+def test_forest_predictions_join_once_for_the_fit(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "merges", lambda *a: True)
+    monkeypatch.setattr(models, "cell_predictions", lambda train, *a: seen.append(train))
+    monkeypatch.setattr(models, "RandomForestRegressor", lambda **a: RandomForestRegressor(**a | {"numTrees": 1, "maxDepth": 1}))
+    assert modelling.forest_predictions(spark, sf_dir).count() == 200
+    assert seen[0].inputFiles() and all("/train-" in f for f in seen[0].inputFiles())

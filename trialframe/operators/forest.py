@@ -136,7 +136,7 @@ def cell_predictions(
 ) -> tuple[list[list[float]], DataFrame] | None:
     """Split candidates and a table ``cell, pred`` of the forest's prediction for every combination of bins.
 
-    ``train`` (read several times) holds ``n`` usable rows with finite targets. A tree's splits hang on a row only through its
+    ``train``, a written table, holds ``n`` usable rows with finite targets. A tree's splits hang on a row only through its
     bins, so its bagged rows are summed per combination once, and every tree grows from these sums. Draws and splits are
     MLlib's over the same table; sums are rounded in another order, which may decide between splits of equal gain.
     None where a feature is infinite, which MLlib refuses, or thresholds or targets leave the range of doubles.

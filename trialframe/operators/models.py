@@ -111,14 +111,16 @@ def linear_predict(df: DataFrame, model: LinearModel, name: str = "pred") -> Dat
 
 def forest_fit_predict(
     train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 300, depth: int = 10, seed: int = 0,
-    name: str = "pred",
+    name: str = "pred", held: bool = False,
 ) -> DataFrame:
     """Random forest over all features. Trees are drawn differently from other libraries' forests.
 
-    ``train`` is read several times. Where its rows outnumber the combinations of the features' bins, they are merged by
-    them (``operators.forest``): same draws, same splits, and a test row takes the prediction of its combination.
+    Where training rows outnumber the combinations of the features' bins, they are merged by them (``operators.forest``):
+    same draws, same splits, and a test row takes the prediction of its combination. Several passes must then meet the
+    rows in one order, so they are written first unless ``train`` is ``held``, a written table itself.
     """
-    found = train.filter(finite(target)).filter(usable(features))
+    found = train.filter(finite(target)).filter(usable(features)).select(*dict.fromkeys([*features, target]))
+    found = found if held else staged(found, "train")
     rows = found.count()
     if merges(train, features, rows) and (fitted := cell_predictions(found, features, target, rows, trees, depth, seed)):
         splits, preds = fitted
@@ -189,7 +191,7 @@ def baseline_compare(
             "ridge": linear_predict(test, ridge_fit(train, features, target)),
             "rsm2": linear_predict(test, rsm2_fit(train, features, target)),
             "pls": linear_predict(test, pls_fit(train, features, target)),
-            "forest": forest_fit_predict(train, test, features, target, trees, depth),
+            "forest": forest_fit_predict(train, test, features, target, trees, depth, held=True),
             "mean": mean_by_key_baseline(train, test, key, target),
         }
         parts += [p.select(F.lit(m).alias("model"), *keep) for m, p in fitted.items()]
