@@ -114,10 +114,10 @@ def test_rows_in_another_order_at_every_pass(spark, no_pass_per_level):
     assert ((got.pred - got.y).abs() < 150).all()  # bags that count other rows than they sum are off by thousands
 
 
-def test_forest_predictions_join_once_for_the_fit(spark, sf_dir, monkeypatch):
+def test_forest_predictions_join_once(spark, sf_dir, monkeypatch):
     seen = []
     monkeypatch.setattr(models, "merges", lambda *a: True)
     monkeypatch.setattr(models, "cell_predictions", lambda train, *a: seen.append(train))
     monkeypatch.setattr(models, "RandomForestRegressor", lambda **a: RandomForestRegressor(**a | {"numTrees": 1, "maxDepth": 1}))
     assert modelling.forest_predictions(spark, sf_dir).count() == 200
-    assert seen[0].inputFiles() and all("/train-" in f for f in seen[0].inputFiles())
+    assert seen[0].inputFiles() and all("/targets-" in f for f in seen[0].inputFiles())
